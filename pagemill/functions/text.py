@@ -40,7 +40,7 @@ def word_count(text: Column) -> Column:
 
 
 def blank_to_null(text: Column) -> Column:
-    return F.nullif(text, F.lit(""))
+    return let(text, lambda t: F.when(t != "", t))
 
 
 def first_filled(*texts: Column) -> Column:

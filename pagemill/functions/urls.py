@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import any_of, form_encode, let, percent_decode, strip
+from pagemill.functions.text import any_of, blank_to_null, form_encode, let, percent_decode, strip
 
 # Query keys that never change what a page shows.
 TRACKING_KEYS = [
@@ -90,7 +90,7 @@ def _normalized_query(query: Column) -> Column:
 def normalize_url(url: Column) -> Column:
     """Dedup key of a URL: same page, same key."""
     raw = strip(url)
-    scheme = F.coalesce(F.nullif(url_scheme(raw), F.lit("")), F.lit("https"))
+    scheme = F.coalesce(blank_to_null(url_scheme(raw)), F.lit("https"))
     host = _bare_host(url_netloc(raw))
     path = url_path(raw)
     path = F.when(path == "", "/").when(

@@ -9,7 +9,7 @@ from pagemill.functions.html import (
     CONTENT, LIST_TAGS, WRAPPING_BLOCKS, WRAPS, Page, descendants, first_element, has, live_texts, noisy, text_length,
     text_of,
 )
-from pagemill.functions.text import any_of, let, strip, word_count
+from pagemill.functions.text import any_of, blank_to_null, let, strip, word_count
 
 # Heading marks, block elements and the smallest text of a main container.
 HEADING_MARKS = {"h1": "[H1]", "h2": "[H2]", "h3": "[H3]", "h4": "[H3]"}
@@ -46,7 +46,7 @@ def _list_text(element: Column, elements: Column, texts: Column) -> Column:
     )
     shown = F.filter(F.transform(items, lambda e: text_of(e, texts, " ")), lambda t: t != "")
     mark = F.when(element["tag"] == "ul", "- ").otherwise("1. ")
-    return F.nullif(F.array_join(F.transform(shown, lambda t: F.concat(mark, t)), "\n"), F.lit(""))
+    return blank_to_null(F.array_join(F.transform(shown, lambda t: F.concat(mark, t)), "\n"))
 
 
 def _table_text(element: Column, elements: Column, texts: Column) -> Column:
@@ -75,10 +75,10 @@ def block_lines(page: Page, container: Column, texts: Column) -> Column:
     def render(e: Column) -> Column:
         is_heading = any_of(e["tag"], list(HEADING_MARKS))
         text = (
-            F.when(is_heading, F.nullif(text_of(e, texts, ""), F.lit("")))
+            F.when(is_heading, blank_to_null(text_of(e, texts, "")))
             .when(any_of(e["tag"], LIST_TAGS), _list_text(e, page.elements, texts))
             .when(e["tag"] == "table", _table_text(e, page.elements, texts))
-            .otherwise(F.nullif(text_of(e, texts, " "), F.lit("")))
+            .otherwise(blank_to_null(text_of(e, texts, " ")))
         )
         line = lambda t: (
             F.when(is_heading, F.concat(F.lit("\n"), F.try_element_at(mark, e["tag"]), F.lit(" "), t, F.lit("\n")))

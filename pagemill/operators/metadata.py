@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import jsonld
 from pagemill.functions.html import AUTHOR, Page, attribute, first_element, has, own_texts, text_of
-from pagemill.functions.text import first_filled, let, strip
+from pagemill.functions.text import blank_to_null, first_filled, let, strip
 
 
 def meta_tags(page: Page) -> Column:
@@ -26,7 +26,7 @@ def meta_tags(page: Page) -> Column:
 def meta_content(metas: Column, field: str, value: str) -> Column:
     """Content of the first meta tag whose name or property is ``value``."""
     first = F.get(F.filter(metas, lambda m: m[field] == value), 0)["content"]
-    return strip(F.nullif(first, F.lit("")))
+    return strip(blank_to_null(first))
 
 
 def canonical_link(page: Page) -> Column:
@@ -35,7 +35,7 @@ def canonical_link(page: Page) -> Column:
         lambda t: (t["tag"] == "link") & ~t["closing"]
         & F.rlike(attribute(t["mark"], "rel"), F.lit(r"(?:^|\s)canonical(?:\s|$)")),
     )
-    return strip(F.nullif(attribute(F.get(links, 0)["mark"], "href"), F.lit("")))
+    return strip(blank_to_null(attribute(F.get(links, 0)["mark"], "href")))
 
 
 def _author(objs: Column, metas: Column, byline: Column) -> Column:
@@ -61,7 +61,7 @@ def _category(objs: Column, metas: Column) -> Column:
         lambda v: F.when(jsonld.is_kind(v, "ARRAY"), jsonld.as_text(jsonld.first_of(v)))
         .when(jsonld.is_kind(v, "STRING"), jsonld.as_text(v)),
     )
-    return F.coalesce(F.nullif(own, F.lit("")), meta_content(metas, "property", "article:section"))
+    return F.coalesce(blank_to_null(own), meta_content(metas, "property", "article:section"))
 
 
 def _tags(objs: Column, metas: Column) -> Column:
@@ -86,11 +86,11 @@ def _image(objs: Column, metas: Column) -> Column:
             .when(jsonld.is_kind(v, "STRING"), jsonld.as_text(v))
         )
 
-    return F.coalesce(F.nullif(let(jsonld.merged(objs, "image"), read), F.lit("")), meta_content(metas, "property", "og:image"))
+    return F.coalesce(blank_to_null(let(jsonld.merged(objs, "image"), read)), meta_content(metas, "property", "og:image"))
 
 
 def _dated(objs: Column, metas: Column, key: str, fallback: str) -> Column:
-    own = F.nullif(jsonld.as_text(jsonld.merged(objs, key)), F.lit(""))
+    own = blank_to_null(jsonld.as_text(jsonld.merged(objs, key)))
     return F.coalesce(own, meta_content(metas, "property", fallback))
 
 
@@ -109,10 +109,10 @@ def page_metadata(page: Page, url: Column, docs: Column, metas: Column, texts: C
         return let(
             _author(f["objs"], metas, byline),
             lambda author: F.struct(
-                F.coalesce(F.nullif(headline, F.lit("")), F.nullif(f["h1"], F.lit("")), f["title"]).alias("title"),
+                F.coalesce(blank_to_null(headline), blank_to_null(f["h1"]), f["title"]).alias("title"),
                 f["title"].alias("meta_title"),
                 F.coalesce(
-                    F.nullif(meta_content(metas, "name", "description"), F.lit("")),
+                    blank_to_null(meta_content(metas, "name", "description")),
                     meta_content(metas, "property", "og:description"),
                 ).alias("meta_description"),
                 F.coalesce(canonical_link(page), url).alias("canonical_url"),
