@@ -106,6 +106,18 @@ def _file_url(level: int, node: Column) -> Column:
     return F.concat(F.lit("https://"), F.col("site"), F.lit(f"/maps/{level}-"), node, F.lit(".xml"))
 
 
+def _index_entry(level: int):
+    return lambda e: F.concat(F.lit("<sitemap><loc>"), _file_url(level, e["key"]), F.lit("</loc></sitemap>"))
+
+
+def _page_path(level: int, node: Column) -> Column:
+    return F.concat(F.lit("/blog/page/"), F.lit(level * 10**12) + node)
+
+
+def _page_link(level: int):
+    return lambda e: F.concat(F.lit("<li><a href='"), _page_path(level, e["key"]), F.lit("'>x</a>"))
+
+
 def sitemap_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(url, body): an index tree per customer over urlsets of orders. The root also names
     itself and a broken file, so the walk has a cycle and an error to pass."""
@@ -118,7 +130,7 @@ def sitemap_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
             head, tail = f'<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="{XMLNS}">', "<url><loc></loc></url></urlset>"
         else:
-            entry = lambda e, lv=level: F.concat(F.lit("<sitemap><loc>"), _file_url(lv - 1, e["key"]), F.lit("</loc></sitemap>"))
+            entry = _index_entry(level - 1)
             head, tail = f'<sitemapindex xmlns="{XMLNS}">', "</sitemapindex>"
         more = F.lit("")
         if level == TOP_LEVEL:
@@ -137,19 +149,18 @@ def index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(url, http_status, content_type, html): the same tree as HTML pages. Each page links
     back to the page above it, to another site, and to a mail address."""
     made = []
-    page = lambda lv, node: F.concat(F.lit("/blog/page/"), F.lit(lv * 10**12) + node)
     for level, nodes in enumerate(_tree(spark, sf_dir)):
         if level == 0:
             link = lambda e: F.concat(F.lit("<li><a href='/blog/order-"), e["key"], F.lit("#top'>x</a>"))
         else:
-            link = lambda e, lv=level: F.concat(F.lit("<li><a href='"), page(lv - 1, e["key"]), F.lit("'>x</a>"))
+            link = _page_link(level - 1)
         up_node = F.floor(F.col("node") / FANOUT).cast("bigint") if level + 1 < TOP_LEVEL else F.lit(0).cast("bigint")
-        up = page(level + 1, up_node) if level < TOP_LEVEL else F.lit("/blog/")
+        up = _page_path(level + 1, up_node) if level < TOP_LEVEL else F.lit("/blog/")
         html = F.concat(
             F.lit("<html><body><ul>"), F.array_join(F.transform("entries", link), ""), F.lit("</ul><a href='"), up,
             F.lit("'>up</a><a href='https://other.example.org/blog/x'>o</a><a href='mailto:a@b'>m</a><a>no</a><a href='/about'>a</a>"),
         )
-        url = F.concat(F.lit("https://"), F.col("site"), page(level, F.col("node")) if level < TOP_LEVEL else F.lit("/blog"))
+        url = F.concat(F.lit("https://"), F.col("site"), _page_path(level, F.col("node")) if level < TOP_LEVEL else F.lit("/blog"))
         made.append(nodes.select(url.alias("url"), F.lit(200).alias("http_status"), F.lit("text/html; charset=utf-8").alias("content_type"), html.alias("html")))
     out = made[0]
     for m in made[1:]:
@@ -264,3 +275,20 @@ def crawl_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             F.col("l_linenumber").alias("retry_count"), F.col("l_shipdate").alias("timestamp"),
         ),
     }
+
+
+def site_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(url, body): one feed per customer site."""
+    body = F.concat(F.lit("<rss><channel><link>"), "base", F.lit("/blog/</link><item><link>https://news.example.org/"), "site",
+                    F.lit("</link></item></channel></rss>"))
+    return sites(spark, sf_dir).select(F.concat("base", F.lit("/rss.xml")).alias("url"), body.alias("body"))
+
+
+def found_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(job_id, url, source, lastmod, rank, level, ord, pos): pages as discovered URLs of one job per language."""
+    big = lambda c: c.cast("bigint")
+    return table(spark, sf_dir, "pages").select(
+        F.regexp_extract("url", "//[^/]*/([a-z]*)", 1).alias("job_id"), "url", F.lit("sitemap").alias("source"),
+        F.lit(None).cast("string").alias("lastmod"), F.lit(0).alias("rank"), big(F.lit(0)).alias("level"),
+        big(F.col("page_id")).alias("ord"), big(F.lit(0)).alias("pos"),
+    )

@@ -46,12 +46,16 @@ def number_rows(
     # One row per (group, partition): few, whatever the number of rows.
     sizes = placed.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_rows"), F.min("_id").alias("_first"))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", *by, "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    match = placed["_part"] == offsets["_part"]
-    for key in by:
-        match = match & placed[key].eqNullSafe(offsets[key])
-    number = placed["_id"] - offsets["_first"] + offsets["_before"] + 1
-    return placed.join(offsets, match).select(*[placed[c] for c in df.columns], number.alias(name))
+    keys = {key: f"_by{i}" for i, key in enumerate(by)}
+    offsets = sizes.select(
+        F.col("_part").alias("_at"), *[F.col(k).alias(v) for k, v in keys.items()], "_first",
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
+    )
+    match = F.col("_part") == F.col("_at")
+    for key, twin in keys.items():
+        match = match & F.col(key).eqNullSafe(F.col(twin))
+    number = F.col("_id") - F.col("_first") + F.col("_before") + 1
+    return placed.join(offsets, match).select(*df.columns, number.alias(name))
 
 
 def frontier_batches(pending: DataFrame, order: list[str], concurrency: int = 20, by: list[str] | None = None) -> DataFrame:
