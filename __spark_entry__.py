@@ -16,7 +16,7 @@ from pagemill.functions.text import let
 from pagemill.operators import accounting, robots, safety
 from pagemill.operators.ordering import first_per_key, frontier_batches, number_rows, page_of_rows
 from pagemill.plans import discovery, export
-from pagemill.plans.extraction import analyze, extract_articles
+from pagemill.plans.extraction import analyze_columns, extract_articles
 from pagemill.session import apply_defaults, ensure_checkpoint_dir
 from pagemill.sources import feeds as feed_source
 from pagemill.sources import fetches as fetch_source
@@ -118,21 +118,21 @@ def visible_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def structured_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = analyze(F.col("html"), F.col("url"), ("content",))
+    x = analyze_columns("html", "url", ("content",))
     return _pages(spark, sf_dir).select("page_id", x["content"].alias("c")).select(
         "page_id", "c.structured_content", "c.introduction", F.col("c.word_count").cast("bigint").alias("word_count"), "c.quality_ok"
     )
 
 
 def body_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = analyze(F.col("html"), F.col("url"), ("content",))
+    x = analyze_columns("html", "url", ("content",))
     return _pages(spark, sf_dir).select("page_id", x["content"].alias("c")).select(
         "page_id", "c.main_content", F.concat_ws("; ", "c.warnings").alias("warnings")
     )
 
 
 def classify_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = analyze(F.col("html"), F.col("url"), ("score",))
+    x = analyze_columns("html", "url", ("score",))
     return _pages(spark, sf_dir).select("page_id", x["score"].alias("s")).select(
         "page_id", "s.is_candidate", F.round("s.confidence", 6).alias("confidence")
     )
@@ -140,7 +140,7 @@ def classify_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def article_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     apply_defaults(spark)
-    x = analyze(F.col("html"), F.col("url"), ("metadata",))
+    x = analyze_columns("html", "url", ("metadata",))
     return inputs.article_pages(spark, sf_dir).select("doc_id", x["metadata"].alias("m")).select(
         "doc_id", "m.title", "m.meta_title", "m.meta_description", "m.canonical_url", "m.author", "m.author_url",
         "m.published_date", "m.modified_date", "m.category", _joined(F.col("m.tags")).alias("tags"), "m.featured_image", "m.h1",
@@ -149,7 +149,7 @@ def article_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def article_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     apply_defaults(spark)
-    x = analyze(F.col("html"), F.col("url"), ("content",))
+    x = analyze_columns("html", "url", ("content",))
     return inputs.article_pages(spark, sf_dir).select("doc_id", x["content"].alias("c")).select(
         "doc_id", "c.structured_content", "c.introduction", "c.conclusion", "c.faq_content",
         _joined(F.col("c.h2_headings")).alias("h2_headings"), _joined(F.col("c.h3_headings")).alias("h3_headings"),
@@ -159,7 +159,7 @@ def article_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def article_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     apply_defaults(spark)
-    x = analyze(F.col("html"), F.col("url"), ("score",))
+    x = analyze_columns("html", "url", ("score",))
     return inputs.article_pages(spark, sf_dir).select("doc_id", x["score"].alias("s")).select(
         "doc_id", "s.is_candidate", F.round("s.confidence", 6).alias("confidence")
     )
@@ -309,7 +309,7 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fetch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State of a URL after its page was tried, by whether it has HTML, its path and its words."""
     pages = _pages(spark, sf_dir)
-    x = analyze(F.col("html"), F.col("url"), ("score", "content"))
+    x = analyze_columns("html", "url", ("score", "content"))
     tried = pages.select("page_id", F.startswith("url", F.lit("https")).alias("has_html"), x.alias("x"))
     state = accounting.url_status_after_fetch(
         F.col("has_html"), F.col("x.score.is_candidate"), F.col("x.content.quality_ok"), F.col("page_id") % 5

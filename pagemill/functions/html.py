@@ -150,11 +150,10 @@ def _tag_facts() -> Column:
             | WRAPS * (tag in WRAPPING_BLOCKS) | VOID * (tag in VOID_TAGS or tag in ("script", "style"))
         )
         ends = (["p"] if tag in _ENDS_PARAGRAPH else []) + ALSO_ENDED_BY.get(tag, [])
-        facts += [F.lit(tag), F.struct(
-            F.lit(bits).alias("bits"), F.lit(_STRENGTH.get(tag, 100)).alias("strength"),
-            F.array(*[F.lit(t) for t in ends]).cast("array<string>").alias("ends"),
-        )]
-    return F.create_map(*facts)
+        listed = ", ".join(f"'{t}'" for t in ends)
+        facts.append(f"'{tag}', named_struct('bits', {bits}, 'strength', {_STRENGTH.get(tag, 100)}, "
+                     f"'ends', cast(array({listed}) AS array<string>))")
+    return F.expr(f"map({', '.join(facts)})")
 
 
 def has(bits: Column, flag: int) -> Column:

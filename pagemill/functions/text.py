@@ -48,8 +48,13 @@ def first_filled(*texts: Column) -> Column:
     return F.coalesce(*[blank_to_null(t) for t in texts])
 
 
+def word_array(words: list[str]) -> Column:
+    """Literal array, made with one call to the JVM however long the list is."""
+    return F.expr("array(" + ", ".join(f"'{w}'" for w in words) + ")")
+
+
 def any_of(text: Column, words: list[str]) -> Column:
-    return F.array_contains(F.array(*[F.lit(w) for w in words]), text)
+    return F.array_contains(word_array(words), text)
 
 
 def percent_decode(text: Column, form: bool = False) -> Column:
@@ -74,7 +79,8 @@ _REF_RE = "^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*)"
 
 
 def _named_map() -> Column:
-    return F.create_map(*[F.lit(x) for pair in _NAMED.items() for x in pair])
+    pairs = "\x02".join(f"{name}\x01{char}" for name, char in _NAMED.items())
+    return F.str_to_map(F.lit(pairs), F.lit("\x02"), F.lit("\x01"))
 
 
 def _lookup(name: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import any_of, blank_to_null, form_encode, let, percent_decode, strip
+from pagemill.functions.text import any_of, blank_to_null, form_encode, let, percent_decode, strip, word_array
 
 # Query keys that never change what a page shows.
 TRACKING_KEYS = [
@@ -114,8 +114,7 @@ def is_same_site(url: Column, root: Column) -> Column:
 
 def is_non_article_path(url: Column) -> Column:
     path = F.trim(F.lower(url_path(url)), F.lit("/"))
-    words = F.array(*[F.lit(w) for w in NON_ARTICLE_SEGMENTS])
-    return (path == "") | F.arrays_overlap(F.split(path, "/"), words)
+    return (path == "") | F.arrays_overlap(F.split(path, "/"), word_array(NON_ARTICLE_SEGMENTS))
 
 
 def looks_like_article(url: Column) -> Column:

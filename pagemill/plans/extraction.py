@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import jsonld
@@ -37,10 +37,21 @@ def analyze(html: Column, url: Column, views: tuple[str, ...] = VIEWS) -> Column
     return with_page(html, build)
 
 
+_BUILT: dict[tuple, Column] = {}
+
+
+def analyze_columns(html: str = "html", url: str = "url", views: tuple[str, ...] = VIEWS) -> Column:
+    """``analyze`` over named columns, built once per Spark application and reused."""
+    key = (SparkSession.active().sparkContext.applicationId, html, url, views)
+    if key not in _BUILT:
+        _BUILT[key] = analyze(F.col(html), F.col(url), views)
+    return _BUILT[key]
+
+
 def extract_articles(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """Add the extracted fields to a table of pages (html and url columns)."""
     keep = [c for c in pages.columns if c != html]
-    seen = pages.select(*keep, analyze(F.col(html), F.col(url), ("metadata", "content", "score")).alias("_x"))
+    seen = pages.select(*keep, analyze_columns(html, url, ("metadata", "content", "score")).alias("_x"))
     return seen.select(*keep, "_x.metadata.*", "_x.content.*", "_x.score.*")
 
 

@@ -11,6 +11,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Call-site capture costs several JVM calls per column operator; page expressions have thousands.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
