@@ -273,8 +273,7 @@ judged AS (
   SELECT l_orderkey, l_linenumber, url, CASE WHEN l_linenumber = 7 THEN 'Unsupported scheme'
     WHEN l_returnflag = 'R' THEN CASE WHEN contains(url, '//127.0.0.1/') OR contains(url, '//0.0.0.0/') THEN 'Blocked host' WHEN {_V4_BLOCKED} THEN 'Blocked internal' ELSE 'ok' END
     WHEN l_returnflag = 'A' THEN CASE WHEN s_suppkey IS NULL THEN 'DNS resolution' WHEN s_nationkey < 5 OR s_nationkey IN (6, 7) THEN 'Blocked internal' ELSE 'ok' END
-    WHEN l_linestatus = 'F' THEN CASE WHEN l_partkey % 256 = 0 AND (l_orderkey * 7 + l_linenumber) % 256 = 1 THEN 'Blocked host'
-      WHEN l_partkey % 256 BETWEEN 32 AND 63 THEN 'ok' ELSE 'Blocked internal' END
+    WHEN l_linestatus = 'F' THEN CASE WHEN l_partkey % 256 BETWEEN 32 AND 63 THEN 'ok' ELSE 'Blocked internal' END
     ELSE 'DNS resolution' END AS verdict
   FROM li LEFT JOIN supplier ON l_suppkey = s_suppkey)
 SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, url, verdict FROM judged""",
@@ -337,7 +336,7 @@ SELECT id, 'https://example.com' AS website, blog_url, 'https://example.com/blog
   CASE lang WHEN 'en' THEN lang || ', ' || source WHEN 'fr' THEN source || ', ' || lang WHEN 'de' THEN NULL ELSE 'a, b' END AS tags,
   CAST({_words('structured_content')} AS BIGINT) AS word_count, E'Factshere\\nFAQ\\nIn Summary' AS h2_headings, CASE WHEN {_words('structured_content')} >= 50 THEN 'Success' ELSE 'Partial' END AS extraction_status,
   CAST(200 AS BIGINT) AS http_status, strftime(make_timestamp((1767225600 + doc_id % 100) * 1000000), '%Y-%m-%dT%H:%M:%S') AS extraction_date,
-  nullif(concat_ws('; ', CASE WHEN {_words('tail')} < 50 THEN 'Fell back to whole-page text (article body was too short)' END, CASE WHEN {_words('structured_content')} < 50 THEN 'Extracted word count below quality threshold (possible extraction failure)' END), '') AS error_message, CAST(NULL AS VARCHAR) AS subcategory FROM rows1""",
+  nullif(concat_ws('; ', CASE WHEN {_words('tail')} < 50 AND {_words('head')} - 1 + 23 > {_words('tail')} THEN 'Fell back to whole-page text (article body was too short)' END, CASE WHEN {_words('structured_content')} < 50 THEN 'Extracted word count below quality threshold (possible extraction failure)' END), '') AS error_message, CAST(NULL AS VARCHAR) AS subcategory FROM rows1""",
     "export_csv": f"WITH {_EXPORT} SELECT id, blog_url, structured_content AS main_content, 'Why ' || source || '?' AS faq_content FROM rows1",
     "export_names": f"SELECT page_id, {_domain('url')} || '_blog_extraction_2026-01-05' AS articles_name, page_id || '_failed_urls' AS failures_name FROM pages",
     "stream_extract": f"""

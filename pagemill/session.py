@@ -6,13 +6,14 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Static options a session should be started with. Call-site capture costs several JVM calls
+# per column operator, and page expressions have thousands of operators.
+START_OPTIONS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # Call-site capture costs several JVM calls per column operator; page expressions have thousands.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
