@@ -10,13 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.session import spread
+
 XMLNS = "http://www.sitemaps.org/schemas/sitemap/0.9"
+COSTLY_TABLES = ("pages", "documents", "lineitem")
 FANOUT = 1000
 TOP_LEVEL = 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in COSTLY_TABLES else df
 
 
 def _escape(text: Column) -> Column:

@@ -47,3 +47,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors, unlike a local one."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least one partition per core; a no-op for inputs of many files.
+
+    Parsing pages costs far more than moving them once, so a table that sits in a few small
+    files is spread before it is parsed. Large inputs already have more splits than cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
