@@ -17,7 +17,7 @@ from pagemill.operators import accounting, robots, safety
 from pagemill.operators.ordering import first_per_key, frontier_batches, number_rows, page_of_rows
 from pagemill.plans import discovery, export
 from pagemill.plans.extraction import analyze_columns, extract_articles
-from pagemill.session import apply_defaults, ensure_checkpoint_dir
+from pagemill.session import apply_defaults, cut_lineage, ensure_checkpoint_dir
 from pagemill.sources import feeds as feed_source
 from pagemill.sources import fetches as fetch_source
 from pagemill.sources import links as link_source
@@ -369,7 +369,7 @@ def _stored_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         "url", "html", F.lit("job").alias("job_id"), F.lit("example.com").alias("domain"), F.col("url").alias("raw_url"),
         F.lit(200).alias("http_status"), day.alias("extraction_date"),
     )
-    return export.article_rows(extract_articles(pages))
+    return cut_lineage(export.article_rows(extract_articles(pages)))
 
 
 def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,21 +169,27 @@ def _remove_dot_segments(path: Column) -> Column:
 
 def resolve_link(base: Column, href: Column) -> Column:
     """Absolute URL of a link found on page ``base``."""
-    ref = clean_url(href)
-    base = clean_url(base)
-    part = lambda i: F.regexp_extract(ref, URL_RE, i)
-    of_base = lambda i: F.regexp_extract(base, URL_RE, i)
-    scheme = F.lower(of_base(1))
+    taken_apart = lambda u: F.struct(
+        u.alias("all"), *[F.regexp_extract(u, URL_RE, i).alias(f"p{i}") for i in range(1, 8)]
+    )
+    return let(
+        taken_apart(clean_url(href)), lambda ref: let(taken_apart(clean_url(base)), lambda b: _resolve(b, ref, href))
+    )
+
+
+def _resolve(base: Column, ref: Column, href: Column) -> Column:
+    part = lambda i: ref[f"p{i}"]
+    of_base = lambda i: base[f"p{i}"]
+    scheme, own_scheme = F.lower(of_base(1)), F.lower(part(1))
     query = F.when(part(6) != "", F.concat(F.lit("?"), part(6))).otherwise("")
     fragment = F.when(part(7) != "", F.concat(F.lit("#"), part(7))).otherwise("")
     prefix = F.concat(scheme, F.lit("://"), of_base(3))
     folder = F.concat(
         F.when(F.startswith(of_base(4), F.lit("/")), "").otherwise("/"), F.regexp_extract(of_base(4), r"(?s)^(.*/)?", 0)
     )
-    own_scheme = F.lower(part(1))
     base_query = F.when(of_base(6) != "", F.concat(F.lit("?"), of_base(6))).otherwise("")
     return (
-        F.when(ref == "", base)
+        F.when(ref["all"] == "", base["all"])
         .when((own_scheme != "") & ~own_scheme.isin("http", "https"), href)
         .when(
             (part(2) == "//") & (part(3) != ""),
