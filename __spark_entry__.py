@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import datetime
+from importlib.util import find_spec
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -444,9 +445,18 @@ def entry(spark: SparkSession) -> DataFrame:
     return article_url_counts(spark, "/root/testdata/sf0.001")
 
 
+def _training_data() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries of the training-data operators; none where that subpackage was left out."""
+    if find_spec("pagemill.llm") is None or find_spec("pagemill.llm.queries") is None:
+        return {}, {}
+    from pagemill.llm import queries as llm
+
+    return llm.QUERIES, llm.ORACLE
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in _QUERIES}
+    return {q.__name__: q for q in _QUERIES} | _training_data()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return dict(ORACLE) | _training_data()[1]
