@@ -22,6 +22,47 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+DECONTAMINATION = rf"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), strings AS (
+  SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS s
+  FROM (SELECT item_id, w, least(len(w), 10) AS m, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM item_words WHERE len(w) > 0)
+), windows AS (
+  SELECT doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') AS s
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM doc_words, (SELECT DISTINCT m FROM strings))
+), found AS (SELECT doc_id, i, m, item_id FROM windows JOIN strings USING (m, s)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM found) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+NEAR_DEDUP = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS doc_id, b AS other FROM both_ways UNION SELECT r.doc_id, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
+least_id AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id,
+       doc_id <= coalesce(other, doc_id) AS kept
+FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN least_id USING (doc_id)
+"""
+
 
 def _stats_sql() -> str:
     """One row per document with the statistics of the quality rules."""
@@ -62,29 +103,22 @@ def quality_sql(tail: str | None = None) -> str:
         f"CASE WHEN n_words = 0 THEN 0 WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS v{j}" for j, (_, bad, good) in enumerate(quality.RULES)
     )
     vs = ", ".join(f"v{j}" for j in range(k))
-    names = {-1: "no", 0: "none", 1: "yes"}
-    params = [f"{c}{j}_{names[v]}" for j in range(k) for c in ("b", "g") for v in (-1, 0, 1)]
-    start = ", ".join(
-        f"{quality.START['bad' if p[0] == 'b' else 'good'][list(names.values()).index(p.split('_')[1])]}::DOUBLE AS {p}" for p in params
-    )
-    terms = " + ".join(
-        f"CASE v{j} WHEN -1 THEN ln(g{j}_no / b{j}_no) WHEN 1 THEN ln(g{j}_yes / b{j}_yes) ELSE ln(g{j}_none / b{j}_none) END" for j in range(k)
-    )
+    params = [f"{c}{j}" for j in range(k) for c in "bg"]
+    start = ", ".join(f"{quality.START['bad' if p[0] == 'b' else 'good']}::DOUBLE AS {p}" for p in params)
+    terms = " + ".join(f"CASE v{j} WHEN -1 THEN ln(g{j} / b{j}) WHEN 1 THEN ln((1 - g{j}) / (1 - b{j})) ELSE 0 END" for j in range(k))
     probability = f"1 / (1 + exp(-(ln((1 - bad) / bad) + {terms})))"
     s = quality.SMOOTH
     sums, rates, fixed = [], [], []
     for j in range(k):
-        for v, name in names.items():
-            sums += [f"sum(CASE WHEN v{j} = {v} THEN n - q ELSE 0 END) AS b{j}_{name}", f"sum(CASE WHEN v{j} = {v} THEN q ELSE 0 END) AS g{j}_{name}"]
-            rates += [f"(b{j}_{name} + {s}) / (total - good + 3 * {s}) AS b{j}_{name}", f"(g{j}_{name} + {s}) / (good + 3 * {s}) AS g{j}_{name}"]
-        for c, name, wrong in (("b", "no", "<"), ("g", "no", "<"), ("b", "yes", ">"), ("g", "yes", ">")):
-            fixed.append(f"CASE WHEN b{j}_{name} {wrong} g{j}_{name} THEN (b{j}_{name} + g{j}_{name}) / 2 ELSE {c}{j}_{name} END AS {c}{j}_{name}")
-        fixed += [f"b{j}_none", f"g{j}_none"]
+        for c, mass in (("b", "n - q"), ("g", "q")):
+            sums += [f"sum(CASE WHEN v{j} = -1 THEN {mass} ELSE 0 END) AS no_{c}{j}", f"sum(CASE WHEN v{j} <> 0 THEN {mass} ELSE 0 END) AS all_{c}{j}"]
+            rates.append(f"(no_{c}{j} + {s}) / (all_{c}{j} + 2 * {s}) AS {c}{j}")
+            fixed.append(f"CASE WHEN b{j} < g{j} THEN (b{j} + g{j}) / 2 ELSE {c}{j} END AS {c}{j}")
     order = ", ".join(params)
     return f"""
 WITH RECURSIVE {_stats_sql()},
-votes AS (SELECT *, {quality.BASE_FAILED} AS base_failed, {votes} FROM stats),
-patterns AS (SELECT {vs}, count(*)::DOUBLE AS n FROM votes GROUP BY {vs}),
+votes AS (SELECT *, ({quality.BASE_FAILED}) AS base_failed, {votes} FROM stats),
+patterns AS (SELECT {vs}, count(*)::DOUBLE AS n FROM votes WHERE NOT base_failed GROUP BY {vs}),
 em AS (
   SELECT 0 AS step, {quality.START_BAD}::DOUBLE AS bad, {start}
   UNION ALL

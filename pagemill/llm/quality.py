@@ -1,11 +1,11 @@
 """Quality by weak supervision: rules vote or abstain, EM estimates how far each can be trusted.
 
 Nine rules look at one document each and vote 1 (good), -1 (bad) or 0 (abstain). A model with a
-hidden class per document explains the votes: each rule has, for good and for bad documents, its
-own probabilities of voting good, bad or nothing. Expectation-maximisation fits these accuracies and
-the share of bad documents on the votes of all documents, without labels; a document is kept if its
-posterior probability of being good is at least 0.5. A rule may turn out useless but never reversed:
-its bad vote never speaks for a document.
+hidden class per document explains the votes: each rule that does vote has, for good and for bad
+documents, its own probability of voting bad; abstaining says nothing. Expectation-maximisation fits
+these accuracies and the share of bad documents on the votes of all documents that pass the base
+rule, without labels; such a document is kept if its posterior probability of being good is at least 0.5. A rule may turn out
+useless but never reversed: its bad vote never speaks for a document.
 
 Votes are counted per pattern (at most 3^9) before EM, so an iteration reads a tiny table however
 large the corpus is, and only the fitted probabilities come to the driver. Only built-in functions are used.
@@ -27,15 +27,15 @@ from pagemill.llm.common import ASCII_SPACE, packed, stored, whole_text, words_o
 
 SYMBOLS = "#*$%&|<>"
 ITERATIONS = 20
-# Where EM starts: share of bad documents, and vote probabilities (bad, abstain, good) by class.
+# Where EM starts: share of bad documents, and by class the probability that a vote is "bad".
 START_BAD = 0.15
-START = {"bad": (0.30, 0.30, 0.40), "good": (0.02, 0.28, 0.70)}
+START = {"bad": 0.35, "good": 0.02}
 SMOOTH = 1.0
 # Rule: (statistic, bad if, good if), as SQL over the statistics below.
 RULES: list[tuple[str, str, str]] = [
     ("symbols", "n_symbols > 0.1 * n_words", "n_symbols <= 0.02 * n_words"),
     ("plain_words", "n_plain < 0.5 * n_words", "n_plain >= 0.8 * n_words"),
-    ("repeats", "n_repeat_words > 0.3 * n_words", "n_repeat_words <= 0.2 * n_words"),
+    ("repeats", "n_repeat_words > 0.4 * n_words", "n_repeat_words <= 0.3 * n_words"),
     ("stutter", "n_stutter > 0.2 * n_words", "n_stutter <= 0.05 * n_words"),
     ("shouting", "n_upper > 0.4 * word_chars", "n_upper <= 0.15 * word_chars"),
     ("exclaiming", "n_exclaim > 0.2 * n_words", "n_exclaim <= 0.05 * n_words"),
@@ -121,33 +121,28 @@ def with_votes(docs: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass
 class VoteModel:
-    """Share of bad documents and, per rule, the probabilities of votes -1, 0, 1 by class."""
+    """Share of bad documents and, per rule, the probability that its vote is "bad", by class."""
 
     bad_share: float
-    bad: list[tuple[float, float, float]]
-    good: list[tuple[float, float, float]]
+    bad: list[float]
+    good: list[float]
 
     def good_probability(self, votes: Column) -> Column:
         terms = F.lit(math.log((1 - self.bad_share) / self.bad_share))
         for j, (b, g) in enumerate(zip(self.bad, self.good, strict=True)):
-            no, none, yes = (math.log(y / x) for x, y in zip(b, g, strict=True))
             v = F.get(votes, j)
-            terms = terms + F.when(v == -1, F.lit(no)).when(v == 1, F.lit(yes)).otherwise(F.lit(none))
+            terms = terms + F.when(v == -1, F.lit(math.log(g / b))).when(v == 1, F.lit(math.log((1 - g) / (1 - b)))).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-terms))
 
 
 def _next_model(patterns: Column, model: Column) -> Column:
     """One round of EM as an expression: ``patterns`` is an array of (v, n), ``model`` a struct (bad_share, bad, good)."""
-    zero = F.lit(0.0)
-
-    def smoothed(part: Column, whole: Column) -> Column:
-        return (part + SMOOTH) / (whole + 3 * SMOOTH)
+    zero, each_rule = F.lit(0.0), F.sequence(F.lit(0), F.lit(len(RULES) - 1))
 
     def expected(weights: Column, prior: Column) -> Column:
+        """Per pattern the number of documents that are good by the model."""
         def good_mass(p: Column) -> Column:
-            logit = F.aggregate(
-                F.sequence(F.lit(0), F.lit(len(RULES) - 1)), prior, lambda a, j: a + F.get(F.get(weights, j), F.get(p["v"], j) + 1)
-            )
+            logit = F.aggregate(each_rule, prior, lambda a, j: a + F.get(F.get(weights, j), F.get(p["v"], j) + 1))
             return F.struct(p["v"].alias("v"), p["n"].alias("n"), (p["n"] / (1 + F.exp(-logit))).alias("q"))
 
         return F.transform(patterns, good_mass)
@@ -158,35 +153,31 @@ def _next_model(patterns: Column, model: Column) -> Column:
             lambda a, p: F.struct((a["n"] + p["n"]).alias("n"), (a["q"] + p["q"]).alias("q")),
         )
 
-    def rates(masses: Column, t: Column) -> Column:
-        def one(j: Column, v: Column) -> Column:
-            sums = total(F.filter(masses, lambda p: F.get(p["v"], j) == v))
-            return let(sums, lambda s: F.struct(
-                smoothed(s["n"] - s["q"], t["n"] - t["q"]).alias("b"), smoothed(s["q"], t["q"]).alias("g")))
+    def rate(masses: Column, j: Column) -> Column:
+        """Share of bad votes among the votes of rule ``j``, for bad (b) and good (g) documents."""
+        def shares(no: Column, voted: Column) -> Column:
+            b = (no["n"] - no["q"] + SMOOTH) / (voted["n"] - voted["q"] + 2 * SMOOTH)
+            g = (no["q"] + SMOOTH) / (voted["q"] + 2 * SMOOTH)
+            return F.struct(b.alias("b"), g.alias("g"))
 
         def never_reversed(r: Column) -> Column:
-            def even(x: Column, wrong: Column) -> Column:
-                mean = (x["b"] + x["g"]) / 2
-                return F.when(wrong, F.struct(mean.alias("b"), mean.alias("g"))).otherwise(x)
-
-            no, yes = F.get(r, 0), F.get(r, 2)
-            return F.array(even(no, no["b"] < no["g"]), F.get(r, 1), even(yes, yes["b"] > yes["g"]))
+            mean = (r["b"] + r["g"]) / 2
+            return F.when(r["b"] < r["g"], F.struct(mean.alias("b"), mean.alias("g"))).otherwise(r)
 
-        votes = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(len(RULES) - 1)), lambda j: let(F.transform(votes, lambda v: one(j, v)), never_reversed)
-        )
+        bad_votes = total(F.filter(masses, lambda p: F.get(p["v"], j) == -1))
+        votes = total(F.filter(masses, lambda p: F.get(p["v"], j) != 0))
+        return let(let(bad_votes, lambda no: let(votes, lambda voted: shares(no, voted))), never_reversed)
 
     def assembled(masses: Column) -> Column:
-        def make(t: Column) -> Column:
-            return let(rates(masses, t), lambda r: F.struct(
+        def make(t: Column, rates: Column) -> Column:
+            return F.struct(
                 ((t["n"] - t["q"] + SMOOTH) / (t["n"] + 2 * SMOOTH)).alias("bad_share"),
-                F.transform(r, lambda x: F.transform(x, lambda y: y["b"])).alias("bad"),
-                F.transform(r, lambda x: F.transform(x, lambda y: y["g"])).alias("good")))
+                F.transform(rates, lambda x: x["b"]).alias("bad"), F.transform(rates, lambda x: x["g"]).alias("good"))
 
-        return let(total(masses), make)
+        rates = F.transform(each_rule, lambda j: rate(masses, j))
+        return let(total(masses), lambda t: let(rates, lambda r: make(t, r)))
 
-    weights = F.zip_with(model["bad"], model["good"], lambda b, g: F.zip_with(b, g, lambda x, y: F.ln(y / x)))
+    weights = F.zip_with(model["bad"], model["good"], lambda b, g: F.array(F.ln(g / b), zero, F.ln((1 - g) / (1 - b))))
     prior = F.ln((1 - model["bad_share"]) / model["bad_share"])
     return let(weights, lambda w: let(prior, lambda x: let(expected(w, x), assembled)))
 
@@ -195,13 +186,12 @@ def fit_votes(votes: DataFrame, column: str = "votes", iterations: int = ITERATI
     """Fit the model on every row's votes. Patterns (3^9 at most) are counted first; EM is one fold over them."""
     counted = votes.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     patterns = counted.agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("patterns"))
-    rule = lambda c: F.array(*[F.lit(x) for x in START[c]])
     start = F.struct(
-        F.lit(START_BAD).alias("bad_share"), F.array_repeat(rule("bad"), len(RULES)).alias("bad"), F.array_repeat(rule("good"), len(RULES)).alias("good")
+        F.lit(START_BAD).alias("bad_share"), *[F.array_repeat(F.lit(START[c]), len(RULES)).alias(c) for c in ("bad", "good")]
     )
     rounds = F.sequence(F.lit(1), F.lit(iterations))
     row = patterns.select(F.aggregate(rounds, start, lambda m, _: _next_model(F.col("patterns"), m)).alias("m")).first()["m"]
-    return VoteModel(row["bad_share"], [tuple(x) for x in row["bad"]], [tuple(x) for x in row["good"]])
+    return VoteModel(row["bad_share"], list(row["bad"]), list(row["good"]))
 
 
 def judge(votes: DataFrame, model: VoteModel) -> DataFrame:
@@ -214,4 +204,4 @@ def judge(votes: DataFrame, model: VoteModel) -> DataFrame:
 def filter_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that the model keeps, with their own columns. Their texts are written once with the votes."""
     votes = stored(with_votes(docs, text).select("doc", "votes", "base_failed"), "quality")
-    return judge(votes, fit_votes(votes)).where("kept").select("doc.*")
+    return judge(votes, fit_votes(votes.where(~F.col("base_failed")))).where("kept").select("doc.*")

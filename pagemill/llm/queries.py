@@ -7,23 +7,56 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import line_dedup, oracle, quality
+import public_tokenizers
+
+from pagemill.llm import decontam, line_dedup, minhash, oracle, packing, quality
 from pagemill.llm.common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    found = decontam.find_overlaps(_documents(spark, sf_dir), items, keep=["doc_id"])
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select(
+        "doc.doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(_documents(spark, sf_dir), size=3, percent=85)
+    doc_id = F.when(F.col("d") != minhash.HIGHEST, F.col("d"))
+    same = F.coalesce(doc_id == F.col("component_id"), doc_id.isNull() & F.col("component_id").isNull())
+    return found.select(doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", same.alias("kept"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.dedup_lines(_documents(spark, sf_dir))
     return out.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    votes = quality.with_votes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    votes = quality.with_votes(_documents(spark, sf_dir))
     narrow = stored(votes.select("doc.doc_id", "stats", "votes", "base_failed"), "votes")
     base = [f"stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return quality.judge(narrow, quality.fit_votes(narrow)).select("doc_id", *base, "base_failed", "kept")
+    return quality.judge(narrow, quality.fit_votes(narrow.where(~F.col("base_failed")))).select("doc_id", *base, "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op7_line_dedup, op9_quality_rules)}
-ORACLE: dict[str, str] = {"op7_line_dedup": oracle.LINE_DEDUP, "op9_quality_rules": oracle.quality_sql()}
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (op1_packing, op4_decontamination, op6_near_dedup, op7_line_dedup, op9_quality_rules)
+}
+ORACLE: dict[str, str] = {
+    "op4_decontamination": oracle.DECONTAMINATION, "op6_near_dedup": oracle.NEAR_DEDUP, "op7_line_dedup": oracle.LINE_DEDUP,
+    "op9_quality_rules": oracle.quality_sql(),
+}
