@@ -1,18 +1,19 @@
 """Near-duplicate documents by fast similarity sketching, banding and exact verification.
 
-Sketch (one pass over the texts, per document): the distinct shingles are thrown into 125 bins in rounds
-of fresh hashes; a bin keeps the smallest value of the first round that reaches it. After 125 rounds each
+Sketch (one pass over the texts, per document): the distinct shingles are thrown into 150 bins in rounds
+of fresh hashes; a bin keeps the smallest value of the first round that reaches it. After 150 rounds each
 bin that is still empty gets a round of its own, so every coordinate fills. Equal coordinates estimate
-Jaccard similarity with Chernoff-type bounds: at 0.85 fewer than 88 of 125 agree about once in 400,000
-pairs, and all of 25 bands of 5 coordinates differ about once in two million.
+Jaccard similarity with Chernoff-type bounds: a pair is passed over only if its sketches agree five
+standard deviations less than a link's would. All 30 bands of 5 coordinates of a link differ about once in
+40 million pairs at a similarity of 0.85 and once in 150,000 at 0.8.
 
 Links: texts with the same words form a class, and only classes are compared. Classes that share a band
 meet in a bucket. A bucket is not expanded into pairs: its most central class (the one that meets most
 others over all bands) is the pivot, every member is compared with the pivot, by sketch and then by full
 shingle sets. What remains in a bucket, members outside the pivot's component, is compared in blocks of
 bounded size inside tasks, where pairs of one component are passed over; members far from the pivot
-(similarity under 0.7, so by the triangle inequality of Jaccard distance no link to a direct neighbour of
-the pivot) skip those neighbours. So no link is lost to the bucket's size, and no bucket is one task's work.
+(over twice a link's Jaccard distance, so by the triangle inequality without a link to a direct
+neighbour of the pivot) skip those neighbours. So no link is lost to the bucket's size, and no bucket is one task's work.
 
 Components come from iterated smallest labels with pointer jumping. Every step is a written table.
 
@@ -34,15 +35,20 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import ASCII_SPACE, SPACE_RE, ascii_lower, packed, stored, whole_text
 
-BANDS, ROWS = 25, 5
+BANDS, ROWS = 30, 5
 COORDINATES = BANDS * ROWS
-LIKELY, MID = 88, 62  # equal coordinates below which similarity is not 0.85 (links), not 0.7 (neighbours of neighbours)
 BLOCK = 1000
 HIGHEST = 2**63 - 1
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 NO_WORDS = "d41d8cd98f00b204e9800998ecf8427e"  # md5 of the empty text
 
 
+def least_agreement(percent: int) -> int:
+    """Equal coordinates that a pair of this similarity has, less five standard deviations."""
+    p = max(percent, 1) / 100
+    return int(COORDINATES * p - 5 * (COORDINATES * p * (1 - p)) ** 0.5)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -214,7 +220,7 @@ def _block_links(probes: pd.DataFrame, targets: pd.DataFrame, percent: int) -> l
             x = up
         return x
 
-    found = []
+    found, likely = [], least_agreement(percent)
     if not len(targets):
         return found
     y = np.frombuffer(b"".join(targets.sketch), np.uint32).reshape(-1, COORDINATES)
@@ -224,7 +230,7 @@ def _block_links(probes: pd.DataFrame, targets: pd.DataFrame, percent: int) -> l
     for p in probes.itertuples():
         same = (y == np.frombuffer(p.sketch, np.uint32)).sum(1)
         mine = np.frombuffer(p.items, np.uint64)
-        for k in np.flatnonzero((same >= LIKELY) & (p.mid | ~near)):
+        for k in np.flatnonzero((same >= likely) & (p.mid | ~near)):
             if root(p.comp) != root(comps[k]) and _is_link(mine, items[k], percent):
                 parent[root(p.comp)] = root(comps[k])
                 found.append((p.c, keys[k]))
@@ -251,14 +257,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     met = stored(met.join(pivots, "key").select("key", "c", "pivot"), "pivots")
     pairs = met.where("c <> pivot").select(F.col("c").alias("a"), F.col("pivot").alias("b")).distinct()
     compared = stored(_agreement(pairs, nodes), "compared")
-    likely = compared.where(F.col("same") >= LIKELY).select("a", "b")
+    likely = compared.where(F.col("same") >= least_agreement(percent)).select("a", "b")
     ends = likely.select(F.col("a").alias("c")).union(likely.select("b")).distinct()
     wanted = nodes.join(ends, "c", "left_semi").select(F.col("rep").alias("d"), "c")
     links = stored(_verified(likely, stored(_sets(source, wanted, size), "sets"), percent), "direct-links")
     comps = components(links)
     with_comp = nodes.select("c").join(comps, "c", "left").select("c", F.coalesce("comp", "c").alias("comp"))
     near = compared.join(links.withColumn("near", F.lit(True)), ["a", "b"], "left").select(
-        F.col("a").alias("c"), F.col("b").alias("pivot"), F.coalesce("near", F.lit(False)).alias("near"), (F.col("same") >= MID).alias("mid")
+        F.col("a").alias("c"), F.col("b").alias("pivot"), F.coalesce("near", F.lit(False)).alias("near"), (F.col("same") >= least_agreement(2 * percent - 100)).alias("mid")
     )
     members = (
         met.join(near, ["c", "pivot"], "left").join(with_comp, "c").join(with_comp.select(F.col("c").alias("pivot"), F.col("comp").alias("pivot_comp")), "pivot")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pagemill.llm import quality
+import re
+
+from pagemill.llm import quality, secrets
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -134,3 +136,35 @@ em AS (
 ), last AS (SELECT * FROM em WHERE step = {quality.ITERATIONS}),
 judged AS (SELECT votes.*, NOT base_failed AND ({probability}) >= 0.5 AS kept FROM votes, last)
 """ + (tail or "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged")
+
+
+def secrets_sql() -> str:
+    """Every rule searched in every text; gaps and hits give the places."""
+    parts = []
+    for rank, rule in enumerate(secrets.RULES):
+        # The other engine knows neither possessive repeats nor a case switch that keeps to ASCII.
+        pattern = rule.pattern.replace("}+", "}").replace("'", "''")
+        for word in ("password", "passwd", "secret", "token", "key", "api"):
+            pattern = re.sub(rf"(?<![a-z]){word}(?![a-z])", "".join(f"[{c.upper()}{c}]" for c in word), pattern) if rule.kind == "assign" else pattern
+        pattern = pattern.replace("(?i:", "(?:")
+        least = f"length(regexp_extract(hit, '{pattern}', {rule.group})) >= {rule.least}"
+        parts.append(f"""
+  SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, upto - length(hit) AS s0, upto AS s1 FROM (
+    SELECT doc_id, hit, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS upto FROM (
+      SELECT doc_id, unnest(gaps) AS gap, unnest(hits) AS hit, unnest(range(len(gaps))) AS i FROM (
+        SELECT doc_id, regexp_extract_all(t, '(?s)(.*?)(?:({pattern})|$)', 1) AS gaps, regexp_extract_all(t, '(?s)(.*?)(?:({pattern})|$)', 2) AS hits
+        FROM docs WHERE regexp_matches(t, '{pattern}')))
+  ) WHERE hit <> '' AND {least}""")
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({" UNION ALL ".join(parts)}),
+listed AS (
+  SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+         string_agg(kind || ':' || s0 || ':' || s1, ',' ORDER BY s0, rank) FILTER (rank < 3) AS base,
+         string_agg(kind || ':' || s0 || ':' || s1, ',' ORDER BY s0, rank) AS spans
+  FROM spans GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN listed USING (doc_id)
+"""

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pagemill.llm import decontam, line_dedup, minhash, oracle, packing, quality
+from pagemill.llm import decontam, line_dedup, minhash, oracle, packing, quality, secrets
 from pagemill.llm.common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,10 +53,21 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(narrow, quality.fit_votes(narrow.where(~F.col("base_failed")))).select("doc_id", *base, "base_failed", "kept")
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_documents(spark, sf_dir))
+    base = [r.kind for r in secrets.RULES[:3]]
+    of_base = F.filter("spans", lambda s: s["kind"].isin(base))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc.doc_id", *[count(k) for k in base], F.sha2(secrets.as_text(of_base), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_packing, op4_decontamination, op6_near_dedup, op7_line_dedup, op9_quality_rules)
+    f.__name__: f for f in (op1_packing, op4_decontamination, op6_near_dedup, op7_line_dedup, op9_quality_rules, op10_secret_scan)
 }
 ORACLE: dict[str, str] = {
     "op4_decontamination": oracle.DECONTAMINATION, "op6_near_dedup": oracle.NEAR_DEDUP, "op7_line_dedup": oracle.LINE_DEDUP,
-    "op9_quality_rules": oracle.quality_sql(),
+    "op9_quality_rules": oracle.quality_sql(), "op10_secret_scan": oracle.secrets_sql(),
 }
