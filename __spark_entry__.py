@@ -449,9 +449,11 @@ def _training_data() -> tuple[dict[str, Query], dict[str, str]]:
     """Queries of the training-data operators; none where that subpackage was left out."""
     if find_spec("pagemill.llm") is None or find_spec("pagemill.llm.queries") is None:
         return {}, {}
+    import corpus_pipeline
     from pagemill.llm import queries as llm
 
-    return llm.QUERIES, llm.ORACLE
+    sql = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return llm.QUERIES | {"pipeline": corpus_pipeline.run}, llm.ORACLE | sql
 
 
 def queries() -> dict[str, Query]:
