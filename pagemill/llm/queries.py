@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pagemill.llm import decontam, line_dedup, minhash, oracle, packing, quality, secrets
+from pagemill.llm import decontam, line_dedup, minhash, oracle, packing, quality, secrets, token_files
 from pagemill.llm.common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    store = token_files.write_store(docs, public_tokenizers.path("word_bpe_49k.json"))
+    got = store.read(docs.select(token_files.key_of("doc_id").alias("key")))
+    return got.select(F.col("key").try_cast("long").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(_documents(spark, sf_dir), size=3, percent=85)
     doc_id = F.when(F.col("d") != minhash.HIGHEST, F.col("d"))
@@ -65,7 +72,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_packing, op4_decontamination, op6_near_dedup, op7_line_dedup, op9_quality_rules, op10_secret_scan)
+    f.__name__: f for f in (op1_packing, op4_decontamination, op5_token_files, op6_near_dedup, op7_line_dedup, op9_quality_rules, op10_secret_scan)
 }
 ORACLE: dict[str, str] = {
     "op4_decontamination": oracle.DECONTAMINATION, "op6_near_dedup": oracle.NEAR_DEDUP, "op7_line_dedup": oracle.LINE_DEDUP,
