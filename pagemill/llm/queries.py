@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pagemill.llm import decontam, line_dedup, minhash, oracle, packing, quality, secrets, token_files
+from pagemill.llm import decontam, line_dedup, minhash, oracle, packing, quality, secrets, token_files, toxicity
 from pagemill.llm.common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(_documents(spark, sf_dir), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     votes = quality.with_votes(_documents(spark, sf_dir))
     narrow = stored(votes.select("doc.doc_id", "stats", "votes", "base_failed"), "votes")
@@ -72,7 +77,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_packing, op4_decontamination, op5_token_files, op6_near_dedup, op7_line_dedup, op9_quality_rules, op10_secret_scan)
+    f.__name__: f
+    for f in (op1_packing, op4_decontamination, op5_token_files, op6_near_dedup, op7_line_dedup, op8_toxicity, op9_quality_rules, op10_secret_scan)
 }
 ORACLE: dict[str, str] = {
     "op4_decontamination": oracle.DECONTAMINATION, "op6_near_dedup": oracle.NEAR_DEDUP, "op7_line_dedup": oracle.LINE_DEDUP,
