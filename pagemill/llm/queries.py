@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pagemill.llm import decontam, line_dedup, minhash, oracle, packing, quality, secrets, token_files, toxicity
+from pagemill.llm import decontam, langid, line_dedup, minhash, oracle, packing, quality, secrets, token_files, toxicity
 from pagemill.llm.common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
+    held_out = F.coalesce(remainder == 2, F.lit(False))
+    train = docs.where(F.col("doc_id").isNotNull() & ~held_out)
+    model = langid.fit(langid.training_sample(train, "text", "lang", F.col("doc_id")))
+    found = langid.label_documents(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
+    return found.select("doc.doc_id", "doc.held_out", "lang_pred", "score")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", "text")
     found = decontam.find_overlaps(_documents(spark, sf_dir), items, keep=["doc_id"])
@@ -78,7 +88,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_packing, op4_decontamination, op5_token_files, op6_near_dedup, op7_line_dedup, op8_toxicity, op9_quality_rules, op10_secret_scan)
+    for f in (op1_packing, op2_language_id, op4_decontamination, op5_token_files, op6_near_dedup, op7_line_dedup, op8_toxicity, op9_quality_rules, op10_secret_scan)
 }
 ORACLE: dict[str, str] = {
     "op4_decontamination": oracle.DECONTAMINATION, "op6_near_dedup": oracle.NEAR_DEDUP, "op7_line_dedup": oracle.LINE_DEDUP,
