@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pagemill.llm import decontam, langid, line_dedup, minhash, oracle, packing, quality, secrets, token_files, toxicity
+from pagemill.llm import decontam, html_mincut, langid, line_dedup, minhash, oracle, packing, quality, secrets, token_files, toxicity
 from pagemill.llm.common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "doc.held_out", "lang_pred", "score")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_mincut.extract_text(pages, keep=["page_id", "url"])
+    return found.select("page.page_id", "page.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", "text")
     found = decontam.find_overlaps(_documents(spark, sf_dir), items, keep=["doc_id"])
@@ -88,7 +94,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_packing, op2_language_id, op4_decontamination, op5_token_files, op6_near_dedup, op7_line_dedup, op8_toxicity, op9_quality_rules, op10_secret_scan)
+    for f in (op1_packing, op2_language_id, op3_html_extraction, op4_decontamination, op5_token_files, op6_near_dedup, op7_line_dedup, op8_toxicity, op9_quality_rules, op10_secret_scan)
 }
 ORACLE: dict[str, str] = {
     "op4_decontamination": oracle.DECONTAMINATION, "op6_near_dedup": oracle.NEAR_DEDUP, "op7_line_dedup": oracle.LINE_DEDUP,
