@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +56,20 @@ def words_of(text: Column) -> Column:
 def packed(docs: DataFrame) -> DataFrame:
     """One struct column ``doc`` with every column, so that added columns clash with none."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
+def workers_find_package(spark: SparkSession) -> None:
+    """Python workers started from now on look for this package where the driver found it.
+
+    On a cluster ship the package with the job (``--py-files``); a path that is not there does no harm.
+    """
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with a worker that can import this package."""
+    workers_find_package(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import stored, whole_text
+from pagemill.llm.common import map_arrow, stored, whole_text
 
 WINDOW, CHUNK_BYTES = 10, 32 << 20
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -108,7 +108,7 @@ def find_overlaps(
                 for at in range(0, batch.num_rows, 256):
                     yield _searched(batch.slice(at, 256), tables.value)
 
-        df = df.mapInArrow(search, schema)
+        df = map_arrow(df, search, schema)
         if chunk < chunks - 1:
             df = stored(df, "overlaps")
     return df.drop("text")

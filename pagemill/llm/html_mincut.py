@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import whole_text
+from pagemill.llm.common import map_arrow, whole_text
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|select|title|math|object|canvas|video|audio)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>"
@@ -299,4 +299,4 @@ def extract_text(pages: DataFrame, html: str = "html", keep: list[str] | None =
                 texts = [main_text(h) for h in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["page", "text"])
 
-    return source.mapInArrow(run, f"page {source.schema['page'].dataType.simpleString()}, text string")
+    return map_arrow(source, run, f"page {source.schema['page'].dataType.simpleString()}, text string")

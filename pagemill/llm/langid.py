@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import whole_text
+from pagemill.llm.common import map_arrow, whole_text
 
 FEATURES = 1 << 18
 SAMPLE_DOCS, SAMPLE_SEGMENTS, SEGMENT, LINES_FROM_DOC = 400, 1200, 25, 8
@@ -285,4 +285,4 @@ def label_documents(docs: DataFrame, model: LanguageModel, text: str = "text", k
                 yield pa.RecordBatch.from_arrays([part.column(0), *made], ["doc", "lang_pred", "score", "runs"])
 
     kind = source.schema["doc"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc {kind}, lang_pred string, score double, runs array<struct<lang: string, words: int>>")
+    return map_arrow(source, run, f"doc {kind}, lang_pred string, score double, runs array<struct<lang: string, words: int>>")

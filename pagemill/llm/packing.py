@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import whole_text
+from pagemill.llm.common import map_arrow, whole_text
 from pagemill.llm.tokens import Encoder
 
 MAX_LENGTH, END_ID = 2048, 1
@@ -71,7 +71,7 @@ def pack(
                 names = ["doc_id", "start", "length", "bucket", "ids", "doc_tokens", "sequence_id", "offset"]
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(columns[0], pa.int64())), *made], names)
 
-    return source.mapInArrow(pieces, SCHEMA.format(id=dict(source.dtypes)["doc_id"]))
+    return map_arrow(source, pieces, SCHEMA.format(id=dict(source.dtypes)["doc_id"]))
 
 
 def write_buckets(pieces: DataFrame, folder: str) -> None:

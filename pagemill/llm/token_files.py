@@ -39,7 +39,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import new_folder, whole_text
+from pagemill.llm.common import map_arrow, new_folder, whole_text, workers_find_package
 from pagemill.llm.tokens import Encoder
 
 MAGIC, END_ID, BUCKET_KEYS = b"PMTOK1", 1, 20_000
@@ -187,7 +187,7 @@ class TokenStore:
         # A bucket's keys come in lists of bounded length, each with the bucket's hash function once.
         part = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(max(1, BUCKET_KEYS // 5000)))
         lists = keys.select("key").distinct().groupBy(buckets.alias("bucket"), part.alias("part")).agg(F.collect_list("key").alias("keys"))
-        found = lists.join(self.index, "bucket").select("keys", "cells", "slots").mapInArrow(look_up, "key string, shard int, place long, rows long, span int")
+        found = map_arrow(lists.join(self.index, "bucket").select("keys", "cells", "slots"), look_up, "key string, shard int, place long, rows long, span int")
         upto = self.manifest.select("shard", "n_docs", (F.sum("n_docs").over(_in_order()) - F.col("n_docs")).alias("begin"))
         # Rows of the store have one numbering; a key's rows are a stretch of it, mostly inside one shard.
         first = found.join(upto, "shard").select("key", "shard", (F.col("begin") + F.col("place")).alias("row"), "rows", "span")
@@ -220,7 +220,7 @@ class TokenStore:
 
         named = self.locate(keys).join(self.manifest.select("shard", "name", "before"), "shard")
         by_shard = named.repartitionByRange(F.col("shard"), F.col("place")).sortWithinPartitions("shard", "place").select("key", "name", "place", "before")
-        return by_shard.mapInArrow(fetch, "key string, start long, n_tokens long, ids binary")
+        return map_arrow(by_shard, fetch, "key string, start long, n_tokens long, ids binary")
 
 
 def _in_order():
@@ -269,7 +269,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id
     source = docs.select(F.col(f"`{doc_id}`").alias("d"), whole_text(F.col(f"`{text}`")).alias("text"))
     tie = F.xxhash64("text")
     ordered = source.repartitionByRange(F.col("d").asc_nulls_first(), tie).sortWithinPartitions(F.col("d").asc_nulls_first(), tie)
-    laid_out = ordered.select(key_of("d").alias("key"), "text").mapInArrow(write, "name string, key string, place long, rows long")
+    laid_out = map_arrow(ordered.select(key_of("d").alias("key"), "text"), write, "name string, key string, place long, rows long")
     # Tasks of a range partitioning are in order of the ids; their number orders the shards.
     laid_out.withColumn("task", F.spark_partition_id()).write.parquet(f"{folder}/places")
     places = spark.read.schema("name string, key string, place long, rows long, task int").parquet(f"{folder}/places")
@@ -291,6 +291,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id
             slots[field][at] = np.asarray(values)
         return pd.DataFrame({"bucket": [frame.bucket.iloc[0]], "cells": [cells.tobytes()], "slots": [slots.tobytes()]})
 
+    workers_find_package(spark)
     by_bucket = entries.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")).groupBy("bucket")
     by_bucket.applyInPandas(build, "bucket int, cells binary, slots binary").write.parquet(f"{folder}/index")
     return store
