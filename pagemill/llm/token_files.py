@@ -70,10 +70,12 @@ def _slots(a: np.ndarray, b: np.ndarray, displacement: np.ndarray, n: int) -> np
 def build_hash(keys: list[str]) -> np.ndarray:
     """Displacement per cell for distinct keys; below zero: the slot itself, as -slot - 1."""
     n = len(keys)
+    if not n:
+        return np.zeros(0, np.int64)
     a, b, _ = _hashed(keys)
-    cell = (b % np.uint64(max(n, 1))).astype(np.int64)
+    cell = (b % np.uint64(n)).astype(np.int64)
     order = np.argsort(cell, kind="stable")
-    starts = np.flatnonzero(np.r_[True, np.diff(cell[order]) > 0]) if n else np.array([], np.int64)
+    starts = np.flatnonzero(np.r_[True, np.diff(cell[order]) > 0])
     groups = [order[i:j] for i, j in zip(starts, [*starts[1:], n], strict=True)]
     table, taken = np.zeros(n, np.int64), np.zeros(n, bool)
     groups.sort(key=len, reverse=True)
