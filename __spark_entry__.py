@@ -192,7 +192,7 @@ def _sitemap_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _expand(spark: SparkSession, sf_dir: str, cap: int) -> DataFrame:
+def _expand(spark: SparkSession, sf_dir: str, cap: int | None = None) -> DataFrame:
     apply_defaults(spark)
     found = discovery.expand_sitemaps(
         inputs.sites(spark, sf_dir), inputs.sitemap_files(spark, sf_dir), _sitemap_robots(spark, sf_dir), cap
@@ -201,7 +201,7 @@ def _expand(spark: SparkSession, sf_dir: str, cap: int) -> DataFrame:
 
 
 def sitemap_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _expand(spark, sf_dir, discovery.MAX_URLS)
+    return _expand(spark, sf_dir)
 
 
 def sitemap_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,6 +235,16 @@ def discover_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("site", "url", "source")
 
 
+def discover_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and feeds only where the sitemaps gave fewer than five URLs."""
+    apply_defaults(spark)
+    found = discovery.discover(
+        inputs.sites(spark, sf_dir), inputs.sitemap_files(spark, sf_dir), inputs.index_pages(spark, sf_dir),
+        inputs.site_feeds(spark, sf_dir), _sitemap_robots(spark, sf_dir), sparse=5,
+    )
+    return found.select("site", "url", "source")
+
+
 def new_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     apply_defaults(spark)
     found = inputs.found_urls(spark, sf_dir)
@@ -301,10 +311,10 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = inputs.crawl_tables(spark, sf_dir)
     resumed = accounting.resume_jobs(t["jobs"]).select("job_id", F.col("status").alias("resumed"), "error_message")
     cancelled = accounting.cancel_jobs(t["jobs"]).select("job_id", F.col("status").alias("cancelled"))
-    after = accounting.url_counts(t["urls"]).select(
-        "job_id", accounting.job_status_after_run(F.col("pending"), F.lit(False)).alias("after_run")
-    )
-    return resumed.join(cancelled, "job_id").join(after, "job_id", "left")
+    counts = t["jobs"].select("job_id").join(accounting.url_counts(t["urls"]), "job_id", "left")
+    pending = F.coalesce("pending", F.lit(0))  # a job without URLs is done
+    after = counts.select("job_id", accounting.job_status_after_run(pending, F.lit(False)).alias("after_run"))
+    return resumed.join(cancelled, "job_id").join(after, "job_id")
 
 
 def fetch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,7 +366,7 @@ def failure_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def failure_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     apply_defaults(spark)
-    tried = inputs.attempts(spark, sf_dir).select(
+    tried = fetch_source.fetch_results(inputs.attempts(spark, sf_dir)).select(
         F.lit("j").alias("job_id"), F.col("order_key").cast("string").alias("url"), "html", "error", "http_status",
         F.col("attempt").alias("retry_count"), F.lit(None).cast("timestamp").alias("fetched_at"),
     )
@@ -434,7 +444,7 @@ _QUERIES: list[Query] = [
     article_url_counts, url_normalize, url_parts, url_dedup_first, path_filter, same_site, add_scheme, link_extract,
     link_domain_counts, tag_counts, title_h1, visible_words, structured_content, body_fallback, classify_confidence,
     article_metadata, article_content, article_score, site_seeds, sitemap_entries, sitemap_expand, sitemap_capped, bfs_links,
-    bfs_links_depth, feed_links, discover_union, new_urls, robots_gate, robots_delay, url_safety, fetch_results, final_attempts,
+    bfs_links_depth, feed_links, discover_union, discover_sparse, new_urls, robots_gate, robots_delay, url_safety, fetch_results, final_attempts,
     fetch_choice, job_progress, url_states, job_states, fetch_outcomes, results_page, batches, batches_per_job, config_snapshot,
     failure_export, failure_log, export_rows, export_csv, export_names, stream_extract, stream_distinct_urls, stream_counts,
 ]

@@ -7,20 +7,16 @@ sites are customers, and their files form a tree over the digits of the order ke
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagemill.session import spread
-
 XMLNS = "http://www.sitemaps.org/schemas/sitemap/0.9"
-COSTLY_TABLES = ("pages", "documents", "lineitem")
 FANOUT = 1000
 TOP_LEVEL = 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in COSTLY_TABLES else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _escape(text: Column) -> Column:
@@ -216,13 +212,13 @@ def order_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(url, part, attempt, http_status, html, error): line items as fetch attempts."""
-    li = table(spark, sf_dir, "lineitem")
+    """(order_key, attempt, http_status, html, error): every line item as a fetch attempt of its order."""
     status = F.when(F.col("l_returnflag") == "N", 200).when(F.col("l_returnflag") == "R", 500).otherwise(0)
-    return li.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"), F.min("l_partkey").alias("l_partkey")).select(
-        F.col("l_orderkey").alias("order_key"), (F.col("l_linenumber") - 1).alias("attempt"), status.alias("http_status"),
+    turn = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_returnflag", "l_partkey")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("order_key"), (F.row_number().over(turn) - 1).alias("attempt"), status.alias("http_status"),
         F.when(F.col("l_returnflag") == "N", F.concat(F.lit("<p>"), "l_partkey")).alias("html"),
-        F.when(F.col("l_returnflag") == "A", F.lit("")).alias("error"),
+        F.when(F.col("l_returnflag") == "A", F.when(F.col("l_partkey") % 2 == 0, "Timeout").otherwise("")).alias("error"),
     )
 
 

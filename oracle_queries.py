@@ -130,8 +130,8 @@ _V4_BLOCKED = f"""(
 
 _ATTEMPTS = """
 att AS (
-  SELECT l_orderkey AS order_key, l_linenumber - 1 AS attempt, min(l_returnflag) AS flag, min(l_partkey) AS part
-  FROM lineitem GROUP BY l_orderkey, l_linenumber),
+  SELECT l_orderkey AS order_key, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_partkey) - 1 AS attempt,
+    l_returnflag AS flag, l_partkey AS part FROM lineitem),
 tried AS (
   SELECT *, CASE flag WHEN 'N' THEN 200 WHEN 'R' THEN 500 ELSE 0 END AS http_status FROM att)
 """
@@ -239,12 +239,19 @@ SELECT url, CAST(pages AS BIGINT) AS pages, CAST(children AS BIGINT) AS children
     "bfs_links_depth": f"WITH {_CRAWL} SELECT site, url, level FROM crawl WHERE level <= 2",
     "feed_links": """
 SELECT page_id, CAST(pos AS BIGINT) AS pos, url || suffix AS url FROM pages, (VALUES (0, ''), (1, '/item'), (2, '/atom')) v(pos, suffix) WHERE NOT starts_with(url, 'http:')""",
-    "discover_union": f"""
+    "discover_sparse": f"""
 WITH {_CRAWL}, maps AS ({_FOUND_MAPS}),
 thin AS (SELECT 'c' || c_custkey || '.example.com' AS site FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) >= 5))
 SELECT site, url, 'sitemap' AS source FROM maps
 UNION ALL SELECT site, url, 'internal_link' FROM crawl WHERE site IN (SELECT site FROM thin)
 UNION ALL SELECT site, 'https://' || site || '/blog/', 'rss' FROM thin WHERE site NOT IN (SELECT site FROM crawl)
+UNION ALL SELECT site, 'https://news.example.org/' || site, 'rss' FROM thin""",
+    "discover_union": f"""
+WITH {_CRAWL}, maps AS ({_FOUND_MAPS}),
+thin AS (SELECT 'c' || c_custkey || '.example.com' AS site FROM customer)
+SELECT site, url, 'sitemap' AS source FROM maps
+UNION ALL SELECT site, url, 'internal_link' FROM crawl WHERE (site, url) NOT IN (SELECT (site, url) FROM maps)
+UNION ALL SELECT site, 'https://' || site || '/blog/', 'rss' FROM thin WHERE site NOT IN (SELECT site FROM crawl)
 UNION ALL SELECT site, 'https://news.example.org/' || site, 'rss' FROM thin""",
     "new_urls": f"""
 WITH f AS (SELECT page_id, url, regexp_extract(url, '//[^/]*/([a-z]*)', 1) AS job_id, {_normalized('url')} AS normalized_url FROM pages),
@@ -279,11 +286,11 @@ judged AS (
 SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, url, verdict FROM judged""",
     "fetch_results": f"""
 WITH {_ATTEMPTS}
-SELECT order_key, CAST(attempt AS BIGINT) AS attempt, CASE http_status WHEN 200 THEN NULL WHEN 0 THEN 'Timeout' ELSE 'HTTP 500' END AS error,
+SELECT order_key, CAST(attempt AS BIGINT) AS attempt, CASE http_status WHEN 200 THEN NULL WHEN 0 THEN CASE WHEN part % 2 = 0 THEN 'Timeout' ELSE 'Unknown fetch error' END ELSE 'HTTP 500' END AS error,
   CASE WHEN http_status = 200 THEN '<p>' || part ELSE '' END AS html, least(CAST(pow(2, attempt) AS DOUBLE), 10.0::DOUBLE) AS backoff_seconds FROM tried""",
     "final_attempts": f"""
 WITH {_ATTEMPTS}
-SELECT order_key, CAST(attempt AS BIGINT) AS attempt, CAST(http_status AS BIGINT) AS http_status FROM tried WHERE attempt <= 3
+SELECT order_key, CAST(attempt AS BIGINT) AS attempt, CAST(http_status AS BIGINT) AS http_status FROM tried
 QUALIFY row_number() OVER (PARTITION BY order_key ORDER BY CASE WHEN http_status = 200 THEN attempt ELSE 100 - attempt END) = 1""",
     "fetch_choice": f"""
 WITH {_TOKENS}, counted AS (SELECT page_id, sum({_words('text')}) AS n FROM state WHERE noise = 0 GROUP BY page_id),
@@ -308,7 +315,7 @@ SELECT o_orderkey AS order_key, CASE WHEN {_STATUS} <> 'success' AND n > 1 THEN
 WITH j AS (SELECT *, CASE WHEN c_nationkey < 8 THEN 'paused' WHEN c_nationkey < 16 THEN 'crawling' ELSE 'completed' END AS status, CASE WHEN c_acctbal < 0 THEN 'boom' END AS err FROM customer),
 u AS (SELECT o_custkey, count(*) FILTER (WHERE {_STATUS} <> 'success') AS pending FROM orders GROUP BY 1)
 SELECT 'job-' || c_custkey AS job_id, CASE WHEN status = 'paused' THEN 'pending' ELSE status END AS resumed, CASE WHEN status <> 'paused' THEN err END AS error_message,
-  CASE WHEN status IN ('paused','crawling') THEN 'cancelled' ELSE status END AS cancelled, CASE WHEN pending > 0 THEN 'paused' WHEN pending = 0 THEN 'completed' END AS after_run
+  CASE WHEN status IN ('paused','crawling') THEN 'cancelled' ELSE status END AS cancelled, CASE WHEN pending > 0 THEN 'paused' ELSE 'completed' END AS after_run
 FROM j LEFT JOIN u ON c_custkey = o_custkey""",
     "fetch_outcomes": f"""
 WITH {_TOKENS}
@@ -329,7 +336,7 @@ SELECT page AS url, 'HTTP 500' AS error, CAST(500 AS BIGINT) AS http_status, CAS
 FROM owned WHERE l_returnflag = 'R'""",
     "failure_log": f"""
 WITH {_ATTEMPTS}
-SELECT order_key::VARCHAR AS url, 'Unknown fetch error' AS error, CAST(http_status AS BIGINT) AS http_status, CAST(attempt + 1 AS BIGINT) AS retry_count FROM tried WHERE http_status <> 200""",
+SELECT order_key::VARCHAR AS url, CASE WHEN http_status <> 0 THEN 'HTTP 500' WHEN part % 2 = 0 THEN 'Timeout' ELSE 'Unknown fetch error' END AS error, CAST(http_status AS BIGINT) AS http_status, CAST(attempt + 1 AS BIGINT) AS retry_count FROM tried WHERE http_status <> 200""",
     "export_rows": f"""
 WITH {_EXPORT}
 SELECT id, 'https://example.com' AS website, blog_url, 'https://example.com/blog/' || doc_id AS canonical_url, title AS blog_title, source AS author,

@@ -99,14 +99,18 @@ class Page:
     elements: Column
 
 
-def attribute(mark: Column, name: str) -> Column:
-    """Value of an attribute of a start tag; '' when it is empty or absent."""
-    walk = (
+def _up_to_attribute(name: str) -> str:
+    """Expression from the start of a tag to the name of its first attribute ``name``; steps over other attributes without going back."""
+    return (
         r"(?is)^<[^\s/>]++(?:[\s/]++(?!" + name + r"(?![^\s=>/]))[^\s=>/]++"
-        r"(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+)*+[\s/]++" + name
-        + r"\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)"
+        r"(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+)*+[\s/]++" + name + r"(?![^\s=>/])"
     )
 
+
+def attribute(mark: Column, name: str) -> Column:
+    """Value of an attribute of a start tag; '' when it is empty or absent."""
+    walk = _up_to_attribute(name) + r"\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)"
+
     def unquote(value: Column) -> Column:
         quoted = F.rlike(value, F.lit("^[\"']"))
         return decode_entities(
@@ -118,7 +122,8 @@ def attribute(mark: Column, name: str) -> Column:
 
 
 def has_attribute(mark: Column, name: str) -> Column:
-    return F.rlike(mark, F.lit(r"(?is)^<[^\s/>]++(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*?[\s/\"']" + name + r"[\s=/>]"))
+    """True if a start tag has the attribute, with a value or without."""
+    return F.rlike(mark, F.lit(_up_to_attribute(name)))
 
 
 def tokenize(html: Column) -> Column:

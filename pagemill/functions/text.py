@@ -94,7 +94,7 @@ def _lookup(name: Column) -> Column:
 def _numeric_char(ref: Column) -> Column:
     """Character of ``#123`` or ``#x1F``; anything that is no character becomes U+FFFD."""
     is_hex = F.lower(F.substring(ref, 2, 1)) == "x"
-    digits = F.when(is_hex, F.substring(ref, 3, 1 << 20)).otherwise(F.substring(ref, 2, 1 << 20))
+    digits = F.when(is_hex, F.substring(ref, F.lit(3), F.length(ref))).otherwise(F.substring(ref, F.lit(2), F.length(ref)))
     digits = F.regexp_replace(digits, "^0+(?=.)", "")
 
     def to_char(d: Column) -> Column:
@@ -134,7 +134,7 @@ def _decode_part(part: Column, in_attribute: bool) -> Column:
         return (
             F.when(name == "", F.concat(F.lit("&"), part))
             .when(F.startswith(name, F.lit("#")), F.concat(_numeric_char(name), without_semicolon(F.length(name))))
-            .when(closed & (name == "amp"), F.concat(F.lit("&"), F.substring(part, 5, 1 << 30)))
+            .when(closed & (name == "amp"), F.concat(F.lit("&"), F.substring(part, F.lit(5), F.length(part))))
             .when(closed & _lookup(name).isNotNull(), F.concat(_lookup(name), rest(F.length(name) + 1)))
             .otherwise(bare(name))
         )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Static options a session should be started with. Call-site capture costs several JVM calls
@@ -14,6 +12,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # A repeated key of a JSON object keeps its last value.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
@@ -27,8 +27,8 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for checkpoints: the cluster's ``spark.checkpoint.dir`` when it names one.
 
-    A folder of our own is made only for a local master, where driver and tasks share a
-    disk. On a cluster without the setting this raises rather than use a local disk.
+    Only a local master, where driver and tasks share a disk, may go without the setting and gets a
+    folder named after the application. On a cluster this raises rather than use a local disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -38,7 +38,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not shared:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="pagemill-checkpoint-")
+        shared = f"/tmp/checkpoints/{sc.applicationId}"
     sc.setCheckpointDir(shared)
     return sc.getCheckpointDir()
 
@@ -47,13 +47,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors, unlike a local one."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan at least one partition per core; a no-op for inputs of many files.
-
-    Parsing pages costs far more than moving them once, so a table that sits in a few small
-    files is spread before it is parsed. Large inputs already have more splits than cores.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -2,30 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.html import visible_word_count, with_page
 from pagemill.functions.text import blank_to_null
 from pagemill.operators.ordering import first_per_key
 
-# Words below which a page is taken to need rendering, retries, longest wait.
+# Words below which a page is taken to need rendering, retries of a URL before it is given up, longest wait.
 THIN_PAGE_WORDS = 80
 MAX_RETRIES = 3
 MAX_BACKOFF_SECONDS = 10
 UNKNOWN_ERROR = "Unknown fetch error"
 
 
-def read_fetches(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def fetch_results(raw: DataFrame) -> DataFrame:
     """HTML only for status 200; otherwise an error text. Status 0 keeps its own error."""
     ok = F.col("http_status") == 200
     own = blank_to_null(F.col("error"))
     return raw.withColumn(
-        "error", F.when(~ok, F.when(F.col("http_status") == 0, F.coalesce(own, F.lit("Timeout")))
+        "error", F.when(~ok, F.when(F.col("http_status") == 0, F.coalesce(own, F.lit(UNKNOWN_ERROR)))
                         .otherwise(F.concat(F.lit("HTTP "), F.col("http_status"))))
     ).withColumn("html", F.when(ok, F.col("html")))
 
@@ -57,10 +53,10 @@ def choose_fetch(static: DataFrame, rendered: DataFrame, keys: list[str], thresh
     return joined.select(*keys, chosen.alias("_f"), "rendered").select(*keys, "_f.*", "rendered")
 
 
-def final_attempts(attempts: DataFrame, keys: list[str], max_retries: int = MAX_RETRIES) -> DataFrame:
-    """The first attempt with HTML and status 200, else the last one."""
+def final_attempts(attempts: DataFrame, keys: list[str], max_retries: int | None = None) -> DataFrame:
+    """The first attempt with HTML and status 200, else the last one; of the attempts up to ``max_retries`` if given."""
     good = (F.col("http_status") == 200) & F.coalesce(F.col("html") != "", F.lit(False))
-    within = attempts.where(F.col("attempt") <= max_retries)
+    within = attempts if max_retries is None else attempts.where(F.col("attempt") <= max_retries)
     order = [F.when(good, 0).otherwise(1), F.when(good, F.col("attempt")).otherwise(-F.col("attempt"))]
     return first_per_key(within, keys, order)
 
