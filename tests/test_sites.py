@@ -25,7 +25,7 @@ def index(*locs):
 def test_sitemap_parsing(spark):
     bodies = [
         f"<urlset {NS}><url><loc> https://e.com/1 </loc><lastmod>2026-01-01</lastmod></url><url><loc>https://e.com/2</loc></url><url><loc></loc></url></urlset>",
-        index("https://e.com/a.xml", "https://e.com/b.xml"), "not xml at all <<<", "<urlset><url><loc>x</loc></url></urlset>",
+        index("https://e.com/a.xml", "https://e.com/b.xml"), "<urlset <broken", "<urlset><url><loc>x</loc></url></urlset>",
     ]
     df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string")
     rows = df.select("i", sitemaps.page_entries(F.col("body")).alias("p"), sitemaps.child_sitemaps(F.col("body")).alias("c")).orderBy("i").collect()
@@ -57,89 +57,108 @@ def test_links(spark):
     assert [r.link for r in page_links(df).orderBy("pos").collect()] == ["https://e.com/a/x", "https://e.com/y?a=1&b=2", "https://e.com/a/b"]
 
 
-def queue_sitemaps(base, robots_body, files, cap):
-    """Model: one queue, one file at a time."""
-    queue = [x.split(":", 1)[1].strip() for x in robots_body.splitlines() if x.strip().lower().startswith("sitemap:")]
-    queue += [base + p for p in ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/post-sitemap.xml", "/blog-sitemap.xml",
-                                 "/page-sitemap.xml", "/sitemap/sitemap.xml", "/wp-sitemap.xml")]
-    seen, found = set(), {}
-    while queue and len(found) < cap:
-        url = queue.pop(0)
-        if url in seen or url not in files:
-            seen.add(url)
-            continue
-        seen.add(url)
-        kind, entries = files[url]
-        if kind == "index":
-            queue += [c for c in entries if c not in seen]
-        else:
-            for e in entries:
-                if len(found) < cap:
-                    found.setdefault(e)
-    return list(found)
-
-
-def test_sitemap_walk_matches_queue(spark):
-    b = "https://s.com"
-    files = {
-        f"{b}/sitemap.xml": ("index", [f"{b}/m1", f"{b}/m2", f"{b}/sitemap.xml", f"{b}/gone"]),
-        f"{b}/m1": ("set", [f"{b}/{i}" for i in (5, 3, 1)]),
-        f"{b}/m2": ("index", [f"{b}/m3", f"{b}/m1", f"{b}/sitemap.xml"]),
-        f"{b}/m3": ("set", [f"{b}/{i}" for i in (1, 9, 7)]),
-        f"{b}/own.xml": ("set", [f"{b}/first"]),
-        f"{b}/wp-sitemap.xml": ("set", [f"{b}/{i}" for i in (3, 8)]),
-    }
-    text = "User-agent: *\nsiteMAP: https://s.com/own.xml\n"
-    rows = [(u, (index if k == "index" else urlset)(*e)) for u, (k, e) in files.items()]
-    sites = spark.createDataFrame([("s.com", b)], "site string, base string")
-    maps = spark.createDataFrame(rows, "url string, body string")
-    robots_df = spark.createDataFrame([("s.com", text)], "site string, body string")
-    for cap in (100, 4):
-        got = discovery.expand_sitemaps(sites, maps, robots_df, cap).orderBy("level", "ord", "pos").collect()
-        assert [r.url for r in got] == queue_sitemaps(b, text, files, cap)
-
-
-def queue_links(base, pages, cap, depth_cap):
-    """Model: one queue, one page at a time. ``pages``: url -> absolute links of the site."""
-    import re
-
-    from pagemill.sources.seeds import INDEX_PATHS
-
-    paging, hint = re.compile(r"/page/\d+|[?&]page=\d+|[?&]paged=\d+"), re.compile(r"^https://[^/]*.*/(blog|news)/")
-    queue, seen, found = [(base, 0)] + [(base + p, 0) for p in INDEX_PATHS], set(), {}
-    while queue and len(found) < cap:
-        url, depth = queue.pop(0)
-        if url in seen or depth > depth_cap:
-            continue
-        seen.add(url)
-        following = []
-        for link in pages.get(url, []):
-            if paging.search(link) and link not in seen:
-                following.append(link)
-            elif hint.search(link):
-                found.setdefault(link)
-        queue += [(x, depth + 1) for x in following if x not in seen]
-    return list(found)
-
-
-def test_link_crawl_matches_queue(spark):
-    b = "https://s.com"
-    pages = {
-        b: [f"{b}/blog/a", f"{b}/blog/page/2", f"{b}/blog/page/3", f"{b}/about"],
-        f"{b}/blog": [f"{b}/blog/b", f"{b}/blog/page/2", f"{b}/blog/a", f"{b}/blog/c"],
-        f"{b}/blog/page/2": [f"{b}/blog/page/2", f"{b}/blog/d", f"{b}/blog/page/3", f"{b}/blog/page/4"],
-        f"{b}/blog/page/3": [f"{b}/blog/page/2", f"{b}/blog/e", f"{b}/news/f", f"{b}/blog/page/5?paged=1"],
-        f"{b}/blog/page/4": [f"{b}/blog/page/3", f"{b}/blog/g", f"{b}/blog/page/2"],
-        f"{b}/blog/page/5?paged=1": [f"{b}/blog/h", f"{b}/blog/page/4"],
-        f"{b}/blog/a": [f"{b}/blog/never"],
-    }
-    rows = [(u, 200, "text/html", "".join(f"<a href='{x}#z'>x</a>" for x in links)) for u, links in pages.items()]
-    rows += [(f"{b}/news", 404, "text/html", f"<a href='{b}/blog/lost'>x</a>"), (f"{b}/press", 200, "text/plain", f"<a href='{b}/blog/lost'>x</a>")]
-    sites = spark.createDataFrame([("s.com", b, "s.com")], "site string, base string, root string")
-    fetched = spark.createDataFrame(rows, "url string, http_status int, content_type string, html string")
-    for cap, depth in ((100, 500), (3, 500), (100, 1), (6, 500)):
-        got = discovery.crawl_links(sites, fetched, cap, depth).orderBy("level", "ord", "pos").collect()
-        assert [r.url for r in got] == queue_links(b, pages, cap, depth), (cap, depth)
+def walk_sitemaps(spark, files, robots_text=None, **options):
+    sites = spark.createDataFrame([("a.org", "https://a.org")], "site string, base string")
+    maps = spark.createDataFrame(files, "url string, body string")
+    told = spark.createDataFrame([("a.org", robots_text)], "site string, body string") if robots_text else None
+    return [r.url for r in discovery.expand_sitemaps(sites, maps, told, **options).orderBy("level", "ord", "pos").collect()]
+
+
+def test_sitemap_walk_order(spark):
+    """A file named by robots comes before the usual places; children come a round later; a file is opened once."""
+    a = "https://a.org"
+    files = [
+        (f"{a}/hidden.xml", urlset(f"{a}/r1", f"{a}/r2")),
+        (f"{a}/sitemap.xml", index(f"{a}/deep.xml", f"{a}/hidden.xml")),
+        (f"{a}/blog-sitemap.xml", urlset(f"{a}/b1", f"{a}/r1")),
+        (f"{a}/deep.xml", index(f"{a}/deeper.xml", f"{a}/sitemap.xml")),
+        (f"{a}/deeper.xml", urlset(f"{a}/b1", f"{a}/d1")),
+        (f"{a}/unnamed.xml", urlset(f"{a}/lost")),
+    ]
+    text = "User-agent: *\nSITEMAP: https://a.org/hidden.xml\n"
+    assert walk_sitemaps(spark, files, text) == [f"{a}/{x}" for x in ("r1", "r2", "b1", "d1")]
+    assert walk_sitemaps(spark, files) == [f"{a}/{x}" for x in ("b1", "r1", "r2", "d1")]
+    assert walk_sitemaps(spark, files, text, max_urls=3) == [f"{a}/{x}" for x in ("r1", "r2", "b1")]
+
+
+def test_sitemap_loop_and_many_urls(spark):
+    """Two files that name each other end the walk; a site of 20,001 addresses keeps them all."""
+    a = "https://a.org"
+    many = [f"{a}/p{i}" for i in range(20_001)]
+    files = [(f"{a}/sitemap.xml", index(f"{a}/x.xml")), (f"{a}/x.xml", index(f"{a}/sitemap.xml", f"{a}/y.xml")), (f"{a}/y.xml", urlset(*many))]
+    assert walk_sitemaps(spark, files) == many
+
+
+def crawl(spark, pages, **options):
+    rows = [(u, 200, "text/html; charset=utf-8", "".join(f"<a href='{x}'>x</a>" for x in links)) for u, links in pages]
+    sites = spark.createDataFrame([("a.org", "https://a.org", "a.org")], "site string, base string, root string")
+    return discovery.crawl_links(sites, spark.createDataFrame(rows, "url string, http_status int, content_type string, html string"), **options)
+
+
+def test_link_crawl_order(spark):
+    """Home first, then index pages, then the pages they lead to, each opened once; articles are not opened."""
+    a = "https://a.org"
+    pages = [
+        (a, [f"{a}/news/one", "/news/page/2", "/contact"]),
+        (f"{a}/news", ["/news/two#top", f"{a}/news/one", "/news/page/2", "https://other.org/news/x"]),
+        (f"{a}/news/page/2", ["/news/three", "/news/page/2", "/news/page/3"]),
+        (f"{a}/news/page/3", ["/news/page/2", "/blog/four"]),
+        (f"{a}/news/one", ["/news/never"]),
+    ]
+    order = lambda df: [r.url.removeprefix(a) for r in df.orderBy("level", "ord", "pos").collect()]
+    assert [x for x in order(crawl(spark, pages)) if "page" not in x] == ["/news/one", "/news/two", "/news/three", "/blog/four"]
+    assert [x for x in order(crawl(spark, pages, max_depth=1)) if "page" not in x] == ["/news/one", "/news/two", "/news/three"]
+    assert order(crawl(spark, pages, max_urls=1)) == ["/news/one"]
+
+
+def test_crawl_reads_only_html_answers(spark):
+    sites = spark.createDataFrame([("a.org", "https://a.org", "a.org")], "site string, base string, root string")
+    rows = [("https://a.org/blog", 404, "text/html", "<a href='/blog/x'>"), ("https://a.org/press", 200, "text/plain", "<a href='/blog/y'>"), ("https://a.org/news", 200, "text/html", "<a href='/blog/z'>")]
+    got = discovery.crawl_links(sites, spark.createDataFrame(rows, "url string, http_status int, content_type string, html string"))
+    assert [r.url for r in got.collect()] == ["https://a.org/blog/z"]
+
+
+def test_new_urls_are_safe_without_addresses(spark):
+    urls = ["http://localhost/a", "http://10.1.2.3/a", "ftp://e.com/a", "https://e.com/a", "https://e.com/a/"]
+    found = spark.createDataFrame([("j", u, "sitemap", None, 0, 0, 0, i) for i, u in enumerate(urls)],
+                                  "job_id string, url string, source string, lastmod string, rank int, level int, ord long, pos int")
+    assert [r.raw_url for r in discovery.new_urls(found).collect()] == ["https://e.com/a"]
+
+
+def test_sitemap_spellings(spark):
+    body = "<url><loc>https://e.com/1</loc></url>"
+    bodies = [
+        f"\ufeff<?xml version='1.0'?><urlset {NS}>{body}</urlset>",
+        "<sm:urlset xmlns:sm='http://www.sitemaps.org/schemas/sitemap/0.9'><sm:url><sm:loc>https://e.com/1</sm:loc></sm:url></sm:urlset>",
+        f"<!DOCTYPE urlset [<!ELEMENT url ANY>\n<!ENTITY x 'y'>]><urlset {NS}>{body}</urlset>",
+        f"<!DOCTYPE urlset><!-- c --><urlset {NS}>{body}</urlset>",
+    ]
+    other = ["<sm:urlset xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'><sm:url><sm:loc>x</sm:loc></sm:url></sm:urlset>", "<a", "", None]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies + other)], "i int, body string")
+    rows = df.select("i", sitemaps.page_entries(F.col("body")).alias("p")).orderBy("i").collect()
+    assert [[e.loc for e in r.p] for r in rows[:4]] == [["https://e.com/1"]] * 4
+    assert not any(r.p for r in rows[4:])
+
+
+def test_feed_with_a_very_long_link_text(spark):
+    long = "https://e.com/" + "x" * 1_000_000
+    df = spark.createDataFrame([(0, f"<rss><channel><link>{long}</link><link><![CDATA[{long}]]></link></channel></rss>")], "i int, body string")
+    assert [r.url for r in feeds.feed_urls(df).collect()] == [long, long]
+
+
+def test_anchor_spellings(spark):
+    forms = [
+        '<a href="/1">', '<a  href="/2">', '<a\n   href="/3">', '<a class="b"  href="/4">', "<a class=b href=/5>", "<a download href='/6'>", '<a data-href="/no" href = "/7">',
+        '<a\n class="x"\n title="a > b"\n href="/8"\n>', "<A HREF=/9 target=_blank>", '<a xhref="/no">', "<a name=href>", '<a ' + "y=1 " * 20_000 + 'href="/10">', "<a href>",
+    ]
+    df = spark.createDataFrame([("https://e.com/p", "".join(f"{f}t</a>" for f in forms))], "url string, html string")
+    assert [r.link for r in page_links(df).orderBy("pos").collect()] == [f"https://e.com/{i}" for i in range(1, 11)] + ["https://e.com/p"]
+
+
+def test_error_texts(spark):
+    rows = [(0, ""), (0, None), (0, "Timeout"), (503, "x"), (200, "x")]
+    got = fetches.fetch_results(spark.createDataFrame([(s, e, "h") for s, e in rows], "http_status int, error string, html string"))
+    assert [r.error for r in got.collect()] == ["Unknown fetch error", "Unknown fetch error", "Timeout", "HTTP 503", None]
 
 
 def test_robots_match_standard_library(spark):
@@ -192,7 +211,8 @@ def test_fetch_choice_and_attempts(spark):
     assert got == {"a": (False, many), "b": (True, "drawn"), "c": (False, "thin"), "d": (True, None), "e": (True, "r"), "f": (False, None)}
     tries = spark.createDataFrame([("a", 0, 500, None), ("a", 1, 200, "x"), ("a", 2, 200, "y"), ("b", 0, 500, None), ("b", 3, 0, None), ("b", 4, 200, "late")],
                                   "url string, attempt int, http_status int, html string")
-    assert {r.url: r.attempt for r in fetches.final_attempts(tries, ["url"]).collect()} == {"a": 1, "b": 3}
+    assert {r.url: r.attempt for r in fetches.final_attempts(tries, ["url"]).collect()} == {"a": 1, "b": 4}
+    assert {r.url: r.attempt for r in fetches.final_attempts(tries, ["url"], max_retries=3).collect()} == {"a": 1, "b": 3}
     assert [r.backoff_seconds for r in fetches.with_backoff(tries.where("url = 'b'")).orderBy("attempt").collect()] == [1.0, 8.0, 10.0]
 
 
