@@ -16,7 +16,7 @@ from pagemill.functions.html import first_element, own_texts, text_of, tokenize,
 from pagemill.functions.text import let
 from pagemill.operators import accounting, robots, safety
 from pagemill.operators.ordering import first_per_key, frontier_batches, number_rows, page_of_rows
-from pagemill.plans import discovery, export
+from pagemill.plans import batch_run, discovery, export
 from pagemill.plans.extraction import analyze_columns, extract_articles
 from pagemill.session import apply_defaults, cut_lineage, ensure_checkpoint_dir
 from pagemill.sources import feeds as feed_source
@@ -328,6 +328,43 @@ def fetch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tried.select("page_id", state.alias("status"))
 
 
+def _crawl_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as queued URLs, fetched in two attempts of which the second gives HTML for https; mobile hosts block /de/."""
+    pages = _pages(spark, sf_dir)
+    urls = pages.select(
+        F.regexp_extract("url", "//[^/]*/([a-z]*)", 1).alias("job_id"), F.col("url").alias("raw_url"), F.lit("queued").alias("status"),
+        (F.col("page_id") % 5).cast("int").alias("retry_count"),
+    )
+    good = F.startswith("url", F.lit("https"))
+    second = pages.select(
+        "url", F.lit(1).alias("attempt"), F.when(good, 200).otherwise(503).alias("http_status"), F.when(good, F.col("html")).alias("html"), F.lit(None).cast("string").alias("error")
+    )
+    first = second.select("url", F.lit(0).alias("attempt"), F.lit(0).alias("http_status"), F.lit(None).cast("string").alias("html"), F.lit("Timeout").alias("error"))
+    mobile = pages.where(F.contains("url", F.lit("://m."))).select(U.site_root(URL("url")).alias("site_root")).distinct()
+    files = mobile.select("site_root", F.lit(200).alias("http_status"), F.lit("User-agent: *\nDisallow: /de/\n").alias("body"))
+    return batch_run.run_urls(urls, first.unionByName(second), robots.robots_rules(files))
+
+
+def crawl_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _crawl_run(spark, sf_dir).select(
+        "job_id", "raw_url", "status", F.round("confidence", 6).alias("confidence"), F.col("http_status").cast("bigint").alias("http_status"),
+        F.col("retry_count").cast("bigint").alias("retry_count"), "error",
+    )
+
+
+def crawl_run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch_run.run_counts(_crawl_run(spark, sf_dir))
+
+
+def crawl_run_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of a run, appended twice: the second time adds nothing."""
+    found = batch_run.run_articles(_crawl_run(spark, sf_dir)).select("job_id", "raw_url", F.col("word_count").cast("bigint").alias("word_count"))
+    folder = _scratch(spark, "run-articles")
+    for batch in ("1", "2"):
+        batch_run.append_once(found, folder, batch, ["job_id", "raw_url"])
+    return spark.read.option("basePath", folder).parquet(folder).select("job_id", "raw_url", "word_count")
+
+
 def results_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     apply_defaults(spark)
     articles = inputs.crawl_tables(spark, sf_dir)["articles"]
@@ -444,7 +481,7 @@ _QUERIES: list[Query] = [
     article_url_counts, url_normalize, url_parts, url_dedup_first, path_filter, same_site, add_scheme, link_extract,
     link_domain_counts, tag_counts, title_h1, visible_words, structured_content, body_fallback, classify_confidence,
     article_metadata, article_content, article_score, site_seeds, sitemap_entries, sitemap_expand, sitemap_capped, bfs_links,
-    bfs_links_depth, feed_links, discover_union, discover_sparse, new_urls, robots_gate, robots_delay, url_safety, fetch_results, final_attempts,
+    bfs_links_depth, feed_links, discover_union, discover_sparse, new_urls, crawl_run, crawl_run_counts, crawl_run_stored, robots_gate, robots_delay, url_safety, fetch_results, final_attempts,
     fetch_choice, job_progress, url_states, job_states, fetch_outcomes, results_page, batches, batches_per_job, config_snapshot,
     failure_export, failure_log, export_rows, export_csv, export_names, stream_extract, stream_distinct_urls, stream_counts,
 ]

@@ -148,6 +148,20 @@ rows1 AS (
     SELECT *, 'https://example.com/' || CASE WHEN lang = 'es' THEN 'tag/' ELSE 'docs/' END || doc_id AS blog_url FROM full_docs) t)
 """
 
+_RUN = f"""{_TOKENS}, long AS (SELECT page_id, count(*) FILTER (WHERE tag = 'p' AND length(tight) > 80) AS n FROM lines GROUP BY page_id),
+run AS (
+  SELECT regexp_extract(p.url, '//[^/]*/([a-z]*)', 1) AS job_id, p.url AS raw_url, words,
+    CASE WHEN blocked THEN 'skipped' WHEN NOT good THEN CASE WHEN p.page_id % 5 < 3 THEN 'failed' ELSE 'permanently_failed' END
+      WHEN {_non_article('p.url')} THEN 'skipped' WHEN words >= 50 THEN 'success' ELSE 'partial' END AS status,
+    CASE WHEN blocked OR NOT good THEN NULL ELSE round(CASE WHEN {_non_article('p.url')} THEN 0.05 ELSE
+      least(1.0::DOUBLE, 0.2::DOUBLE + CASE WHEN n >= 3 THEN 0.25 ELSE 0.0 END + CASE WHEN regexp_matches(lower(p.url), '/blog|/article|/post') THEN 0.3 ELSE 0.0 END + 0.5) END, 6) END AS confidence,
+    CAST(CASE WHEN blocked THEN NULL WHEN good THEN 200 ELSE 503 END AS BIGINT) AS http_status,
+    CAST(p.page_id % 5 + CASE WHEN blocked OR good THEN 0 ELSE 1 END AS BIGINT) AS retry_count,
+    CASE WHEN NOT blocked AND NOT good THEN 'HTTP 503' END AS error
+  FROM (SELECT *, starts_with(url, 'https') AS good, contains(url, '://m.') AND regexp_matches(url, '^[^/]*//[^/]*/de/') AS blocked FROM pages) p
+  JOIN long USING (page_id) JOIN (SELECT page_id, {_words('structured_content')} AS words FROM article) a USING (page_id))"""
+
+
 ORACLE = {
     "article_url_counts": f"""
 SELECT {_domain('url')} AS domain, count(*) AS article_urls FROM (
@@ -321,6 +335,13 @@ FROM j LEFT JOIN u ON c_custkey = o_custkey""",
 WITH {_TOKENS}
 SELECT page_id, CASE WHEN starts_with(url, 'http:') THEN CASE WHEN page_id % 5 < 3 THEN 'failed' ELSE 'permanently_failed' END
   WHEN {_non_article('url')} THEN 'skipped' WHEN {_words('structured_content')} >= 50 THEN 'success' ELSE 'partial' END AS status FROM article""",
+    "crawl_run": f"WITH {_RUN} SELECT job_id, raw_url, status, confidence, http_status, retry_count, error FROM run",
+    "crawl_run_counts": f"""
+WITH {_RUN}
+SELECT job_id, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'skipped') AS skipped,
+  count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'permanently_failed') AS permanently_failed,
+  CAST(coalesce(sum(words) FILTER (status IN ('success', 'partial')), 0) AS BIGINT) AS words FROM run GROUP BY job_id""",
+    "crawl_run_stored": f"WITH {_RUN} SELECT job_id, raw_url, CAST(words AS BIGINT) AS word_count FROM run WHERE status IN ('success', 'partial')",
     "results_page": f"""
 WITH {_OWNED}
 SELECT 'job-' || o_custkey AS job_id, page AS raw_url, CAST(l_quantity AS BIGINT) AS word_count FROM owned WHERE l_returnflag = 'N'
