@@ -472,16 +472,17 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = _pages(spark, sf_dir).schema
     stream = incremental.read_page_stream(spark, f"{sf_dir}/pages*.parquet", schema)
     urls = stream.select(F.regexp_extract("url", "//[^/]*/([a-z]*)", 1).alias("job_id"), U.looks_like_article(URL("url")).alias("is_candidate"))
-    name = "counts_" + uuid.uuid4().hex
-    incremental.publish_counts(urls, name, _scratch(spark, "progress")).awaitTermination()
-    return spark.table(name)
+    out = _scratch(spark, "counts")
+    incremental.publish_counts(urls, out, _scratch(spark, "progress")).awaitTermination()
+    return spark.read.parquet(out)
 
 
 _QUERIES: list[Query] = [
     article_url_counts, url_normalize, url_parts, url_dedup_first, path_filter, same_site, add_scheme, link_extract,
     link_domain_counts, tag_counts, title_h1, visible_words, structured_content, body_fallback, classify_confidence,
     article_metadata, article_content, article_score, site_seeds, sitemap_entries, sitemap_expand, sitemap_capped, bfs_links,
-    bfs_links_depth, feed_links, discover_union, discover_sparse, new_urls, crawl_run, crawl_run_counts, crawl_run_stored, robots_gate, robots_delay, url_safety, fetch_results, final_attempts,
+    bfs_links_depth, feed_links, discover_union, discover_sparse, new_urls, crawl_run, crawl_run_counts, crawl_run_stored,
+    robots_gate, robots_delay, url_safety, fetch_results, final_attempts,
     fetch_choice, job_progress, url_states, job_states, fetch_outcomes, results_page, batches, batches_per_job, config_snapshot,
     failure_export, failure_log, export_rows, export_csv, export_names, stream_extract, stream_distinct_urls, stream_counts,
 ]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagemill.functions.urls import normalize_url
+from pagemill.plans.batch_run import append_once
 from pagemill.plans.extraction import extract_articles
 
 
@@ -32,17 +33,18 @@ def extract_new_pages(pages: DataFrame, out: str, checkpoint: str) -> StreamingQ
     )
 
 
-def distinct_urls(urls: DataFrame, url: str = "url") -> DataFrame:
-    """First row per (job_id, normalized_url) over all runs; the keys are kept as stream state."""
-    keyed = urls.withColumn("normalized_url", normalize_url(F.col(url)))
-    return keyed.dropDuplicates(["job_id", "normalized_url"])
+def append_distinct(urls: DataFrame, out: str, checkpoint: str, url: str = "url") -> StreamingQuery:
+    """Store the first row per (job_id, normalized_url) over all runs.
 
+    The stored rows themselves say which keys are known, so no key is kept in stream state. Each batch has a
+    folder of its own, which a rerun writes again.
+    """
 
-def append_distinct(urls: DataFrame, out: str, checkpoint: str, url: str = "url") -> StreamingQuery:
-    return (
-        distinct_urls(urls, url).writeStream.format("parquet").option("path", out)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    def write(batch: DataFrame, batch_id: int) -> None:
+        keyed = batch.withColumn("normalized_url", normalize_url(F.col(url)))
+        append_once(keyed.dropDuplicates(["job_id", "normalized_url"]), out, str(batch_id), ["job_id", "normalized_url"])
+
+    return urls.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def live_counts(urls: DataFrame) -> DataFrame:
@@ -52,9 +54,13 @@ def live_counts(urls: DataFrame) -> DataFrame:
     )
 
 
-def publish_counts(urls: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Keep the counters in an in-memory table that a dashboard can poll."""
+def publish_counts(urls: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Keep the counters in a table that a dashboard can read; each batch replaces it."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
     return (
-        live_counts(urls).writeStream.outputMode("complete").format("memory").queryName(name)
+        live_counts(urls).writeStream.outputMode("complete").foreachBatch(write)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
