@@ -1,20 +1,14 @@
-"""Lookup joins that stay even when one key holds a large share of the rows."""
+"""Joins of a large table with a lookup table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
-def salted_lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left", salts: int = 16) -> DataFrame:
-    """Join a large table to a lookup table that has at most one row per key.
+def lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join with a table that has at most one row per key.
 
-    Every left row gets one of ``salts`` salts and the (much smaller) lookup is repeated for each,
-    so a key with a third of all rows is spread over that many tasks. Nothing is dropped or
-    capped. If the lookup is small, adaptive execution turns the join into a broadcast by
-    the size it measures.
+    Adaptive execution decides by measured sizes: a small lookup is broadcast, and a key with a third of
+    all rows is split over many tasks (skew join), each with that key's one lookup row.
     """
-    row = F.xxhash64(*[c for c in left.columns if left.schema[c].dataType.typeName() not in ("map", "variant")])
-    salted = left.withColumn("_salt", F.pmod(row, F.lit(salts)).cast("int"))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+    return left.join(right, key, "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.text import percent_decode, strip
 from pagemill.functions.urls import site_root, url_fragment, url_netloc, url_path, url_query
-from pagemill.operators.joins import salted_lookup
+from pagemill.operators.joins import lookup
 
 USER_AGENT = "Mozilla/5.0"
 
@@ -93,7 +93,7 @@ def request_path(url: Column) -> Column:
 def robots_gate(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     """Add ``allowed``: the first matching rule of the site decides, no rule allows."""
     asked = urls.withColumn("site_root", site_root(F.col(url))).withColumn("_path", request_path(F.col(url)))
-    joined = salted_lookup(asked, rules.select("site_root", "rules"), "site_root")
+    joined = lookup(asked, rules.select("site_root", "rules"), "site_root")
     # A lone * was never a wildcard here: rules are compared as percent-encoded text.
     hit = F.get(F.filter("rules", lambda r: F.startswith(F.col("_path"), r["path"])), 0)
     return joined.withColumn("allowed", F.coalesce(hit["allow"], F.lit(True))).select(*urls.columns, "allowed")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.text import any_of, let
 from pagemill.functions.urls import url_netloc, url_scheme
-from pagemill.operators.joins import salted_lookup
+from pagemill.operators.joins import lookup
 
 # Hosts never fetched.
 BLOCKED_HOSTS = ["localhost", "127.0.0.1", "0.0.0.0", "::1"]
@@ -114,12 +114,14 @@ def with_reject_reason(urls: DataFrame, dns: DataFrame, url: str = "url") -> Dat
     hosts = dns.groupBy(F.lower("host").alias("_host")).agg(
         F.min(F.when(F.coalesce(is_unsafe_ip(F.col("ip")), F.lit(True)), F.col("ip"))).alias("_bad"), F.lit(True).alias("_known")
     )
-    asked = urls.withColumn("_own", url_reject_reason(F.col(url))).withColumn("_host", url_host(F.col(url)))
-    joined = salted_lookup(asked, hosts, "_host")
-    literal = ip_hex(F.col("_host")).isNotNull()
+    own, host = url_reject_reason(F.col(url)), url_host(F.col(url))
+    # Rejected URLs and address literals have no host to look up: their NULL key meets no row.
+    told = urls.withColumn("_own", own).withColumn("_literal", ip_hex(host).isNotNull())
+    asked = told.withColumn("_host", F.when(F.col("_own").isNull() & ~F.col("_literal"), host))
+    joined = lookup(asked, hosts, "_host")
     return joined.withColumn(
         "reject_reason",
-        F.when(F.col("_own").isNotNull(), F.col("_own")).when(literal, F.lit(None))
+        F.when(F.col("_own").isNotNull(), F.col("_own")).when(F.col("_literal"), F.lit(None))
         .when(F.col("_known").isNull(), F.concat(F.lit("DNS resolution failed for "), F.col("_host")))
         .when(F.col("_bad").isNotNull(), F.concat(F.lit("Blocked internal/private IP: "), F.col("_bad"))),
     ).select(*urls.columns, "reject_reason")
