@@ -24,6 +24,7 @@ any other, and a component with no other id has a NULL id; an empty table gives
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +34,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import ASCII_SPACE, SPACE_RE, ascii_lower, packed, stored, whole_text
+from pagemill.llm.common import ASCII_SPACE, map_arrow, packed, stored, whole_text, workers_find_package
 
 BANDS, ROWS = 30, 5
 COORDINATES = BANDS * ROWS
 BLOCK = 1000
 HIGHEST = 2**63 - 1
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
-NO_WORDS = "d41d8cd98f00b204e9800998ecf8427e"  # md5 of the empty text
 
 
 def least_agreement(percent: int) -> int:
@@ -59,9 +59,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 _ROUNDS = _mixed(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def shingle_set(text: bytes, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``size``-word shingles; A-Z count as a-z."""
-    words = text.lower().split()
+def shingle_set(words: list[bytes], size: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the ``size``-word shingles."""
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     if not words:
         return h
@@ -72,6 +71,16 @@ def shingle_set(text: bytes, size: int) -> np.ndarray:
     return np.unique(out)
 
 
+def words_of(text: pa.Scalar) -> list[bytes]:
+    """Words between runs of ASCII white space; A-Z count as a-z (bytes know no other letters)."""
+    return text.as_buffer().to_pybytes().lower().split()
+
+
+def class_key(words: list[bytes]) -> bytes:
+    """128-bit hash, the same for texts with the same words."""
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
 def sketch(items: np.ndarray) -> np.ndarray:
     """125 coordinates of 32 bits; all filled unless the set is empty."""
     t, n = COORDINATES, len(items)
@@ -90,41 +99,44 @@ def sketch(items: np.ndarray) -> np.ndarray:
     return _mixed(best).astype(np.uint32)
 
 
-def class_key(text: Column) -> Column:
-    """128-bit hash of the words, the same for texts with the same words."""
-    return F.unhex(F.md5(F.regexp_replace(F.trim(ascii_lower(text), F.lit(ASCII_SPACE)), SPACE_RE, " ")))
-
-
-def keyed(docs: DataFrame, text: str, doc_id: str) -> list[Column]:
+def keyed(text: str, doc_id: str) -> list[Column]:
+    """Id ``d`` (NULL: the largest long), hash ``h`` of the raw text, text ``t`` as bytes."""
     t = whole_text(F.col(text))
-    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(HIGHEST)).alias("d"), class_key(t).alias("c"), t.alias("t")]
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(HIGHEST)).alias("d"), F.xxhash64(t).alias("h"), t.cast("binary").alias("t")]
 
 
 def _sketched(source: DataFrame, size: int) -> DataFrame:
-    """``d, c, n, sketch`` per document."""
+    """``d, h, c, n, sketch`` per document: class, number of shingles, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, sketches = [], []
+            classes, counts, sketches = [], [], []
             for text in batch.column(2):
-                items = shingle_set(text.as_buffer().to_pybytes(), size)
+                words = words_of(text)
+                items = shingle_set(words, size)
+                classes.append(class_key(words))
                 counts.append(len(items))
                 sketches.append(sketch(items).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(sketches, pa.binary())], ["d", "c", "n", "sketch"])
+            made = [pa.array(classes, pa.binary()), pa.array(counts, pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["d", "h", "c", "n", "sketch"])
 
-    return source.select("d", "c", F.col("t").cast("binary").alias("t")).mapInArrow(run, "d long, c binary, n long, sketch binary")
+    return map_arrow(source.select("d", "h", "t"), run, "d long, h long, c binary, n long, sketch binary")
 
 
 def _sets(source: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``c, items`` of the classes in ``wanted`` (d, c): full sets, made anew from the texts."""
+    """``c, items`` of the classes whose first row ``(d, h)`` is in ``wanted``: full sets, made anew from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = [shingle_set(text.as_buffer().to_pybytes(), size).tobytes() for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], ["c", "items"])
+            classes, items = [], []
+            for text in batch.column(0):
+                words = words_of(text)
+                classes.append(class_key(words))
+                items.append(shingle_set(words, size).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(items, pa.binary())], ["c", "items"])
 
-    texts = source.join(wanted, ["d", "c"], "left_semi").dropDuplicates(["d", "c"])
-    return texts.select("c", F.col("t").cast("binary").alias("t")).mapInArrow(run, "c binary, items binary")
+    texts = source.join(wanted, ["d", "h"], "left_semi").dropDuplicates(["d", "h"])
+    return map_arrow(texts.select("t"), run, "c binary, items binary")
 
 
 def _agreement(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -137,7 +149,7 @@ def _agreement(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, COORDINATES) for i in (2, 3))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((x == y).sum(1), pa.int32())], ["a", "b", "same"])
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, same int")
+    return map_arrow(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y"), run, "a binary, b binary, same int")
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
@@ -165,7 +177,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return map_arrow(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y"), run, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -182,22 +194,22 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _remaining_links(members: DataFrame, source: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between what the pivots left apart. ``members``: key, c, comp, pivot_comp, near, mid."""
+def _remaining_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between what the pivots left apart. ``members``: key, c, comp, pivot_comp, near, mid, without the pivots."""
     apart = F.col("comp") != F.col("pivot_comp")
     marked = members.select("key", "c", "comp", "near", "mid", apart.alias("apart"))
+    # A probe (apart) meets the others that are apart or no direct neighbours of the pivot; if it lies at middle distance, also those.
     sums = marked.groupBy("key").agg(
-        F.count_if("apart").alias("probes"), F.count_if(F.expr("apart and mid")).alias("mids"), F.count_if(F.expr("apart or not near")).alias("others"), F.count(F.lit(1)).alias("all")
-    ).where("probes > 0 and (others > 1 or mids > 0)")
+        F.count_if("apart").alias("probes"), F.count_if(F.expr("apart and mid")).alias("mids"),
+        F.count_if(F.expr("apart or not near")).alias("others"), F.count_if(F.expr("near and not apart")).alias("nears"),
+    ).where("probes > 0 and (others > 1 or (mids > 0 and nears > 0))")
     left = marked.join(sums, "key").where("apart or not near or mids > 0")
-    targets = F.when(F.col("mids") > 0, F.col("all")).otherwise(F.col("others"))
+    targets = F.col("others") + F.when(F.col("mids") > 0, F.col("nears")).otherwise(0)
     rows, columns = (F.ceil(x / BLOCK).cast("int") for x in (F.col("probes"), targets))
     sized = stored(left.select("key", "c", "comp", "near", "mid", "apart", rows.alias("rows"), columns.alias("columns")), "remaining")
     if sized.isEmpty():
         return sized.select(F.col("c").alias("a"), F.col("c").alias("b"))
-    wanted = nodes.join(sized.select("c").distinct(), "c", "left_semi").select("rep", "c", "sketch")
-    sets = _sets(source, wanted.select(F.col("rep").alias("d"), "c"), size)
-    loaded = sets.join(wanted.select("c", "sketch"), "c")
+    loaded = sets.join(sized.select("c").distinct(), "c", "left_semi").join(nodes.select("c", "sketch"), "c")
     mine_row, mine_column = F.pmod(F.xxhash64("c"), F.col("rows")), F.pmod(F.xxhash64("c"), F.col("columns"))
     as_probe = sized.where("apart").select("key", "c", "comp", "near", "mid", F.lit(True).alias("probe"), mine_row.alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"))
     as_target = sized.select("key", "c", "comp", "near", "mid", F.lit(False).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), mine_column.alias("j"))
@@ -207,6 +219,7 @@ def _remaining_links(members: DataFrame, source: DataFrame, nodes: DataFrame, si
         found = _block_links(frame[frame.probe], frame[~frame.probe], percent)
         return pd.DataFrame(found, columns=["a", "b"])
 
+    workers_find_package(nodes.sparkSession)
     return dealt.join(loaded, "c").groupBy("key", "i", "j").applyInPandas(run, "a binary, b binary")
 
 
@@ -237,59 +250,68 @@ def _block_links(probes: pd.DataFrame, targets: pd.DataFrame, percent: int) -> l
     return found
 
 
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """``key, c, k``: classes by shared band, ``k`` to a bucket. Bands with the same classes are one bucket."""
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sketch", b * (4 * ROWS) + 1, F.lit(4 * ROWS))))
+    bands = nodes.select("c", F.explode(keys).alias("key"))
+    sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("c")).alias("x")).where("k > 1")
+    once = sizes.groupBy("k", "x").agg(F.min("key").alias("key")).select("key", "k")
+    return bands.join(once, "key")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``d, c, n, component_id, kept`` per row: shingle count, smallest id reachable, and the row's (d, c) that stays.
+    """``d, h, n, component_id, kept`` per row: id, text hash, shingle count, smallest id reachable, and whether it stays.
 
     ``size`` words a shingle; linked from ``percent`` hundredths of Jaccard similarity (80 or more: the bands are made for that).
+    ``kept`` marks one (d, h) of each group, and every row without words.
     """
     if percent < 80:
         raise ValueError("bands and bounds hold from a similarity of 0.8 on")
-    source = docs.select(*keyed(docs, f"`{text}`", f"`{doc_id}`"))
+    source = docs.select(*keyed(f"`{text}`", f"`{doc_id}`"))
     rows = stored(_sketched(source, size), "sketches")
-    per_class = rows.where("n > 0").groupBy("c").agg(F.min("d").alias("rep"), F.first("sketch").alias("sketch"))
-    nodes = stored(per_class, "classes")
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sketch", b * (4 * ROWS) + 1, F.lit(4 * ROWS))))
-    bands = nodes.select("c", F.explode(keys).alias("key"))
-    sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    met = stored(bands.join(sizes, "key"), "buckets")
+    nodes = stored(rows.where("n > 0").groupBy("c").agg(F.min(F.struct("d", "h")).alias("rep"), F.first("sketch").alias("sketch")), "classes")
+    met = stored(_buckets(nodes), "buckets")
     central = met.groupBy("c").agg(F.sum("k").alias("central"))
     pivots = met.join(central, "c").groupBy("key").agg(F.max(F.struct("central", "c")).alias("m")).select("key", F.col("m.c").alias("pivot"))
-    met = stored(met.join(pivots, "key").select("key", "c", "pivot"), "pivots")
-    pairs = met.where("c <> pivot").select(F.col("c").alias("a"), F.col("pivot").alias("b")).distinct()
+    met = stored(met.join(pivots, "key").where("c <> pivot").select("key", "c", "pivot"), "pivots")
+    pairs = met.select(F.col("c").alias("a"), F.col("pivot").alias("b")).distinct()
     compared = stored(_agreement(pairs, nodes), "compared")
     likely = compared.where(F.col("same") >= least_agreement(percent)).select("a", "b")
-    ends = likely.select(F.col("a").alias("c")).union(likely.select("b")).distinct()
-    wanted = nodes.join(ends, "c", "left_semi").select(F.col("rep").alias("d"), "c")
-    links = stored(_verified(likely, stored(_sets(source, wanted, size), "sets"), percent), "direct-links")
+    # Sets of all that may be compared: whoever agrees with a pivot, and whoever shares a bucket with others beside it.
+    crowded = met.join(met.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "key").select("c")
+    ends = likely.select(F.col("a").alias("c")).union(likely.select("b")).union(crowded).distinct()
+    sets = stored(_sets(source, nodes.join(ends, "c", "left_semi").select("rep.d", "rep.h"), size), "sets")
+    links = stored(_verified(likely, sets, percent), "direct-links")
     comps = components(links)
-    with_comp = nodes.select("c").join(comps, "c", "left").select("c", F.coalesce("comp", "c").alias("comp"))
+    with_comp = stored(nodes.select("c").join(comps, "c", "left").select("c", F.coalesce("comp", "c").alias("comp")), "node-components")
     near = compared.join(links.withColumn("near", F.lit(True)), ["a", "b"], "left").select(
         F.col("a").alias("c"), F.col("b").alias("pivot"), F.coalesce("near", F.lit(False)).alias("near"), (F.col("same") >= least_agreement(2 * percent - 100)).alias("mid")
     )
     members = (
-        met.join(near, ["c", "pivot"], "left").join(with_comp, "c").join(with_comp.select(F.col("c").alias("pivot"), F.col("comp").alias("pivot_comp")), "pivot")
-        .select("key", "c", "comp", "pivot_comp", F.coalesce("near", F.lit(True)).alias("near"), F.coalesce("mid", F.lit(True)).alias("mid"))
+        met.join(near, ["c", "pivot"]).join(with_comp, "c").join(with_comp.select(F.col("c").alias("pivot"), F.col("comp").alias("pivot_comp")), "pivot")
+        .select("key", "c", "comp", "pivot_comp", "near", "mid")
     )
-    more = stored(_remaining_links(members, source, nodes, size, percent), "further-links")
+    more = stored(_remaining_links(members, nodes, sets, percent), "further-links")
     if not more.isEmpty():
         comps = components(links.union(more))
     named = nodes.select("c", "rep").join(comps, "c", "left").select("c", "rep", F.coalesce("comp", "c").alias("comp"))
-    firsts = named.groupBy("comp").agg(F.min(F.struct("rep", "c")).alias("first")).select("comp", F.col("first.rep").alias("id"), F.col("first.c").alias("kept_c"))
-    of_class = stored(named.join(firsts, "comp").select("c", "id", "kept_c"), "components")
-    out = rows.select("d", "c", "n").join(of_class, "c", "left")
+    firsts = named.groupBy("comp").agg(F.min("rep").alias("first"))
+    of_class = stored(named.join(firsts, "comp").select("c", "first.*").toDF("c", "id", "kept_h"), "components")
+    out = rows.select("d", "h", "c", "n").join(of_class, "c", "left")
     component = F.when(F.col("n") == 0, F.col("d")).otherwise(F.col("id"))
     return out.select(
-        "d", "c", "n", F.when(component != HIGHEST, component).alias("component_id"),
-        ((F.col("n") == 0) | ((F.col("d") == F.col("id")) & (F.col("c") == F.col("kept_c")))).alias("kept"),
+        "d", "h", "n", F.when(component != HIGHEST, component).alias("component_id"),
+        ((F.col("n") == 0) | ((F.col("d") == F.col("id")) & (F.col("h") == F.col("kept_h")))).alias("kept"),
     )
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One document of each group and every document without words, with their own columns."""
-    kept = near_duplicates(docs, size, percent, text, doc_id).where("kept").select("d", "c").distinct()
+    kept = near_duplicates(docs, size, percent, text, doc_id).where("kept").select("d", "h").distinct()
     whole = packed(docs)
-    d, c, _ = keyed(whole, f"doc.`{text}`", f"doc.`{doc_id}`")
-    rows = whole.select("doc", d, c).join(kept, ["d", "c"], "left_semi")
+    d, h, _ = keyed(f"doc.`{text}`", f"doc.`{doc_id}`")
+    rows = whole.select("doc", d, h).join(kept, ["d", "h"], "left_semi")
     # Rows without words are no group: each gets a mark of its own.
-    mark = F.when(F.col("c") == F.unhex(F.lit(NO_WORDS)), F.monotonically_increasing_id())
-    return rows.withColumn("mark", mark).dropDuplicates(["d", "c", "mark"]).select("doc.*")
+    empty = F.trim(whole_text(F.col(f"doc.`{text}`")), F.lit(ASCII_SPACE)) == ""
+    marked = rows.withColumn("mark", F.when(empty, F.monotonically_increasing_id()))
+    return marked.dropDuplicates(["d", "h", "mark"]).select("doc.*")
