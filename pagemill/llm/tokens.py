@@ -1,7 +1,7 @@
-"""Token ids of whole texts by the tokenizers library, with bounded caches of words.
+"""Token ids of whole texts by the tokenizers library, with a bounded cache of words.
 
 Byte-level tokenizers never join anything across a single space between two characters that are not white space,
-so a text is cut there and each piece (with its leading space) is looked up. A piece that is not in the cache
+so a text is cut there, and around single line breaks, and each piece (with its leading space) is looked up. A piece that is not in the cache
 and has only common Latin characters is split by the tokenizer's own expression, and its parts go straight to
 the library's BPE model, which is several times faster than a full call for a short text; any other piece
 takes the full call. The ids are those of the whole text; tests compare them.
@@ -21,6 +21,7 @@ import regex  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_DOUBLE = re.compile(r"\s\s").search
 _COMMON = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ]+").fullmatch
 _SEGMENT = 1 << 20
 _LOADED: dict[str, Encoder] = {}
@@ -48,14 +49,15 @@ class _Cache:
 class Encoder:
     """Text to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, spec: str, cache_size: int = 400_000) -> None:
+    def __init__(self, spec: str, cache_size: int = 650_000) -> None:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
-        self.pieces, self.parts = _Cache(cache_size), _Cache(cache_size)
+        self.pieces = _Cache(cache_size)
         self.table = _alphabet()
         self.as_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.lower, self.split = self._short_way(json.loads(spec))
+        self.spaced = bool(self.split and self.split.fullmatch(" a"))  # a space begins its word
 
     @staticmethod
     def _short_way(spec: dict) -> tuple[bool, regex.Pattern | None]:
@@ -78,6 +80,18 @@ class Encoder:
             _LOADED[spec] = cls(spec)
         return _LOADED[spec]
 
+    def _parts(self, piece: str) -> list[str]:
+        """The piece as the tokenizer splits it; a word alone or before a comma or stop needs no expression."""
+        if self.lower:
+            piece = piece.lower()
+        word = piece[1:] if piece[0] == " " else piece
+        begun = piece if self.spaced else word
+        if word.isalpha():
+            return [begun]
+        if word[-1:] in (",", ".") and word[:-1].isalpha():
+            return [begun[:-1], word[-1]]
+        return self.split.findall(piece)
+
     def _short(self, part: str) -> bytes:
         """Ids of one part as the tokenizer splits texts, by its BPE model."""
         plain = part.isascii() and part.isprintable()
@@ -86,20 +100,23 @@ class Encoder:
         return b"".join([as_bytes[t.id] for t in self.model.tokenize(mapped)])
 
     def _learn(self, pieces: set[str]) -> None:
-        """Put all pieces into the newer generation."""
+        """Put all pieces into the newer generation. Parts of a piece are kept like pieces, since they are ones elsewhere."""
         new, old = self.pieces.make_room(len(pieces))
-        parts, old_parts = self.parts.make_room(2 * len(pieces))
-        findall = self.split.findall if self.split else None
         for p in pieces.difference(new):
             ids = old.get(p)
-            if ids is None and findall and _COMMON(p):
-                found = []
-                for q in findall(p.lower() if self.lower else p):
-                    x = parts.get(q)
-                    if x is None:
-                        x = parts[q] = old_parts.get(q) or self._short(q)
-                    found.append(x)
-                ids = b"".join(found)
+            if ids is None and self.split and _COMMON(p):
+                parts = self._parts(p)
+                if len(parts) == 1:
+                    ids = self._short(parts[0])
+                else:
+                    found = []
+                    for q in parts:
+                        key = q if self.spaced else " " + q
+                        x = new.get(key)
+                        if x is None:
+                            x = new[key] = old.get(key) or self._short(q)
+                        found.append(x)
+                    ids = b"".join(found)
             elif ids is None:
                 ids = b"".join([self.as_bytes[i] for i in self.tokenizer.encode(p, add_special_tokens=False).ids])
             new[p] = ids
@@ -115,6 +132,9 @@ class Encoder:
 
     @staticmethod
     def _pieces(segment: str) -> list[str]:
+        if "\0" not in segment and not _DOUBLE(segment):
+            # White space stands alone everywhere: a line break is a piece of its own, a space begins one.
+            return segment.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         first, *rest = _CUT.split(segment)
         return [first, *[" " + p for p in rest]]
 
