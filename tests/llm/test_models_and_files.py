@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -117,6 +118,47 @@ def test_word_ratios(spark):
     assert all(abs(got[w] - expected(*c)) < 1e-9 for w, c in (("rude", (0, 40)), ("calm", (60, 2)), ("even", (50, 50))))
 
 
+def brute_evidence(train, text):
+    """Length-normalised difference of two Kneser-Ney log-likelihoods, less that of an unknown word, from the definition."""
+    def marked(t):
+        return ["<", *toxicity.words_of(t), ">"]
+
+    def discount(counts):
+        one, two = (sum(c == n for c in counts.values()) for n in (1, 2))
+        return (one + 0.5) / (one + 2 * two + 1)
+
+    pairs = [Counter(p for t, y in train if y == k and toxicity.words_of(t) for p in itertools.pairwise(marked(t))) for k in (0, 1)]
+    words = [Counter(v for _, v in p) for p in pairs]
+    shared = Counter(v for _, v in pairs[0] | pairs[1])
+    unknown = [discount(w) * len(w) / w.total() for w in words]
+
+    def p_word(k, v):
+        return max(words[k][v] - discount(words[k]), 0) / words[k].total() + unknown[k] * shared[v] / shared.total()
+
+    def p_pair(k, u, v):
+        uses = sum(c for (a, _), c in pairs[k].items() if a == u)
+        low = p_word(k, v) if shared[v] else unknown[k]
+        if not uses:
+            return low
+        d, kinds = discount(pairs[k]), sum(a == u for a, _ in pairs[k])
+        return max(pairs[k][u, v] - d, 0) / uses + d * kinds / uses * low
+
+    steps = list(itertools.pairwise(marked(text)))
+    return sum(np.log(p_pair(1, u, v) / p_pair(0, u, v)) - np.log(unknown[1] / unknown[0]) for u, v in steps) / len(steps)
+
+
+TRAIN = [("you are a vilk man", 1), ("a vilk vilk day", 1), ("you vilk", 1), ("are you a man", 0), ("a man and a day and a man", 0), ("day by day a man", 0), ("", 0), ("12 3", 1)]
+
+
+def test_pair_likelihoods_follow_the_definition(spark):
+    texts = ["a man vilk", "vilk a man", "you are a day", "new words only", "a vilk vilk vilk", "man", "by new vilk day", "", None, "7"]
+    counts = toxicity.count_terms(spark.createDataFrame(TRAIN, "text string, toxic int").repartition(3))
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string").fillna("")
+    got = {r.i: r.evidence for r in toxicity.evidence(docs, toxicity.build_model(counts)).collect()}
+    assert all(abs(got[i] - (brute_evidence(TRAIN, t) if t and t != "7" else 0)) < 1e-5 for i, t in enumerate(texts))
+    assert abs(got[0] - got[1]) > 0.1  # the same words in another order
+
+
 # Language.
 
 TONGUES = {
