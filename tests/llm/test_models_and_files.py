@@ -159,6 +159,18 @@ def test_pair_likelihoods_follow_the_definition(spark):
     assert abs(got[0] - got[1]) > 0.1  # the same words in another order
 
 
+def test_toxicity_model_is_whole_in_any_number_of_passes(spark):
+    rng = random.Random(5)
+    rows = [(" ".join(f"{rng.choice('abcdefg')}{chr(97 + rng.randint(0, 25))}" for _ in range(12)) + " vilk" * y, y) for y in (0, 1) for _ in range(40)]
+    model = toxicity.build_model(toxicity.count_terms(spark.createDataFrame(rows, "text string, toxic int")))
+    n_words, n_pairs = (t.count() for t in model)
+    assert n_words == len({w for t, _ in rows for w in t.split()}) + 2
+    assert n_pairs == len({p for t, _ in rows for p in itertools.pairwise(["<", *t.split(), ">"])})
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)] + [(-1, ""), (-2, "new")], "i int, text string")
+    one, many = ({r.i: (r.evidence, r.passage) for r in toxicity.evidence(docs, model, most).collect()} for most in (10**6, n_words // 2))
+    assert len(one) == 82 and all(np.allclose(one[i], many[i], atol=1e-6) for i in one)
+
+
 # Language.
 
 TONGUES = {
