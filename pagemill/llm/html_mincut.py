@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import map_arrow, whole_text
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|select|title|math|object|canvas|video|audio)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>"
-    r".*?(?:</(?P=raw)\s*+[^>]*+>|\Z)|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(?:>|\Z)|<[!?/][^>]*+>?",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|textarea|iframe|title)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>"
+    r".*?(?:</(?P=raw)(?=[\s/>])[^>]*+>|\Z)|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(?:>|\Z)|<[!?/][^>]*+>?",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -44,6 +44,8 @@ BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul button".split()
 )
+# Elements whose inside is no text of the page, but elements: one that is not closed ends with the element around it or where a block begins.
+EMBEDDED = set("svg object canvas video audio select template annotation annotation-xml".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 NOISE_TAGS = set("nav footer aside form menu dialog button fieldset search head".split())
 MAIN_TAGS = {"article", "main"}
@@ -113,15 +115,37 @@ def _element(tag: str, attrs: str, parent: Element | None, number: int) -> Eleme
     return Element(tag, number, parent.depth + 1 if parent else 0, own or kind, outer, named, parent)
 
 
+def _ends(tokens: list[re.Match]) -> dict[int, int]:
+    """For each embedded element that is closed inside the element around it, by the number of its start tag: that of its end tag."""
+    ends, stack, count = {}, [], Counter()
+    for i, m in enumerate(tokens):
+        tag = (m["tag"] or "").lower()
+        if tag not in EMBEDDED and (tag not in BLOCK or tag in VOID):
+            continue
+        if not m["close"]:
+            if tag != "svg" or not m["attrs"].endswith("/"):
+                stack.append((tag, i))
+                count[tag] += 1
+        elif count[tag]:
+            while True:
+                name, at = stack.pop()
+                count[name] -= 1
+                if name == tag:
+                    break
+            if tag in EMBEDDED:
+                ends[at] = i
+    return ends
+
+
 def blocks_of(html: str) -> list[Block]:
     """Blocks with text, in page order."""
     root = top = Element("", 0, 0, 0, False, False, None)
     number, links, at = 0, 0, 0
-    found, current = [], None
+    found, current, muted = [], None, False
 
     def add(raw: str) -> None:
         nonlocal current
-        if not raw:
+        if not raw or muted:
             return
         if current is None:
             if raw.isspace():
@@ -133,7 +157,12 @@ def blocks_of(html: str) -> list[Block]:
         if links:
             current.linked += len(text)
 
-    for m in _TOKEN.finditer(html):
+    tokens = list(_TOKEN.finditer(html))
+    ends, skipped = _ends(tokens), -1
+    for i, m in enumerate(tokens):
+        if i <= skipped:
+            at = m.end()
+            continue
         add(html[at : m.start()])
         at = m.end()
         tag = m["tag"]
@@ -144,8 +173,14 @@ def blocks_of(html: str) -> list[Block]:
             links = 0 if m["close"] else 1
         elif tag == "br":
             add(" ")
+        elif tag in EMBEDDED:
+            if i in ends:
+                skipped = ends[i]
+            else:
+                muted = not m["close"] and not m["attrs"].endswith("/")
         elif tag in BLOCK or tag in NOISE_TAGS:
             current = None
+            muted = muted and tag == "option"
             if m["close"]:
                 open_ = top
                 while open_ is not root and open_.tag != tag:

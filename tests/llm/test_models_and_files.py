@@ -266,6 +266,26 @@ def test_page_text(spark):
     assert html_mincut.main_text(long).count("\n\n") == 19_999
 
 
+EMBEDDED = {
+    f'<article><p>{PARAGRAPH}<svg class="icon"/></p><p>{PARAGRAPH} 2</p></article>': f"{PARAGRAPH}\n\n{PARAGRAPH} 2",
+    f"<article><p>{PARAGRAPH}<math/> More.</p><p>{PARAGRAPH} 2</p></article>": f"{PARAGRAPH} More.\n\n{PARAGRAPH} 2",
+    f"<article><p>{PARAGRAPH} So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>": f"{PARAGRAPH} So x=2 holds.",
+    f"<article><p>{PARAGRAPH} An <svg><title>icon</title><text>drawn</text></svg>icon.</p></article>": f"{PARAGRAPH} An icon.",
+    f"<article><div>{PARAGRAPH}<select><option>One<option>Two</select> After.</div><template><p>{PARAGRAPH} no</p></template></article>": f"{PARAGRAPH} After.",
+    f"<article><div><select><option>One<option>Two</div><p>{PARAGRAPH}</p></article>": PARAGRAPH,
+    f"<article><video-player><p>{PARAGRAPH}</p></video-player><title-bar>{PARAGRAPH} 2</title-bar></article>": f"{PARAGRAPH}\n\n{PARAGRAPH} 2",
+    f"<article><video><p>Your browser is too old for this film.</p></video><p>{PARAGRAPH}</p></article>": PARAGRAPH,
+} | {
+    f"<article><p>{PARAGRAPH}</p><{tag} src=x>Too old.<p>{PARAGRAPH} 2</p></article><footer><{tag}></{tag}></footer>": f"{PARAGRAPH}\n\n{PARAGRAPH} 2"
+    for tag in ("svg", "object", "canvas", "video", "audio", "select", "template")
+}
+
+
+@pytest.mark.parametrize("html", EMBEDDED)
+def test_embedded_elements_take_no_text_around_them(html):
+    assert html_mincut.main_text(html) == EMBEDDED[html]
+
+
 # Secrets.
 
 
