@@ -38,6 +38,8 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
+# What a wrapper says of its layout: "has-sidebar", "page-with-ads".
+_LAYOUT = re.compile(r"(?<![a-z0-9])(?:has|no|with|without)[^a-z0-9].*", re.S)
 _SPACE = re.compile(r"\s+")
 
 BLOCK = set(
@@ -96,6 +98,7 @@ def _element(tag: str, attrs: str, parent: Element | None, number: int) -> Eleme
         own = 1
     elif tag in NOISE_TAGS or (tag == "header" and kind != 1):
         own = -1
+    role, main, noise, hidden = 0, False, False, False
     if attrs:
         for name, *values in _ATTRIBUTE.findall(attrs):
             value, name = "".join(values).lower(), name.lower()
@@ -104,14 +107,20 @@ def _element(tag: str, attrs: str, parent: Element | None, number: int) -> Eleme
                 words = set(_SPLIT.split(value))
                 if whole & OUTER_NOISE or (words & OUTER_NOISE and tag in MAIN_TAGS):
                     outer = True
-                if words & NOISE_WORDS and tag not in ("body", "html", "main") and not (words & MAIN_WORDS and tag in MAIN_TAGS):
-                    own = -1
-                elif words & MAIN_WORDS:
-                    named = True
+                for one in whole:
+                    words = set(_SPLIT.split(_LAYOUT.sub("", one)))
+                    noise = noise or bool(words & NOISE_WORDS)
+                    # "post-comments" are comments, "post" beside another name stays a post.
+                    main = main or bool(words & MAIN_WORDS and (tag in MAIN_TAGS or not words & NOISE_WORDS))
             elif name == "role":
-                own = ROLES.get(value.strip(), own)
+                role = ROLES.get(value.strip(), role)
             elif (name == "hidden" and tag != "body") or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-                own = -1
+                hidden = True
+    if noise and not main and tag not in ("body", "html", "main"):
+        own = -1
+    elif main and (not noise or tag in MAIN_TAGS or tag in ("body", "html")):
+        named = True
+    own = -1 if hidden else role or own
     return Element(tag, number, parent.depth + 1 if parent else 0, own or kind, outer, named, parent)
 
 

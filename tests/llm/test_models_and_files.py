@@ -286,6 +286,16 @@ def test_embedded_elements_take_no_text_around_them(html):
     assert html_mincut.main_text(html) == EMBEDDED[html]
 
 
+@pytest.mark.parametrize("names", ["class='content has-sidebar'", "class='post no-comments'", "class=page-with-ads", "id=content class='wide social'", "class='entry share'"])
+def test_content_wrappers_that_name_noise_keep_their_text(names):
+    assert html_mincut.main_text(f"<div {names}><p>{PARAGRAPH}</p></div>") == PARAGRAPH
+
+
+@pytest.mark.parametrize("names", ["class=post-comments", "class='widget no-title'", "class=sidebar", "id=story class=ad hidden", "class='post comments'"])
+def test_noise_by_name_stays_noise(names):
+    assert html_mincut.main_text(f"<article><p>{PARAGRAPH}</p><div {names}><p>{PARAGRAPH} 2</p></div></article>") == PARAGRAPH
+
+
 # Secrets.
 
 
