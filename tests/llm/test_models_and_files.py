@@ -171,6 +171,16 @@ def test_toxicity_model_is_whole_in_any_number_of_passes(spark):
     assert len(one) == 82 and all(np.allclose(one[i], many[i], atol=1e-6) for i in one)
 
 
+def test_toxicity_learns_from_the_calibrating_fold_too(spark):
+    rows = labelled(random.Random(8), 400)
+    calibrating = [i for i, _, y in rows if y and zlib.crc32(str(i).encode()) % 5 == 1]
+    rows = [(i, t + (" zorb zorb zorb zorb zorb" if i in calibrating else ""), y) for i, t, y in rows]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(-1, "zorb " * 9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    assert len(calibrating) > toxicity.DISCOUNT
+    assert toxicity.score_toxicity(docs, labels).where("doc_id = -1").first().passage > 0
+
+
 # Language.
 
 TONGUES = {
