@@ -168,3 +168,69 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM docs LEFT JOIN listed USING (doc_id)
 """
+
+
+# The checksum is one fold: each byte is followed by eight steps of one bit.
+SPELLING = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(r, '{UPPER}', '{LOWER}') AS r, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS r FROM documents) GROUP BY ALL
+), summed AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(bytes, lambda b: [b, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                        lambda c, s: CASE WHEN s >= 0 THEN xor(c, s) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) AS h
+  FROM (SELECT *, flatten(list_transform(string_split(doc_id || ':' || r, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c) - 64] END)) AS bytes FROM runs)
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT n, CASE WHEN h % 97 = 0 THEN left(r, (h % length(r))::BIGINT) || substr(r, (h % length(r))::BIGINT + 2) ELSE r END AS word FROM summed
+  ) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+masks AS (SELECT word, left(word, i - 1) || chr(1) || substr(word, i + 1) AS mask, left(word, i - 1) || substr(word, i + 1) AS cut FROM places),
+pairs AS (
+  SELECT a.word, b.word AS other FROM masks a JOIN masks b ON a.mask = b.mask AND a.word <> b.word
+  UNION SELECT words.word, masks.word FROM masks JOIN words ON masks.cut = words.word
+  UNION SELECT masks.word, words.word FROM masks JOIN words ON masks.cut = words.word
+), near AS (
+  SELECT pairs.word, words.word AS form, words.n AS form_n, count(*) OVER (PARTITION BY pairs.word) AS n_near
+  FROM pairs JOIN words ON words.word = pairs.other QUALIFY row_number() OVER (PARTITION BY pairs.word ORDER BY words.n DESC, words.word) = 1
+), judged AS (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n
+  FROM words LEFT JOIN near ON words.word = near.word
+), chain AS (
+  SELECT word, word AS at FROM judged UNION ALL SELECT chain.word, judged.form FROM chain JOIN judged ON chain.at = judged.word WHERE judged.form IS NOT NULL
+), roots AS (SELECT chain.word, chain.at AS root FROM chain JOIN judged ON chain.at = judged.word WHERE judged.form IS NULL)
+SELECT judged.word, form, root, n, n_near, form_n FROM judged JOIN roots ON judged.word = roots.word
+"""
+
+HARD_NEGATIVES = """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM vectors a JOIN vectors b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, other_id, score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, p.other_id AS positive_id, row_number() OVER w::INT AS rank, s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT s.same AND 100 * s.score BETWEEN 50 * p.score AND 95 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.other_id ORDER BY s.score DESC, s.other_id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+
+def url_filter_sql(rules: list[tuple[str, str, str]]) -> str:
+    """Every rule tested on every URL; the longest that fits wins."""
+    listed = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in rules)
+    return f"""
+WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {listed}),
+rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS u FROM pages),
+split AS (SELECT page_id, translate(regexp_extract(u, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(u, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+numbered AS (SELECT *, row_number() OVER () AS r FROM split),
+best AS (
+  SELECT r, rule_host || rule_path AS rule, rule_verdict
+  FROM numbered JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) = 1
+)
+SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM numbered LEFT JOIN best USING (r)
+"""

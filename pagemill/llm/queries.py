@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pagemill.llm import decontam, html_mincut, langid, line_dedup, minhash, oracle, packing, quality, secrets, token_files, toxicity
+from pagemill.llm import (
+    decontam, hard_negatives, html_mincut, langid, line_dedup, minhash, oracle, packing, quality, secrets, spelling, token_files, toxicity, url_filter,
+)
 from pagemill.llm.common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,11 +94,36 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", *[count(k) for k in base], F.sha2(secrets.as_text(of_base), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(spelling.count_words(_documents(spark, sf_dir), doc_id="doc_id", slips=97))
+
+
+# Host, path and verdict of the rules.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    judged = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judged.select("page.page_id", "host", "path", "rule", "verdict")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id = F.col("vec_id")
+    label = F.when(vec_id % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.prepared_rows(table(spark, sf_dir, "embeddings"), vec_id, F.col("embedding"), label)
+    return hard_negatives.mine_negatives(rows, vec_id % 50 == 0)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_packing, op2_language_id, op3_html_extraction, op4_decontamination, op5_token_files, op6_near_dedup, op7_line_dedup, op8_toxicity, op9_quality_rules, op10_secret_scan)
+    for f in (
+        op1_packing, op2_language_id, op3_html_extraction, op4_decontamination, op5_token_files, op6_near_dedup, op7_line_dedup, op8_toxicity,
+        op9_quality_rules, op10_secret_scan, op11_spelling, op12_url_filter, op13_hard_negatives,
+    )
 }
 ORACLE: dict[str, str] = {
     "op4_decontamination": oracle.DECONTAMINATION, "op6_near_dedup": oracle.NEAR_DEDUP, "op7_line_dedup": oracle.LINE_DEDUP,
     "op9_quality_rules": oracle.quality_sql(), "op10_secret_scan": oracle.secrets_sql(),
+    "op11_spelling": oracle.SPELLING, "op12_url_filter": oracle.url_filter_sql(URL_RULES), "op13_hard_negatives": oracle.HARD_NEGATIVES,
 }
