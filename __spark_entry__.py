@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import datetime
-from importlib.util import find_spec
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +13,10 @@ import derived_inputs as inputs
 from pagemill.functions import urls as U
 from pagemill.functions.html import first_element, own_texts, text_of, tokenize, with_page
 from pagemill.functions.text import let
-from pagemill.operators import accounting, robots, safety
-from pagemill.operators.ordering import first_per_key, frontier_batches, number_rows, page_of_rows
+from pagemill.operators import accounting, ranges, robots, safety
+from pagemill.operators.ordering import first_per_key, frontier_batches, number_rows, page_of_rows, stored_page, write_numbered
 from pagemill.plans import batch_run, discovery, export
+from pagemill.plans.commits import KeyIndex, Store
 from pagemill.plans.extraction import analyze_columns, extract_articles
 from pagemill.session import apply_defaults, cut_lineage, ensure_checkpoint_dir
 from pagemill.sources import feeds as feed_source
@@ -35,6 +35,10 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.table(spark, sf_dir, "pages")
 
 
+def _dealt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.dealt(_pages(spark, sf_dir))
+
+
 def _joined(column: Column, separator: str = "|") -> Column:
     return F.coalesce(F.array_join(column, separator), F.lit(""))
 
@@ -88,19 +92,19 @@ def add_scheme(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = link_source.page_links(_pages(spark, sf_dir))
+    found = link_source.page_links(_dealt_pages(spark, sf_dir))
     return found.select("page_id", F.col("pos").cast("bigint").alias("pos"), "href", "link")
 
 
 def link_domain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = link_source.page_links(_pages(spark, sf_dir)).where(U.is_same_site(URL("link"), U.get_domain(URL("url"))))
+    found = link_source.page_links(_dealt_pages(spark, sf_dir)).where(U.is_same_site(URL("link"), U.get_domain(URL("url"))))
     return found.groupBy(U.get_domain(URL("link")).alias("domain")).agg(
         F.count(F.lit(1)).alias("links"), F.count_if(U.is_pagination(URL("link"))).alias("pagination_links")
     )
 
 
 def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = _pages(spark, sf_dir).select(F.explode(F.transform(tokenize(F.col("html")), lambda t: F.struct(t["tag"], t["closing"]))).alias("t"))
+    tags = _dealt_pages(spark, sf_dir).select(F.explode(F.transform(tokenize(F.col("html")), lambda t: F.struct(t["tag"], t["closing"]))).alias("t"))
     return tags.where("t.tag <> ''").groupBy(F.col("t.tag").alias("tag"), F.col("t.closing").alias("closing")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -110,31 +114,31 @@ def title_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
             text_of(first_element(page, "title"), t, "").alias("title"), text_of(first_element(page, "h1"), t, "").alias("h1")
         ))
 
-    return _pages(spark, sf_dir).select("page_id", with_page(F.col("html"), both).alias("x")).select("page_id", "x.title", "x.h1")
+    return _dealt_pages(spark, sf_dir).select("page_id", with_page(F.col("html"), both).alias("x")).select("page_id", "x.title", "x.h1")
 
 
 def visible_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flagged = fetch_source.with_thin_flag(_pages(spark, sf_dir))
+    flagged = fetch_source.with_thin_flag(_dealt_pages(spark, sf_dir))
     return flagged.select("page_id", F.col("visible_words").cast("bigint").alias("visible_words"), "needs_render")
 
 
 def structured_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = analyze_columns("html", "url", ("content",))
-    return _pages(spark, sf_dir).select("page_id", x["content"].alias("c")).select(
+    return _dealt_pages(spark, sf_dir).select("page_id", x["content"].alias("c")).select(
         "page_id", "c.structured_content", "c.introduction", F.col("c.word_count").cast("bigint").alias("word_count"), "c.quality_ok"
     )
 
 
 def body_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = analyze_columns("html", "url", ("content",))
-    return _pages(spark, sf_dir).select("page_id", x["content"].alias("c")).select(
+    return _dealt_pages(spark, sf_dir).select("page_id", x["content"].alias("c")).select(
         "page_id", "c.main_content", F.concat_ws("; ", "c.warnings").alias("warnings")
     )
 
 
 def classify_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = analyze_columns("html", "url", ("score",))
-    return _pages(spark, sf_dir).select("page_id", x["score"].alias("s")).select(
+    return _dealt_pages(spark, sf_dir).select("page_id", x["score"].alias("s")).select(
         "page_id", "s.is_candidate", F.round("s.confidence", 6).alias("confidence")
     )
 
@@ -220,6 +224,31 @@ def bfs_links_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("site", "url", F.col("level").cast("bigint").alias("level"))
 
 
+def bfs_links_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl that was stopped after two levels and went on by its committed levels."""
+    apply_defaults(spark)
+    store = _store(spark, "crawl")
+    for depth in (1, None):
+        found = discovery.crawl_links(inputs.sites(spark, sf_dir), inputs.index_pages(spark, sf_dir), max_depth=depth, store=store)
+    return found.select("site", "url", F.col("level").cast("bigint").alias("level"))
+
+
+def sitemap_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apply_defaults(spark)
+    store = _store(spark, "maps")
+    for depth in (1, None):
+        found = discovery.expand_sitemaps(
+            inputs.sites(spark, sf_dir), inputs.sitemap_files(spark, sf_dir), _sitemap_robots(spark, sf_dir), max_depth=depth, store=store)
+    return found.select("site", "url", "lastmod", F.col("level").cast("bigint").alias("level"))
+
+
+def bfs_links_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl that opens no page of a site once three links are found."""
+    apply_defaults(spark)
+    found = discovery.crawl_links(inputs.sites(spark, sf_dir), inputs.index_pages(spark, sf_dir), max_urls=3)
+    return found.select("site", "url", F.col("level").cast("bigint").alias("level"))
+
+
 def feed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     apply_defaults(spark)
     found = feed_source.feed_urls(inputs.feeds(spark, sf_dir).drop("url"))
@@ -271,6 +300,14 @@ def url_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "url", kind.alias("verdict"))
 
 
+def ip_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The innermost of many thousand networks for each address; of one network given twice the smallest name."""
+    apply_defaults(spark)
+    lo, hi = ranges.network_ends(F.col("network"))
+    table = inputs.ip_ranges(spark, sf_dir).select(lo.alias("lo"), hi.alias("hi"), "kind")
+    return ranges.innermost_range(inputs.addresses(spark, sf_dir), table).select("l_orderkey", "l_linenumber", "kind")
+
+
 def fetch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     apply_defaults(spark)
     done = fetch_source.with_backoff(fetch_source.fetch_results(inputs.attempts(spark, sf_dir)))
@@ -284,7 +321,7 @@ def final_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fetch_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _pages(spark, sf_dir).select("page_id", "html", F.lit(200).alias("http_status"))
+    pages = _dealt_pages(spark, sf_dir).select("page_id", "html", F.lit(200).alias("http_status"))
     drawn = inputs.table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("page_id"), F.when(F.col("lang") != "de", F.concat(F.lit("<p>"), "source")).alias("html"),
         F.when(F.col("lang") == "es", 404).otherwise(200).alias("http_status"),
@@ -319,7 +356,7 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fetch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State of a URL after its page was tried, by whether it has HTML, its path and its words."""
-    pages = _pages(spark, sf_dir)
+    pages = _dealt_pages(spark, sf_dir)
     x = analyze_columns("html", "url", ("score", "content"))
     tried = pages.select("page_id", F.startswith("url", F.lit("https")).alias("has_html"), x.alias("x"))
     state = accounting.url_status_after_fetch(
@@ -328,9 +365,9 @@ def fetch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tried.select("page_id", state.alias("status"))
 
 
-def _crawl_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _crawl_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pages as queued URLs, fetched in two attempts of which the second gives HTML for https; mobile hosts block /de/."""
-    pages = _pages(spark, sf_dir)
+    pages = _dealt_pages(spark, sf_dir)
     urls = pages.select(
         F.regexp_extract("url", "//[^/]*/([a-z]*)", 1).alias("job_id"), F.col("url").alias("raw_url"), F.lit("queued").alias("status"),
         (F.col("page_id") % 5).cast("int").alias("retry_count"),
@@ -342,7 +379,11 @@ def _crawl_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = second.select("url", F.lit(0).alias("attempt"), F.lit(0).alias("http_status"), F.lit(None).cast("string").alias("html"), F.lit("Timeout").alias("error"))
     mobile = pages.where(F.contains("url", F.lit("://m."))).select(U.site_root(URL("url")).alias("site_root")).distinct()
     files = mobile.select("site_root", F.lit(200).alias("http_status"), F.lit("User-agent: *\nDisallow: /de/\n").alias("body"))
-    return batch_run.run_urls(urls, first.unionByName(second), robots.robots_rules(files))
+    return urls, first.unionByName(second), robots.robots_rules(files)
+
+
+def _crawl_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch_run.run_urls(*_crawl_inputs(spark, sf_dir))
 
 
 def crawl_run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,13 +397,52 @@ def crawl_run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_run.run_counts(_crawl_run(spark, sf_dir))
 
 
+def _store(spark: SparkSession, kind: str) -> Store:
+    return Store(spark, _scratch(spark, kind))
+
+
 def crawl_run_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles of a run, appended twice: the second time adds nothing."""
     found = batch_run.run_articles(_crawl_run(spark, sf_dir)).select("job_id", "raw_url", F.col("word_count").cast("bigint").alias("word_count"))
-    folder = _scratch(spark, "run-articles")
+    index = KeyIndex(_store(spark, "run-articles"), "articles", ["job_id", "raw_url"], buckets=8)
     for batch in ("1", "2"):
-        batch_run.append_once(found, folder, batch, ["job_id", "raw_url"])
-    return spark.read.option("basePath", folder).parquet(folder).select("job_id", "raw_url", "word_count")
+        index.append(batch, found)
+    return index.read(found.schema).select("job_id", "raw_url", "word_count")
+
+
+def urls_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches of pages that overlap in two thirds of their pages, the second one run twice: each URL stays with its first batch."""
+    found = inputs.found_urls(spark, sf_dir).withColumn("normalized_url", U.normalize_url(URL("url")))
+    store = _store(spark, "urls")
+    for batch in (0, 1, 1, 2):
+        # Batch b holds the pages whose number leaves up to b by three.
+        rows = found.where(F.col("ord") % 3 <= batch).select("job_id", "normalized_url", "ord", F.lit(batch).cast("bigint").alias("batch"))
+        KeyIndex(store, "urls", ["job_id", "normalized_url"], buckets=8, fanout=2).append(f"urls-{batch}", rows, ["ord"])
+    return store.read("urls")
+
+
+def crawl_run_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run in two batches; the second is lost between two tables, runs again and is asked for once more: every row is there once."""
+    store = _store(spark, "resumed")
+    urls, attempts, rules = _crawl_inputs(spark, sf_dir)
+    half = F.crc32("raw_url") % 2 == 0
+    batch_run.run_batch(store, "first", urls.where(half), attempts, rules)
+    store.write_part("articles", store.read("articles"))  # written, never committed
+    left = batch_run.urls_to_do(store, urls).where("status = 'queued'")
+    for _ in range(2):
+        batch_run.run_batch(store, "second", left, attempts, rules)
+    shown = {"articles": F.col("status"), "failures": F.col("error"), "states": F.concat_ws(" ", "status", "retry_count")}
+    parts = [store.read(t).select(F.lit(t).alias("kind"), "job_id", F.col("url" if t == "failures" else "raw_url").alias("raw_url"), what.alias("what")) for t, what in shown.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def crawl_run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a run that was committed in three batches."""
+    store = _store(spark, "totals")
+    urls, attempts, rules = _crawl_inputs(spark, sf_dir)
+    for i in range(3):
+        batch_run.run_batch(store, f"b{i}", urls.where(F.crc32("raw_url") % 3 == i), attempts, rules)
+    return batch_run.counts_so_far(store)
 
 
 def results_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -372,6 +452,35 @@ def results_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.select("job_id", "raw_url", "word_count")
 
 
+def results_page_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same page from rows that were stored in numbered parts: one part is read."""
+    apply_defaults(spark)
+    articles = inputs.crawl_tables(spark, sf_dir)["articles"]
+    path = _scratch(spark, "numbered")
+    write_numbered(articles, ["extraction_date", "raw_url", "word_count", "job_id"], path, rows_per_part=500)
+    return stored_page(spark, path, limit=100, offset=200, rows_per_part=500).select("job_id", "raw_url", "word_count")
+
+
+def article_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apply_defaults(spark)
+    return export.article_summary(_stored_articles(spark, sf_dir)).select(
+        "blog_url", "blog_title", "author", "publication_date", F.col("word_count").cast("bigint").alias("word_count"), "extraction_status")
+
+
+def failure_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apply_defaults(spark)
+    rows = export.failure_summary(inputs.crawl_tables(spark, sf_dir)["failures"])
+    return rows.select("url", "error", F.col("http_status").cast("bigint").alias("http_status"), F.col("retry_count").cast("bigint").alias("retry_count"),
+                       F.col("timestamp").cast("date").alias("day"))
+
+
+def jobs_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs whose exports can be fetched: completed, with a path."""
+    apply_defaults(spark)
+    jobs = inputs.crawl_tables(spark, sf_dir)["jobs"].withColumn("path", F.when(F.col("error_message").isNull(), F.concat(F.lit("/x/"), "job_id")))
+    return jobs.select("job_id", accounting.exports_ready(F.col("status"), F.col("path")).alias("ready"))
+
+
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     apply_defaults(spark)
     urls = accounting.pending_urls(inputs.crawl_tables(spark, sf_dir)["urls"])
@@ -442,6 +551,30 @@ def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("`FAQ Content`").alias("faq_content"))
 
 
+def export_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures of all jobs exported by job; then some jobs once more, with other rows. The other jobs' files stay as they were."""
+    apply_defaults(spark)
+    failures, folder = inputs.crawl_tables(spark, sf_dir)["failures"], _scratch(spark, "exports")
+    export.write_job_failures(failures, folder)
+    export.write_job_failures(failures.where("job_id like '%7' and retry_count = 1"), folder)
+    schema = ", ".join(f"`{c}` string" for c in export.FAILURE_COLUMNS.values())
+    back = spark.read.schema(schema + ", export string").csv(folder, header=True, escape='"', multiLine=True)
+    return back.select("export", F.col("URL").alias("url"), F.col("`Retry Count`").cast("bigint").alias("retry_count"), F.col("Timestamp").alias("at"))
+
+
+def export_articles_by_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles exported by job under the names of their sites, numbered within each job."""
+    apply_defaults(spark)
+    job = F.concat(F.lit("job-"), F.regexp_extract("raw_url", r"(\d)$", 1))
+    articles = _stored_articles(spark, sf_dir).withColumn("job_id", job)
+    folder = _scratch(spark, "exports")
+    names = articles.select("job_id").distinct().withColumn("name", export.export_name(F.concat(F.lit("https://"), "job_id", F.lit(".example.com")), datetime(2026, 1, 5)))
+    export.write_job_exports(articles, names, folder)
+    schema = ", ".join(f"`{c}` string" for c in export.EXPORT_COLUMNS.values())
+    back = spark.read.schema(schema + ", export string").csv(folder, header=True, escape='"', multiLine=True)
+    return back.select("export", F.col("ID").cast("bigint").alias("id"), F.col("`Blog URL`").alias("blog_url"), F.col("`Main Content`").alias("main_content"))
+
+
 def export_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select(
         "page_id", export.export_name(URL("url"), datetime(2026, 1, 5)).alias("articles_name"),
@@ -463,18 +596,19 @@ def stream_distinct_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = _pages(spark, sf_dir).schema
     stream = incremental.read_page_stream(spark, f"{sf_dir}/pages*.parquet", schema)
     urls = stream.select(F.regexp_extract("url", "//[^/]*/([a-z]*)", 1).alias("job_id"), "url")
-    out = _scratch(spark, "urls")
-    incremental.append_distinct(urls, out, _scratch(spark, "progress")).awaitTermination()
-    return spark.read.parquet(out).select("job_id", "normalized_url")
+    store = _store(spark, "urls")
+    incremental.append_distinct(urls, store, _scratch(spark, "progress")).awaitTermination()
+    return store.read("urls").select("job_id", "normalized_url")
 
 
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = _pages(spark, sf_dir).schema
     stream = incremental.read_page_stream(spark, f"{sf_dir}/pages*.parquet", schema)
     urls = stream.select(F.regexp_extract("url", "//[^/]*/([a-z]*)", 1).alias("job_id"), U.looks_like_article(URL("url")).alias("is_candidate"))
-    out = _scratch(spark, "counts")
-    incremental.publish_counts(urls, out, _scratch(spark, "progress")).awaitTermination()
-    return spark.read.parquet(out)
+    store = _store(spark, "counts")
+    incremental.publish_counts(urls, store, _scratch(spark, "progress")).awaitTermination()
+    incremental.compact_counts(store, "compact-1")
+    return incremental.read_counts(store)
 
 
 _QUERIES: list[Query] = [
@@ -482,9 +616,11 @@ _QUERIES: list[Query] = [
     link_domain_counts, tag_counts, title_h1, visible_words, structured_content, body_fallback, classify_confidence,
     article_metadata, article_content, article_score, site_seeds, sitemap_entries, sitemap_expand, sitemap_capped, bfs_links,
     bfs_links_depth, feed_links, discover_union, discover_sparse, new_urls, crawl_run, crawl_run_counts, crawl_run_stored,
+    urls_appended, crawl_run_resumed, crawl_run_totals, bfs_links_resumed, sitemap_resumed, bfs_links_capped,
     robots_gate, robots_delay, url_safety, fetch_results, final_attempts,
     fetch_choice, job_progress, url_states, job_states, fetch_outcomes, results_page, batches, batches_per_job, config_snapshot,
-    failure_export, failure_log, export_rows, export_csv, export_names, stream_extract, stream_distinct_urls, stream_counts,
+    failure_export, failure_log, export_rows, export_csv, export_names, export_jobs, export_articles_by_job, ip_ranges,
+    results_page_stored, article_summaries, failure_summaries, jobs_ready, stream_extract, stream_distinct_urls, stream_counts,
 ]
 
 
@@ -494,12 +630,12 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def _training_data() -> tuple[dict[str, Query], dict[str, str]]:
-    """Queries of the training-data operators; none where that subpackage was left out."""
-    if find_spec("pagemill.llm") is None or find_spec("pagemill.llm.queries") is None:
+    """Queries of the training-data operators; none where that subpackage or what it needs cannot be imported."""
+    try:
+        import corpus_pipeline
+        from pagemill.llm import queries as llm
+    except ImportError:
         return {}, {}
-    import corpus_pipeline
-    from pagemill.llm import queries as llm
-
     sql = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
     return llm.QUERIES | {"pipeline": corpus_pipeline.run}, llm.ORACLE | sql
 

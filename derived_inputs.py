@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows dealt out evenly: a given table is one row group, which one task would read and parse."""
+    return rows.repartition(max(1, rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def _escape(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
@@ -28,7 +33,7 @@ def article_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The language decides the shape of the JSON-LD: object, list, graph or plain meta tags.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents"))
     paras = F.filter(F.split("text", "\n"), lambda p: F.trim(p) != "")
     title = F.concat(F.lit("Report "), F.col("doc_id"), F.lit(" of "), F.col("source"))
     author_url = F.concat(F.lit("https://example.com/authors/"), F.col("source"))
@@ -204,7 +209,7 @@ def robots_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(job_id, url, order_key): every order as a URL of its customer's job."""
-    return table(spark, sf_dir, "orders").select(
+    return dealt(table(spark, sf_dir, "orders")).select(
         F.concat(F.lit("job-"), "o_custkey").alias("job_id"),
         F.concat(F.lit("https://"), site_of(F.col("o_custkey")), F.lit("/blog/order-"), "o_orderkey").alias("url"),
         F.col("o_orderkey").alias("order_key"),
@@ -234,7 +239,7 @@ def literal_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("c"), "l_partkey", F.lit(".example.com")))
     )
     scheme = F.when(F.col("l_linenumber") == 7, "ftp").when(F.col("l_linenumber") > 3, "https").otherwise("http")
-    return table(spark, sf_dir, "lineitem").select(
+    return dealt(table(spark, sf_dir, "lineitem")).select(
         "l_orderkey", "l_linenumber", "l_partkey", F.concat(scheme, F.lit("://"), host, F.lit("/blog")).alias("url")
     )
 
@@ -292,3 +297,26 @@ def found_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("lastmod"), F.lit(0).alias("rank"), big(F.lit(0)).alias("level"),
         big(F.col("page_id")).alias("ord"), big(F.lit(0)).alias("pos"),
     )
+
+
+def ip_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(network, kind): orders as IPv4 networks of many lengths, which nest, and IPv6 networks."""
+    octet = lambda c: F.pmod(c, F.lit(256))
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    v4 = F.concat_ws(".", octet(cust), octet(key), octet(key * 7), F.lit("0"))
+    wide = F.concat(octet(cust), F.lit(".0.0.0/"), 8 + key % 9)
+    narrow = F.concat(v4, F.lit("/"), 17 + key % 8)
+    v6 = F.concat(F.lower(F.hex(octet(key) * 256)), F.lit("::/"), 16 + cust % 100)
+    network = F.when(key % 3 == 0, wide).when(key % 3 == 1, narrow).otherwise(v6)
+    return table(spark, sf_dir, "orders").select(network.alias("network"), F.concat(F.lit("k"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("kind"))
+
+
+def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_orderkey, l_linenumber, ip): line items as addresses."""
+    octet = lambda c: F.pmod(c, F.lit(256))
+    key = F.col("l_orderkey") * 7 + F.col("l_linenumber")
+    v4 = F.concat_ws(".", octet(F.col("l_partkey")), octet(F.col("l_orderkey")), octet(F.col("l_suppkey")), octet(key))
+    v6 = F.concat(F.lower(F.hex(octet(F.col("l_partkey")) * 256)), F.lit("::"), octet(key))
+    return dealt(table(spark, sf_dir, "lineitem")).select(
+        "l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"),
+        F.when(F.col("l_linenumber") == 7, "no address").when(F.col("l_linenumber") % 2 == 0, v4).otherwise(v6).alias("ip"))

@@ -251,6 +251,13 @@ SELECT url, CAST(pages AS BIGINT) AS pages, CAST(children AS BIGINT) AS children
     "sitemap_capped": f"WITH {_TREE} SELECT site, url, lastmod, level FROM ({_FOUND_MAPS}) f QUALIFY row_number() OVER (PARTITION BY site ORDER BY key) <= 3",
     "bfs_links": f"WITH {_CRAWL} SELECT site, url, level FROM crawl",
     "bfs_links_depth": f"WITH {_CRAWL} SELECT site, url, level FROM crawl WHERE level <= 2",
+    "bfs_links_resumed": f"WITH {_CRAWL} SELECT site, url, level FROM crawl",
+    "sitemap_resumed": f"WITH {_TREE} SELECT site, url, lastmod, level FROM ({_FOUND_MAPS}) f",
+    "bfs_links_capped": f"""
+WITH {_CRAWL}, first AS (SELECT site, base, min(n0) AS n0, min(n1) AS n1 FROM tree GROUP BY site, base)
+SELECT site, url, level FROM crawl WHERE level <= 2
+UNION ALL SELECT site, {_node(1, 'n1')}, CAST(3 AS BIGINT) FROM first
+UNION ALL SELECT site, base || '/blog/order-' || key, CAST(3 AS BIGINT) FROM tree SEMI JOIN first USING (site, n0)""",
     "feed_links": """
 SELECT page_id, CAST(pos AS BIGINT) AS pos, url || suffix AS url FROM pages, (VALUES (0, ''), (1, '/item'), (2, '/atom')) v(pos, suffix) WHERE NOT starts_with(url, 'http:')""",
     "discover_sparse": f"""
@@ -342,6 +349,61 @@ SELECT job_id, count(*) FILTER (status = 'success') AS success, count(*) FILTER
   count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'permanently_failed') AS permanently_failed,
   CAST(coalesce(sum(words) FILTER (status IN ('success', 'partial')), 0) AS BIGINT) AS words FROM run GROUP BY job_id""",
     "crawl_run_stored": f"WITH {_RUN} SELECT job_id, raw_url, CAST(words AS BIGINT) AS word_count FROM run WHERE status IN ('success', 'partial')",
+    "urls_appended": f"""
+SELECT regexp_extract(url, '//[^/]*/([a-z]*)', 1) AS job_id, {_normalized('url')} AS normalized_url, CAST(arg_min(page_id, (page_id % 3, page_id)) AS BIGINT) AS ord, CAST(min(page_id % 3) AS BIGINT) AS batch
+FROM pages GROUP BY 1, 2""",
+    "crawl_run_resumed": f"""
+WITH {_RUN}
+SELECT 'articles' AS kind, job_id, raw_url, status AS what FROM run WHERE status IN ('success', 'partial')
+UNION ALL SELECT 'failures', job_id, raw_url, error FROM run WHERE status IN ('failed', 'permanently_failed')
+UNION ALL SELECT 'states', job_id, raw_url, status || ' ' || retry_count FROM run""",
+    "crawl_run_totals": f"""
+WITH {_RUN}
+SELECT job_id, CAST(count(*) FILTER (status = 'success') AS BIGINT) AS success, CAST(count(*) FILTER (status = 'partial') AS BIGINT) AS partial,
+  CAST(count(*) FILTER (status = 'skipped') AS BIGINT) AS skipped, CAST(count(*) FILTER (status = 'failed') AS BIGINT) AS failed,
+  CAST(count(*) FILTER (status = 'permanently_failed') AS BIGINT) AS permanently_failed,
+  CAST(coalesce(sum(words) FILTER (status IN ('success', 'partial')), 0) AS BIGINT) AS words FROM run GROUP BY job_id""",
+    "ip_ranges": """
+WITH nets AS (
+  SELECT 'k' || lpad(o_orderkey::VARCHAR, 12, '0') AS kind, o_orderkey % 3 < 2 AS v4,
+    CASE o_orderkey % 3 WHEN 0 THEN 8 + o_orderkey % 9 WHEN 1 THEN 17 + o_orderkey % 8 ELSE 16 + o_custkey % 100 END AS len,
+    CASE o_orderkey % 3 WHEN 0 THEN (o_custkey % 256) * 16777216 WHEN 1 THEN (o_custkey % 256) * 16777216 + (o_orderkey % 256) * 65536 + (o_orderkey * 7 % 256) * 256
+      ELSE o_orderkey % 256 END AS n FROM orders),
+blocks AS (  -- IPv6 networks begin at a multiple of their size, but for their first byte they are all zeros
+  SELECT kind, v4, len, CASE WHEN v4 THEN (n >> (32 - len)) << (32 - len) ELSE n END AS lo FROM nets),
+numbered AS (SELECT *, row_number() OVER () AS r FROM lineitem),
+found AS (
+  SELECT r, l_linenumber % 2 = 0 AS v4, (l_partkey % 256) * 16777216 + (l_orderkey % 256) * 65536 + (l_suppkey % 256) * 256 + (l_orderkey * 7 + l_linenumber) % 256 AS a,
+    l_partkey % 256 AS top, (l_orderkey * 7 + l_linenumber) % 256 AS tail FROM numbered WHERE l_linenumber <> 7),
+best4 AS (
+  SELECT r, arg_min(kind, (-lo, lo + (1::BIGINT << (32 - len)), kind)) AS kind
+  FROM found JOIN blocks ON found.v4 AND blocks.v4 AND a >= lo AND a < lo + (1::BIGINT << (32 - len)) GROUP BY ALL),
+best6 AS (  -- the last group of an address spells its number in hexadecimal digits, below the length of every network
+  SELECT r, arg_max(kind, (len, -CAST(substr(kind, 2) AS BIGINT))) AS kind
+  FROM found JOIN blocks ON NOT found.v4 AND NOT blocks.v4 AND top = lo GROUP BY ALL)
+SELECT l.l_orderkey, CAST(l.l_linenumber AS BIGINT) AS l_linenumber, coalesce(best4.kind, best6.kind) AS kind
+FROM numbered l LEFT JOIN best4 ON l.r = best4.r LEFT JOIN best6 ON l.r = best6.r""",
+    "results_page_stored": f"""
+WITH {_OWNED}
+SELECT 'job-' || o_custkey AS job_id, page AS raw_url, CAST(l_quantity AS BIGINT) AS word_count FROM owned WHERE l_returnflag = 'N'
+ORDER BY l_shipdate, page, CAST(l_quantity AS BIGINT), job_id LIMIT 100 OFFSET 200""",
+    "article_summaries": f"""
+WITH {_EXPORT}
+SELECT blog_url, title AS blog_title, source AS author, CASE WHEN lang IN ('en','fr','de') THEN '2026-01-05' ELSE '2026-02-03' END AS publication_date,
+  CAST({_words('structured_content')} AS BIGINT) AS word_count, CASE WHEN {_words('structured_content')} >= 50 THEN 'Success' ELSE 'Partial' END AS extraction_status FROM rows1""",
+    "failure_summaries": f"""
+WITH {_OWNED}
+SELECT page AS url, 'HTTP 500' AS error, CAST(500 AS BIGINT) AS http_status, CAST(l_linenumber AS BIGINT) AS retry_count, CAST(l_shipdate AS DATE) AS day FROM owned WHERE l_returnflag = 'R'""",
+    "jobs_ready": "SELECT 'job-' || c_custkey AS job_id, c_nationkey >= 16 AND c_acctbal >= 0 AS ready FROM customer",
+    "export_jobs": f"""
+WITH {_OWNED}, f AS (SELECT 'job-' || o_custkey AS job, page, l_linenumber, l_shipdate FROM owned WHERE l_returnflag = 'R'),
+again AS (SELECT DISTINCT job FROM f WHERE job LIKE '%7' AND l_linenumber = 1)
+SELECT job || '_failed_urls' AS export, page AS url, CAST(l_linenumber AS BIGINT) AS retry_count, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') AS at FROM f
+WHERE l_linenumber = 1 OR job NOT IN (SELECT job FROM again)""",
+    "export_articles_by_job": f"""
+WITH {_EXPORT}
+SELECT 'job-' || doc_id % 10 || '.example.com_blog_extraction_2026-01-05' AS export, row_number() OVER (PARTITION BY doc_id % 10 ORDER BY doc_id % 100, blog_url) AS id, blog_url,
+  structured_content AS main_content FROM rows1""",
     "results_page": f"""
 WITH {_OWNED}
 SELECT 'job-' || o_custkey AS job_id, page AS raw_url, CAST(l_quantity AS BIGINT) AS word_count FROM owned WHERE l_returnflag = 'N'

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.session import cut_lineage
@@ -67,3 +67,19 @@ def frontier_batches(pending: DataFrame, order: list[str], concurrency: int = 20
 def page_of_rows(df: DataFrame, order: list[str], limit: int = 100, offset: int = 0) -> DataFrame:
     """A page of results; ``order`` should end in a unique column so pages never overlap."""
     return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def write_numbered(df: DataFrame, order: list[str], path: str, rows_per_part: int = 100_000) -> None:
+    """Store rows sorted by ``order`` and numbered (``row_no``), in folders of ``rows_per_part`` rows each, for paging."""
+    numbered = number_rows(df, order, "row_no")
+    part = F.floor((F.col("row_no") - 1) / rows_per_part).cast("long")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = numbered.withColumn("part", part).repartitionByRange(n, "part").sortWithinPartitions("part", "row_no")
+    dealt.write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def stored_page(spark: SparkSession, path: str, limit: int = 100, offset: int = 0, rows_per_part: int = 100_000) -> DataFrame:
+    """A page of rows that ``write_numbered`` stored. Row numbers tell the folders it lies in, so only those are read."""
+    first, last = offset // rows_per_part, (offset + max(limit, 1) - 1) // rows_per_part
+    rows = spark.read.parquet(path).where(F.col("part").between(first, last))
+    return rows.where((F.col("row_no") > offset) & (F.col("row_no") <= offset + limit)).orderBy("row_no")

@@ -1,4 +1,8 @@
-"""One run over a job's pending URLs: robots gate, chosen fetch, extraction, states, failures, counters."""
+"""One run over a job's pending URLs: robots gate, chosen fetch, extraction, states, failures, counters.
+
+``run_batch`` commits the articles, failures, states and counters of a run together, and ``urls_to_do`` reads the
+committed states, so a run that was lost goes on where the last whole batch ended.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,9 @@ from pyspark.sql import functions as F
 
 from pagemill.operators.accounting import failure_rows, pending_urls, url_status_after_fetch
 from pagemill.operators.robots import robots_gate
+from pagemill.plans.commits import Store
 from pagemill.plans.extraction import extract_articles
+from pagemill.session import cut_lineage
 from pagemill.sources.fetches import fetch_results, final_attempts
 
 _DONE = ("success", "partial")
@@ -20,7 +26,7 @@ def run_urls(urls: DataFrame, attempts: DataFrame, rules: DataFrame, score_thres
     ``rules``: as ``robots_rules`` gives them. A blocked URL is skipped and not counted as tried. Attempts meet by URL before
     pages are parsed, so of each URL one page is parsed. With ``score_threshold`` a page that scores less is skipped as well.
     """
-    gated = robots_gate(pending_urls(urls), rules, "raw_url")
+    gated = cut_lineage(robots_gate(pending_urls(urls), rules, "raw_url"))
     last = fetch_results(final_attempts(attempts, ["url"])).select("url", "http_status", "html", "error")
     allowed = gated.where("allowed").join(last.withColumnRenamed("url", "raw_url"), "raw_url", "left")
     blocked = gated.where("NOT allowed").select("job_id", "raw_url", "retry_count", F.lit("skipped").alias("status"))
@@ -58,12 +64,32 @@ def run_counts(run: DataFrame) -> DataFrame:
     )
 
 
-def append_once(rows: DataFrame, folder: str, batch: str, keys: list[str]) -> None:
-    """Add the rows whose keys no other batch has stored. A batch that runs again writes the same part again."""
-    spark = rows.sparkSession
-    part = f"{folder.rstrip('/')}/batch={batch}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        stored = spark.read.option("basePath", folder).parquet(folder).where(F.col("batch") != batch).select(*keys)
-        rows = rows.join(stored, keys, "left_anti")
-    rows.write.mode("overwrite").parquet(part)
+def run_batch(store: Store, batch: str, urls: DataFrame, attempts: DataFrame, rules: DataFrame, score_threshold: float | None = None) -> bool:
+    """Run the pending URLs and commit what came of them: ``articles``, ``failures``, ``states`` and ``counts``, all or nothing.
+
+    The run is written once and the four tables are made from what was written, so pages are parsed once. A batch that was committed
+    before is left as it is; one that was lost on its way is run again under the same name.
+    """
+    if store.has(batch):
+        return False
+    part = store.write_part("runs", run_urls(urls, attempts, rules, score_threshold))
+    run = store.open_part(part)
+    states = run.select("job_id", "raw_url", "status", "retry_count", F.lit(len(store.batches())).alias("turn"))
+    made = {"articles": run_articles(run), "failures": run_failures(run), "states": states, "counts": run_counts(run)}
+    return store.commit(batch, {name: store.write_part(name, rows) for name, rows in made.items()})
+
+
+def urls_to_do(store: Store, urls: DataFrame) -> DataFrame:
+    """``urls`` with the state and retry counter that the last committed batch gave them."""
+    if not store.parts("states"):
+        return urls
+    last = store.read("states").groupBy("job_id", "raw_url").agg(F.max_by(F.struct("status", "retry_count"), "turn").alias("_last"))
+    kept = [c for c in urls.columns if c not in ("status", "retry_count")]
+    joined = urls.join(last, ["job_id", "raw_url"], "left")
+    return joined.select(*kept, *[F.coalesce(F.col("_last")[c], F.col(c)).alias(c) for c in ("status", "retry_count")])
+
+
+def counts_so_far(store: Store) -> DataFrame:
+    """Counters of all committed batches; batches add up, and a reader sees whole ones only."""
+    counts = store.read("counts", "job_id string, success long, partial long, skipped long, failed long, permanently_failed long, words long")
+    return counts.groupBy("job_id").agg(*[F.sum(c).alias(c) for c in counts.columns if c != "job_id"])

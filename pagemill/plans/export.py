@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import get_domain
+from pagemill.operators.joins import lookup
 from pagemill.operators.ordering import number_rows
 
 # Columns and labels of the article export and of the failure export.
@@ -100,3 +101,27 @@ def write_articles_csv(articles: DataFrame, path: str) -> None:
 
 def write_failures_csv(failures: DataFrame, path: str) -> None:
     _write_csv(failure_export_rows(failures), FAILURE_COLUMNS, path)
+
+
+def write_job_exports(articles: DataFrame, names: DataFrame, folder: str) -> None:
+    """One folder of CSV parts for each job, named by ``names`` (job_id, name); jobs that are not in ``articles`` keep theirs.
+
+    ``folder/export=<name>``: rows numbered and in order, within and across parts. Only the folders of these jobs are replaced.
+    """
+    rows = lookup(export_rows(articles), names.select("job_id", F.col("name").alias("export")), "job_id")
+    _write_folders(rows, ["export", "id"], EXPORT_COLUMNS, folder)
+
+
+def write_job_failures(failures: DataFrame, folder: str) -> None:
+    """One folder of failure rows for each job, in order of time, named after the job."""
+    rows = failures.select(
+        failure_export_name(F.col("job_id")).alias("export"), "url", "error", "http_status", "retry_count", _iso(F.col("timestamp")).alias("timestamp"))
+    _write_folders(rows, ["export", "timestamp", "url"], FAILURE_COLUMNS, folder)
+
+
+def _write_folders(rows: DataFrame, order: list[str], labels: dict[str, str], folder: str) -> None:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    named = sorted_rows.select("export", *[F.col(c).alias(label) for c, label in labels.items()])
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("export").csv(
+        folder, header=True, escape='"', emptyValue="", encoding="UTF-8", lineSep="\n")

@@ -48,8 +48,12 @@ def analyze_columns(html: str = "html", url: str = "url", views: tuple[str, ...]
     return _BUILT[key]
 
 
-def extract_articles(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """Add the extracted fields to a table of pages (html and url columns)."""
+def extract_articles(pages: DataFrame, html: str = "html", url: str = "url", partitions: int | None = None) -> DataFrame:
+    """Add the extracted fields to a table of pages (html and url columns).
+
+    Pages are parsed where they were read. ``partitions`` deals them out first, for files with few large row groups.
+    """
+    pages = pages.repartition(partitions) if partitions else pages
     keep = [c for c in pages.columns if c != html]
     seen = pages.select(*keep, analyze_columns(html, url, ("metadata", "content", "score")).alias("_x"))
     return seen.select(*keep, "_x.metadata.*", "_x.content.*", "_x.score.*")

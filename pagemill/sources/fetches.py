@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.html import visible_word_count, with_page
 from pagemill.functions.text import blank_to_null
-from pagemill.operators.ordering import first_per_key
 
 # Words below which a page is taken to need rendering, retries of a URL before it is given up, longest wait.
 THIN_PAGE_WORDS = 80
@@ -54,11 +53,16 @@ def choose_fetch(static: DataFrame, rendered: DataFrame, keys: list[str], thresh
 
 
 def final_attempts(attempts: DataFrame, keys: list[str], max_retries: int | None = None) -> DataFrame:
-    """The first attempt with HTML and status 200, else the last one; of the attempts up to ``max_retries`` if given."""
+    """The first attempt with HTML and status 200, else the last one; of the attempts up to ``max_retries`` if given.
+
+    Attempts of a key are told apart by their number. Which one counts is decided on numbers alone; only then the pages move.
+    """
     good = (F.col("http_status") == 200) & F.coalesce(F.col("html") != "", F.lit(False))
     within = attempts if max_retries is None else attempts.where(F.col("attempt") <= max_retries)
-    order = [F.when(good, 0).otherwise(1), F.when(good, F.col("attempt")).otherwise(-F.col("attempt"))]
-    return first_per_key(within, keys, order)
+    place = F.when(good, F.col("attempt").cast("long")).otherwise(F.lit(1 << 40) - F.col("attempt"))
+    placed = within.withColumn("_place", place)
+    first = placed.groupBy(*keys).agg(F.min("_place").alias("_place"))
+    return placed.join(first, [*keys, "_place"], "left_semi").select(*attempts.columns)
 
 
 def with_backoff(attempts: DataFrame) -> DataFrame:

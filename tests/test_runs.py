@@ -1,13 +1,14 @@
-from pyspark.sql import functions as F
+import pytest
 
 from pagemill.operators.robots import robots_rules
 from pagemill.plans import batch_run
+from pagemill.plans.commits import KeyIndex, Store
 from pagemill.streaming import incremental
 
 WORDS = "words of a river story told in the evening " * 8
 
 
-def run(spark, **options):
+def inputs(spark):
     urls = spark.createDataFrame(
         [("j", f"https://r.org/{p}", s, n) for p, s, n in (
             ("a", "queued", 0), ("b", "failed", 2), ("c", "failed", 3), ("d", "queued", 0), ("login", "queued", 0), ("no/e", "queued", 0), ("f", "success", 0), ("g", "queued", 1))],
@@ -20,7 +21,11 @@ def run(spark, **options):
     ]
     attempts = spark.createDataFrame([(f"https://r.org/{p}", *x) for p, *x in tries], "url string, attempt int, http_status int, html string, error string")
     rules = robots_rules(spark.createDataFrame([("https://r.org", 200, "User-agent: *\nDisallow: /no/")], "site_root string, http_status int, body string"))
-    return batch_run.run_urls(urls, attempts, rules, **options)
+    return urls, attempts, rules
+
+
+def run(spark, **options):
+    return batch_run.run_urls(*inputs(spark), **options)
 
 
 def test_states_of_a_run(spark):
@@ -37,21 +42,91 @@ def test_states_of_a_run(spark):
     assert strict["a"] == "skipped"
 
 
-def test_append_once(spark, tmp_path):
-    rows = spark.createDataFrame([("j", 1), ("j", 2)], "k string, n int")
-    more = spark.createDataFrame([("j", 2), ("j", 3)], "k string, n int")
-    for batch, part in (("1", rows), ("1", rows), ("2", more), ("2", more), ("1", rows)):
-        batch_run.append_once(part, str(tmp_path / "t"), batch, ["k", "n"])
-    assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [1, 2, 3]
+def test_appended_keys(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    for batch, numbers in (("1", [1, 2, None]), ("1", [9]), ("2", [2, 3, None]), ("3", []), ("4", [3, 4, 5]), ("5", [6]), ("6", [1, 6, 7])):
+        rows = spark.createDataFrame([("j", n, b) for n in numbers for b in (batch, "z")], "k string, n int, batch string")
+        KeyIndex(store, "t", ["k", "n"], ["batch"], buckets=3, fanout=2).append(batch, rows)
+    want = {1: "1", 2: "1", None: "1", 3: "2", 4: "4", 5: "4", 6: "5", 7: "6"}
+    index = KeyIndex(Store(spark.newSession(), str(tmp_path)), "t", ["k", "n"], ["batch"], fanout=2)
+    assert index.buckets == 3 and {r.n: r.batch for r in index.read().collect()} == want and index.read().count() == len(want)
+    levels = [p.level for p in store.parts("t.keys")]
+    assert len(levels) < 6 and max(levels) > 0
+    found = index.looked_up(index.store.spark.createDataFrame([("j", 3), ("j", None), ("j", 8), ("j", 3)], "k string, n int"))
+    assert sorted((str(r.n), r.batch) for r in found.collect()) == [("3", "2"), ("3", "2"), ("8", None), ("None", "1")]
+
+
+def test_batch_meets_runs_where_they_lie(spark, tmp_path):
+    index = KeyIndex(Store(spark, str(tmp_path)), "t", ["n"], buckets=16)
+    index.append("1", spark.range(1000).toDF("n"))
+    index.append("2", spark.range(990, 1010).toDF("n"))
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        new = index.unseen(spark.createDataFrame([(5,), (2000,)], "n long"))
+        plan = new._jdf.queryExecution().executedPlan().toString()
+        assert [r.n for r in new.collect()] == [2000]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert plan.count("SelectedBucketsCount: 2 out of 16") == 2
+    assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 1
+
+
+def test_uncommitted_parts_do_not_count(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    rows = spark.range(3).toDF("n")
+    store.write_part("a", rows)
+    assert store.batches() == [] and store.read("a", "n long").count() == 0
+    assert store.add("x", {"a": rows, "b": rows}) and not store.add("x", {"a": rows})
+    store.commit("empty", {})
+    assert store.read("a").count() == 3 and store.has("empty") and store.batches() == ["x", "empty"]
+    old = store.parts("a")
+    merged = store.write_part("a", store.read("a").limit(1))
+    assert store.read("a").count() == 3
+    store.commit("merge", {"a": merged}, {"a": old})
+    assert Store(spark, str(tmp_path)).read("a").count() == 1
+    with pytest.raises(ValueError):
+        store.read("c")
+
+
+def test_run_goes_on_after_a_loss(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    urls, attempts, rules = inputs(spark)
+    first = urls.where("raw_url < 'https://r.org/c'")
+    store.write_part("articles", urls)  # of a run that was lost
+    assert batch_run.run_batch(store, "1", first, attempts, rules) and not batch_run.run_batch(store, "1", urls, attempts, rules)
+    left = batch_run.urls_to_do(store, urls)
+    assert {r.raw_url[-1]: (r.status, r.retry_count) for r in left.collect() if r.raw_url[-1] in "ab"} == {"a": ("success", 0), "b": ("failed", 3)}
+    batch_run.run_batch(store, "2", left, attempts, rules)
+    assert sorted(r.raw_url[-1] for r in store.read("articles").collect()) == ["a", "d"]
+    assert sorted((r.url[-1], r.retry_count) for r in store.read("failures").collect()) == [("b", 3), ("b", 4), ("c", 4), ("g", 2)]
+    total = batch_run.counts_so_far(store).first()
+    assert (total.success, total.partial, total.failed, total.permanently_failed) == (1, 1, 2, 2)
+    assert {r.raw_url[-1]: r.status for r in batch_run.urls_to_do(store, urls).collect()}["b"] == "permanently_failed"
 
 
 def test_streams_leave_tables(spark, tmp_path):
     source, schema = str(tmp_path / "in"), "job_id string, url string, is_candidate boolean"
+    store = Store(spark, str(tmp_path / "store"))
     for i, urls in enumerate((["https://e.com/a", "https://e.com/a/"], ["https://e.com/a", "https://e.com/b"])):
         spark.createDataFrame([("j", u, u.endswith("b")) for u in urls], schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        incremental.append_distinct(stream, str(tmp_path / "urls"), str(tmp_path / "c1")).awaitTermination()
-        incremental.publish_counts(stream, str(tmp_path / "counts"), str(tmp_path / "c2")).awaitTermination()
-        assert spark.read.parquet(str(tmp_path / "urls")).count() == i + 1
-    row = spark.read.parquet(str(tmp_path / "counts")).select("urls_discovered", F.col("blogs_identified").alias("b")).first()
-    assert (row.urls_discovered, row.b) == (4, 1)
+        incremental.append_distinct(stream, store, str(tmp_path / "c1")).awaitTermination()
+        incremental.publish_counts(stream, store, str(tmp_path / "c2")).awaitTermination()
+        assert store.read("urls").count() == i + 1
+    for _ in range(2):
+        row = incremental.read_counts(store).first()
+        assert (row.urls_discovered, row.blogs_identified) == (4, 1)
+        incremental.compact_counts(store, "once")
+    assert len(store.parts("live_counts")) == 1
+
+
+def test_stream_of_attempts(spark, tmp_path):
+    urls, attempts, rules = inputs(spark)
+    source, store = str(tmp_path / "in"), Store(spark, str(tmp_path / "store"))
+    for part in (attempts.where("url like '%/a'"), attempts.where("url like '%/a' or url like '%/d' or url like '%/c'")):
+        part.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(attempts.schema).parquet(source)
+        incremental.run_new_attempts(stream, urls, rules, store, str(tmp_path / "c")).awaitTermination()
+    assert sorted(r.raw_url[-1] for r in store.read("articles").collect()) == ["a", "d"]
+    assert sorted((r.raw_url[-1], r.status) for r in store.read("states").collect()) == [("a", "success"), ("c", "permanently_failed"), ("d", "partial")]
