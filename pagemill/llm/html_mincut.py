@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -31,12 +31,16 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import map_arrow, whole_text
 
+# Attributes by their grammar: a quote counts only where it begins a value, and only if it is closed before white space or the
+# end of the tag; a quote left open ends with the white space or ">" that comes next.
+_VALUE = r"(?:\"[^\"]*+\"(?=[\s/>]|\Z)|'[^']*+'(?=[\s/>]|\Z)|[^\s>]*+)"
+_ATTRS = rf"(?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+{_VALUE})?+|=)*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|textarea|iframe|title)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>"
-    r".*?(?:</(?P=raw)(?=[\s/>])[^>]*+>|\Z)|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(?:>|\Z)|<[!?/][^>]*+>?",
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|textarea|iframe|title)(?=[\s/>]){_ATTRS}(?:>|\Z)"
+    rf".*?(?:</(?P=raw)(?=[\s/>])[^>]*+>|\Z)|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<attrs>{_ATTRS})(?:>|\Z)|<[!?/][^>]*+>?",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|[\"']?([^\s>]+)))?", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 # What a wrapper says of its layout: "has-sidebar", "page-with-ads".
 _LAYOUT = re.compile(r"(?<![a-z0-9])(?:has|no|with|without)[^a-z0-9].*", re.S)
@@ -63,6 +67,8 @@ MAIN_WORDS = set("article content post entry story main body text".split())
 ROLES = {"navigation": -1, "banner": -1, "contentinfo": -1, "complementary": -1, "search": -1, "form": -1, "alert": -1, "dialog": -1, "main": 1, "article": 1}
 # A start tag that ends an open element of these kinds.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+LISTS = {"ul", "ol", "dl", "table", "select", "menu"}
+ITEMS = LISTS.union(*CLOSES.values())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 # Weights of the classifier, in nats of log-odds for content.
@@ -81,6 +87,7 @@ class Element:
     outer: bool
     named: bool
     parent: Element | None
+    item: Element | None = None  # the innermost list or table part at or above it
 
 
 @dataclass
@@ -121,7 +128,9 @@ def _element(tag: str, attrs: str, parent: Element | None, number: int) -> Eleme
     elif main and (not noise or tag in MAIN_TAGS or tag in ("body", "html")):
         named = True
     own = -1 if hidden else role or own
-    return Element(tag, number, parent.depth + 1 if parent else 0, own or kind, outer, named, parent)
+    made = Element(tag, number, parent.depth + 1 if parent else 0, own or kind, outer, named, parent)
+    made.item = made if tag in ITEMS else parent and parent.item
+    return made
 
 
 def _ends(tokens: list[re.Match]) -> dict[int, int]:
@@ -149,6 +158,7 @@ def _ends(tokens: list[re.Match]) -> dict[int, int]:
 def blocks_of(html: str) -> list[Block]:
     """Blocks with text, in page order."""
     root = top = Element("", 0, 0, 0, False, False, None)
+    opened: Counter[str] = Counter()  # open elements by tag: an end tag without one is not looked for
     number, links, at = 0, 0, 0
     found, current, muted = [], None, False
 
@@ -166,6 +176,15 @@ def blocks_of(html: str) -> list[Block]:
         if links:
             current.linked += len(text)
 
+    def leave(last: Callable[[Element], bool]) -> Element:
+        """End open elements up to the first that is ``last``; what is around it."""
+        e = top
+        while True:
+            opened[e.tag] -= 1
+            if last(e):
+                return e.parent
+            e = e.parent
+
     tokens = list(_TOKEN.finditer(html))
     ends, skipped = _ends(tokens), -1
     for i, m in enumerate(tokens):
@@ -191,25 +210,23 @@ def blocks_of(html: str) -> list[Block]:
             current = None
             muted = muted and tag == "option"
             if m["close"]:
-                open_ = top
-                while open_ is not root and open_.tag != tag:
-                    open_ = open_.parent
-                if open_ is not root:
-                    top = open_.parent
+                if opened[tag]:
+                    top = leave(lambda e, tag=tag: e.tag == tag)
                     links = 0
             elif tag not in VOID:
                 links = 0
                 if top.tag == "p" or (top.tag in HEADINGS and tag in HEADINGS):
-                    top = top.parent
+                    top = leave(lambda e: True)
                 closing = CLOSES.get(tag)
                 if closing:
-                    open_ = top
-                    while open_ is not root and open_.tag not in closing and open_.tag not in ("ul", "ol", "dl", "table", "select", "menu"):
-                        open_ = open_.parent
-                    if open_.tag in closing:
-                        top = open_.parent
+                    item = top.item
+                    while item is not None and item.tag not in closing and item.tag not in LISTS:
+                        item = item.parent.item
+                    if item is not None and item.tag in closing:
+                        top = leave(lambda e, item=item: e is item)
                 number += 1
                 top = _element(tag, m["attrs"], top, number)
+                opened[tag] += 1
     add(html[at:])
     out = []
     for b in found:
@@ -294,33 +311,66 @@ def minimum_cut(gain: list[float], near: list[dict[int, float]]) -> list[bool]:
 
 
 def _source_side(rest: list[int], gain: list[float], near: list[dict[int, float]]) -> set[int]:
-    """Blocks on the source's side of a minimum cut, by shortest augmenting paths; -1 is the source, -2 the sink."""
-    capacity: dict[int, dict[int, float]] = {-1: {}, -2: {}}
-    for i in rest:
-        capacity.setdefault(i, {}).update({j: w for j, w in near[i].items()})
-    for i in rest:
+    """Blocks on the source's side of a minimum cut, by augmenting paths along shortest distances, all of one length in one go."""
+    place = {b: k for k, b in enumerate(rest)}
+    source, sink = len(rest), len(rest) + 1
+    ends: list[int] = []
+    left: list[float] = []  # edge e and its twin e ^ 1
+    out: list[list[int]] = [[] for _ in range(len(rest) + 2)]
+
+    def join(u: int, v: int, there: float, back: float) -> None:
+        out[u].append(len(ends))
+        out[v].append(len(ends) + 1)
+        ends.extend((v, u))
+        left.extend((there, back))
+
+    for k, i in enumerate(rest):
         if gain[i] > 0:
-            capacity[-1][i], capacity[i][-1] = gain[i], 0.0
+            join(source, k, gain[i], 0.0)
         else:
-            capacity[i][-2], capacity[-2][i] = -gain[i], 0.0
+            join(k, sink, -gain[i], 0.0)
+        for j, w in near[i].items():
+            if i < j:
+                join(k, place[j], w, w)
     while True:
-        before, queue = {-1: -1}, deque([-1])
-        while queue and -2 not in before:
+        level = [-1] * len(out)
+        level[source], queue = 0, deque([source])
+        while queue:
             u = queue.popleft()
-            for v, c in capacity[u].items():
-                if c > 1e-12 and v not in before:
-                    before[v] = u
-                    queue.append(v)
-        if -2 not in before:
-            return set(before)
-        path, v = [], -2
-        while v != -1:
-            path.append((before[v], v))
-            v = before[v]
-        flow = min(capacity[u][v] for u, v in path)
-        for u, v in path:
-            capacity[u][v] -= flow
-            capacity[v][u] += flow
+            for e in out[u]:
+                if left[e] > 1e-12 and level[ends[e]] < 0:
+                    level[ends[e]] = level[u] + 1
+                    queue.append(ends[e])
+        if level[sink] < 0:
+            return {i for i, k in place.items() if level[k] >= 0}
+        tried = [0] * len(out)
+        path: list[int] = []
+        u = source
+        while True:
+            if u == sink:
+                flow = min(left[e] for e in path)
+                first = None
+                for n, e in enumerate(path):
+                    left[e] -= flow
+                    left[e ^ 1] += flow
+                    if first is None and left[e] <= 1e-12:
+                        first = n
+                u = ends[path[first] ^ 1]  # go on from where the path is used up
+                del path[first:]
+                continue
+            while tried[u] < len(out[u]):
+                e = out[u][tried[u]]
+                if left[e] > 1e-12 and level[ends[e]] == level[u] + 1:
+                    break
+                tried[u] += 1
+            if tried[u] < len(out[u]):
+                path.append(out[u][tried[u]])
+                u = ends[path[-1]]
+            elif path:  # a dead end
+                u = ends[path.pop() ^ 1]
+                tried[u] += 1
+            else:
+                break
 
 
 def main_text(html: str) -> str:

@@ -19,6 +19,7 @@ labelled whole; an empty table gives an empty result; other columns are carried
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +34,10 @@ FEATURES = 1 << 18
 SAMPLE_DOCS, SAMPLE_SEGMENTS, SEGMENT, LINES_FROM_DOC = 400, 1200, 25, 8
 STEPS, RATE, DECAY = 40, 0.15, 1e-4
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+# Word characters that are no letters: digits and number signs.
+_NUMBERS = "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+_WORD = re.compile(rf"[^\W_{_NUMBERS}]+(?:['’][^\W_{_NUMBERS}]+)*")
+SLICE_CHARS = 1 << 20  # characters labelled together
 
 
 def words_of(line: str) -> list[str]:
@@ -218,6 +222,17 @@ def training_sample(docs: DataFrame, text: str, lang: str, key: Column) -> list[
     return out
 
 
+def stretches(text: str) -> Iterator[str]:
+    """The text in stretches of whole lines; only a line longer than ``SLICE_CHARS`` is cut, before a space where it has one."""
+    at = 0
+    while len(text) - at > SLICE_CHARS:
+        upto = text.rfind("\n", at, at + SLICE_CHARS) + 1 or text.rfind(" ", at + 1, at + SLICE_CHARS)
+        upto = upto if upto > at else at + SLICE_CHARS
+        yield text[at:upto]
+        at = upto
+    yield text[at:]
+
+
 class Labeller:
     """Labels texts in batches; scores of frequent words are kept between batches, up to a bound."""
 
@@ -232,8 +247,8 @@ class Labeller:
         self.known.update(zip(new, scores, strict=True))
         return np.array([self.known[w] for w in words], np.float64).reshape(len(words), -1)
 
-    def label(self, texts: list[str]) -> list[tuple[str, float, list[dict]]]:
-        """Language, score and runs of words in one language, per text."""
+    def measured(self, texts: list[str]) -> list[tuple[np.ndarray, list[dict]]]:
+        """Letters in each language, by probability, and runs of words in one language, per text."""
         names = self.model.languages
         vocabulary: dict[str, int] = {}
         sequences, owner = [], []
@@ -242,9 +257,8 @@ class Labeller:
                 if words := words_of(line):
                     sequences.append([vocabulary.setdefault(w, len(vocabulary)) for w in words])
                     owner.append(i)
-        out: list[tuple[str, float, list[dict]]] = [(UNKNOWN, 0.0, []) for _ in texts]
         if not sequences or not names:
-            return out
+            return [(np.zeros(len(names)), []) for _ in texts]
         chains, order = Chains.of(sequences)
         letters = np.array([len(w) for w in vocabulary], float)
         p, _ = chains.marginals(self.emissions(list(vocabulary))[chains.words], self.model.transition)
@@ -263,6 +277,31 @@ class Labeller:
                     runs[i][-1]["words"] += b - a
                 else:
                     runs[i].append({"lang": names[line[a]], "words": b - a})
+        return list(zip(mass, runs, strict=True))
+
+    def label(self, texts: list[str]) -> list[tuple[str, float, list[dict]]]:
+        """Language, score and runs of words in one language, per text."""
+        parts, owner, held, found = [], [], 0, []
+        for i, text in enumerate(texts):
+            for part in stretches(text):
+                if held and held + len(part) > SLICE_CHARS:
+                    found += self.measured(parts[len(found):])
+                    held = 0
+                parts.append(part)
+                owner.append(i)
+                held += len(part)
+        found += self.measured(parts[len(found):])
+        names = self.model.languages
+        mass = np.zeros((len(texts), len(names)))
+        runs: list[list[dict]] = [[] for _ in texts]
+        for i, (m, part) in zip(owner, found, strict=True):
+            mass[i] += m
+            for run in part:
+                if runs[i] and runs[i][-1]["lang"] == run["lang"]:
+                    runs[i][-1]["words"] += run["words"]
+                else:
+                    runs[i].append(run)
+        out: list[tuple[str, float, list[dict]]] = [(UNKNOWN, 0.0, []) for _ in texts]
         for i, m in enumerate(mass):
             if m.sum() > 0:
                 out[i] = (names[int(m.argmax())], float(m.max() / m.sum()), runs[i])

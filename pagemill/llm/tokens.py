@@ -3,8 +3,8 @@
 Byte-level tokenizers never join anything across a single space between two characters that are not white space,
 so a text is cut there, and around single line breaks, and each piece (with its leading space) is looked up. A piece that is not in the cache
 and has only common Latin characters is split by the tokenizer's own expression, and its parts go straight to
-the library's BPE model, which is several times faster than a full call for a short text; any other piece
-takes the full call. The ids are those of the whole text; tests compare them.
+the library's BPE model, which is several times faster than a full call for a short text; any other piece,
+or one with the string of a special token, takes the full call. The ids are those of the whole text; tests compare them.
 """
 
 from __future__ import annotations
@@ -49,9 +49,11 @@ class _Cache:
 class Encoder:
     """Text to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, spec: str, cache_size: int = 650_000) -> None:
+    def __init__(self, spec: str, cache_size: int = 650_000, literal: bool = False) -> None:
+        """``literal``: strings of special tokens in a text are ordinary text; else they give the special ids, as in a plain call."""
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = literal
+        self.special = [] if literal else [t["content"] for t in json.loads(spec).get("added_tokens", [])]
         self.model = self.tokenizer.model
         self.pieces = _Cache(cache_size)
         self.table = _alphabet()
@@ -104,7 +106,7 @@ class Encoder:
         new, old = self.pieces.make_room(len(pieces))
         for p in pieces.difference(new):
             ids = old.get(p)
-            if ids is None and self.split and _COMMON(p):
+            if ids is None and self.split and _COMMON(p) and not any(t in p for t in self.special):
                 parts = self._parts(p)
                 if len(parts) == 1:
                     ids = self._short(parts[0])
