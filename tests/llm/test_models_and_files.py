@@ -102,85 +102,108 @@ def test_toxicity_without_labels_or_documents(spark):
     assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
 
 
-def test_word_ratios(spark):
-    counts = spark.createDataFrame([("rare", 1, 2), ("rude", 0, 40), ("calm", 60, 2), ("even", 50, 50)], "word string, c0 long, c1 long")
-    got = {r.word: r.ratio for r in toxicity.ratios(counts).collect()}
-    all0, all1, d = 111, 94, 3
-    freed0, freed1 = (1 + 0 + 3 + 3) / all0, (2 + 3 + 2 + 3) / all1
-
-    def expected(c0, c1):
-        shared = (c0 + c1) / (all0 + all1)
-        p0 = (c0 - min(c0, d)) / all0 + freed0 * shared
-        p1 = (c1 - min(c1, d)) / all1 + freed1 * shared
-        return np.log(p1 / p0) - np.log(freed1 / freed0)
-
-    assert set(got) == {"rude", "calm", "even"}
-    assert all(abs(got[w] - expected(*c)) < 1e-9 for w, c in (("rude", (0, 40)), ("calm", (60, 2)), ("even", (50, 50))))
-
-
-def brute_evidence(train, text):
-    """Length-normalised difference of two Kneser-Ney log-likelihoods, less that of an unknown word, from the definition."""
+def brute_parts(train, text):
+    """Part of each word and of the end of ``text``, from the definition; ``train``: (text, class)."""
     def marked(t):
         return ["<", *toxicity.words_of(t), ">"]
 
-    def discount(counts):
-        one, two = (sum(c == n for c in counts.values()) for n in (1, 2))
-        return (one + 0.5) / (one + 2 * two + 1)
-
+    cut, low_cut = toxicity.PAIR_DISCOUNT, toxicity.WORD_DISCOUNT
     pairs = [Counter(p for t, y in train if y == k and toxicity.words_of(t) for p in itertools.pairwise(marked(t))) for k in (0, 1)]
     words = [Counter(v for _, v in p) for p in pairs]
     shared = Counter(v for _, v in pairs[0] | pairs[1])
-    unknown = [discount(w) * len(w) / w.total() for w in words]
-
-    def p_word(k, v):
-        return max(words[k][v] - discount(words[k]), 0) / words[k].total() + unknown[k] * shared[v] / shared.total()
+    rest = [sum(min(n, low_cut) for n in w.values()) / w.total() for w in words]
 
     def p_pair(k, u, v):
+        low = max(words[k][v] - low_cut, 0) / words[k].total() + rest[k] * max(shared[v], 0.5) / shared.total()
         uses = sum(c for (a, _), c in pairs[k].items() if a == u)
-        low = p_word(k, v) if shared[v] else unknown[k]
         if not uses:
             return low
-        d, kinds = discount(pairs[k]), sum(a == u for a, _ in pairs[k])
-        return max(pairs[k][u, v] - d, 0) / uses + d * kinds / uses * low
+        freed = max(sum(min(c, cut) for (a, _), c in pairs[k].items() if a == u), 0.5)
+        return max(pairs[k][u, v] - cut, 0) / uses + freed / uses * low
 
-    steps = list(itertools.pairwise(marked(text)))
-    return sum(np.log(p_pair(1, u, v) / p_pair(0, u, v)) - np.log(unknown[1] / unknown[0]) for u, v in steps) / len(steps)
+    return [np.log(p_pair(1, u, v) / p_pair(0, u, v)) - np.log(rest[1] / rest[0]) for u, v in itertools.pairwise(marked(text))]
+
+
+def brute_signals(train, text):
+    parts = brute_parts(train, text) if toxicity.words_of(text or "") else []
+    width = min(toxicity.WINDOW, len(parts))
+    return sum(parts) / max(len(parts), 1), max((sum(parts[i : i + width]) for i in range(len(parts) - width + 1)), default=0) / toxicity.WINDOW
 
 
 TRAIN = [("you are a vilk man", 1), ("a vilk vilk day", 1), ("you vilk", 1), ("are you a man", 0), ("a man and a day and a man", 0), ("day by day a man", 0), ("", 0), ("12 3", 1)]
 
 
-def test_pair_likelihoods_follow_the_definition(spark):
-    texts = ["a man vilk", "vilk a man", "you are a day", "new words only", "a vilk vilk vilk", "man", "by new vilk day", "", None, "7"]
-    counts = toxicity.count_terms(spark.createDataFrame(TRAIN, "text string, toxic int").repartition(3))
-    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string").fillna("")
-    got = {r.i: r.evidence for r in toxicity.evidence(docs, toxicity.build_model(counts)).collect()}
-    assert all(abs(got[i] - (brute_evidence(TRAIN, t) if t and t != "7" else 0)) < 1e-5 for i, t in enumerate(texts))
-    assert abs(got[0] - got[1]) > 0.1  # the same words in another order
+@pytest.fixture
+def small_discounts(monkeypatch):
+    monkeypatch.setattr(toxicity, "PAIR_DISCOUNT", 1)
+    monkeypatch.setattr(toxicity, "WORD_DISCOUNT", 1)
 
 
-def test_toxicity_model_is_whole_in_any_number_of_passes(spark):
+def test_pair_likelihoods_follow_the_definition(spark, small_discounts):
+    texts = ["a man vilk", "vilk a man", "you are a day", "new words only", "a vilk vilk vilk", "man", "by new vilk day", "", None, "7"]
+    train = spark.createDataFrame([(t, y + 2 * (i % 3 == 0)) for i, (t, y) in enumerate(TRAIN)], "text string, kind int").repartition(3)
+    docs = spark.createDataFrame([(i, i % 2 == 0, t) for i, t in enumerate(texts)], "i int, own boolean, text string").fillna("")
+    got = {r.i: r for r in toxicity.evidence(docs, toxicity.build_model(toxicity.model_counts(toxicity.count_pairs(train)))).collect()}
+    without = [x for i, x in enumerate(TRAIN) if i % 3]
+    for i, t in enumerate(texts):
+        assert np.allclose((got[i].evidence, got[i].passage), brute_signals(TRAIN, t), atol=1e-5), t
+        assert (got[i].evidence0 is None) == (got[i].passage0 is None) == (i % 2 == 1)
+        if i % 2 == 0:
+            assert np.allclose((got[i].evidence0, got[i].passage0), brute_signals(without, t), atol=1e-5), t
+    assert abs(got[0].evidence - got[1].evidence) > 0.05  # the same words in another order
+
+
+def test_pairs_are_counted_by_kind(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SLICE_CHARS", 10)
+    rows = [("a b a b", 0), ("b a b", 1), ("a b", 2), ("b a", 3), ("a b", 3), ("", 1)]
+    got = {(r.u, r.v): (r.c0, r.c1, r.k0, r.k1) for r in toxicity.count_pairs(spark.createDataFrame(rows, "text string, kind int")).collect()}
+    h = toxicity.Hashes()
+    want = Counter((h[u], h[v], k) for t, k in rows if t for u, v in itertools.pairwise(["<", *t.split(), ">"]))
+    assert got == {(u, v): tuple(want[u, v, k] for k in range(4)) for u, v, _ in want}
+
+
+def test_toxicity_query_against_brute_force(spark, small_discounts):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["oak", "elm", "ash", "fir", *["vilk"] * (i % 4 == 0)]) for _ in range(rng.randint(0, 9))), i % 4 == 0) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(y)) for i, _, y in rows if i % 5], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels).collect()}
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i, _, _ in rows}
+    known = [(i, t, y) for i, t, y in rows if i % 5 and fold[i]]
+    both, without = [(t, y) for _, t, y in known], [(t, y) for i, t, y in known if fold[i] != 1]
+    bins = Counter((tuple(int(np.floor(min(max(x, low), high) / width)) for x, (_, low, high, width) in zip(brute_signals(without, t), toxicity.BINS, strict=True)), y) for i, t, y in known if fold[i] == 1)
+    *slopes, offset = toxicity.fit_curve([([(x + 0.5) * width for x, (*_, width) in zip(place, toxicity.BINS, strict=True)], bins[place, False], bins[place, True]) for place in {p for p, _ in bins}])
+    for i, t, _ in rows:
+        signals = brute_signals(both, t)
+        score = 1 / (1 + np.exp(-(np.dot(slopes, signals) + offset)))
+        assert abs(got[i].score - score) < 1e-3 and got[i].predicted == (got[i].score >= 0.5) and got[i].held_out == (fold[i] == 0)
+
+
+def test_toxicity_model_is_whole_in_any_number_of_passes(spark, small_discounts):
     rng = random.Random(5)
-    rows = [(" ".join(f"{rng.choice('abcdefg')}{chr(97 + rng.randint(0, 25))}" for _ in range(12)) + " vilk" * y, y) for y in (0, 1) for _ in range(40)]
-    model = toxicity.build_model(toxicity.count_terms(spark.createDataFrame(rows, "text string, toxic int")))
-    n_words, n_pairs = (t.count() for t in model)
-    assert n_words == len({w for t, _ in rows for w in t.split()}) + 2
-    assert n_pairs == len({p for t, _ in rows for p in itertools.pairwise(["<", *t.split(), ">"])})
-    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)] + [(-1, ""), (-2, "new")], "i int, text string")
-    one, many = ({r.i: (r.evidence, r.passage) for r in toxicity.evidence(docs, model, most).collect()} for most in (10**6, n_words // 2))
-    assert len(one) == 82 and all(np.allclose(one[i], many[i], atol=1e-6) for i in one)
+    rows = [(" ".join(f"{rng.choice('ab')}{rng.choice('xyz')}" for _ in range(12)) + " vilk" * y, y) for y in (0, 1) for _ in range(40)]
+    model = toxicity.build_model(toxicity.model_counts(toxicity.count_pairs(spark.createDataFrame(rows, "text string, kind int"))))
+    assert all(t.count() > 5 for t in model)
+    docs = spark.createDataFrame([(i, i % 2 == 0, t) for i, (t, _) in enumerate(rows)] + [(-1, True, ""), (-2, False, "new")], "i int, own boolean, text string")
+    one, many = ({r.i: r[1:] for r in toxicity.evidence(docs, model, most).collect()} for most in (10**6, 4))
+    assert len(one) == 82 and all(np.allclose([x or 0 for x in one[i]], [x or 0 for x in many[i]], atol=1e-5) for i in one)
 
 
 def test_toxicity_learns_from_the_calibrating_fold_too(spark):
     rows = labelled(random.Random(8), 400)
     calibrating = [i for i, _, y in rows if y and zlib.crc32(str(i).encode()) % 5 == 1]
-    rows = [(i, t + (" zorb zorb zorb zorb zorb" if i in calibrating else ""), y) for i, t, y in rows]
+    rows = [(i, t + (" " + "".join(chr(97 + int(c)) for c in str(i)) + "q zorb" if i in calibrating else ""), y) for i, t, y in rows]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(-1, "zorb " * 9)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
-    assert len(calibrating) > toxicity.DISCOUNT
+    assert len(calibrating) > toxicity.WORD_DISCOUNT
     assert toxicity.score_toxicity(docs, labels).where("doc_id = -1").first().passage > 0
 
 
+def test_texts_are_taken_together_by_length():
+    assert [(s.start, s.stop) for s in toxicity.slices([5, 1 << 20, 3, 4, 2 << 20])] == [(0, 1), (1, 2), (2, 4), (4, 5)]
+    assert list(toxicity.slices([])) == []
+
+
 # Language.
 
 TONGUES = {
@@ -352,3 +375,47 @@ def test_trigram_queries():
     assert secrets.trigram_query("ab[cd]") == ("or", [("and", ["abc"]), ("and", ["abd"])])
     assert secrets.trigram_query("abc.*xyz") == ("and", [("or", [("and", ["abc"])]), ("or", [("and", ["xyz"])])])
     assert secrets.trigram_query("(?:abc)?x") is None
+
+
+# Odd inputs of single operators.
+
+
+def test_number_signs_are_no_letters():
+    assert langid.words_of("½ ² Ⅷ 7 x½y l'été") == ["x", "y", "l'été"]
+
+
+def test_long_texts_are_labelled_in_stretches(monkeypatch):
+    rng = random.Random(2)
+    sample = [(t, langid.words_of(in_tongue(rng, t, 20))) for t in TONGUES for _ in range(30)]
+    labeller = langid.Labeller(langid.fit(sample))
+    text = "\n".join(in_tongue(rng, t, 12) for t in list(TONGUES) * 40)
+    whole = labeller.label([text, "", "½"])
+    monkeypatch.setattr(langid, "SLICE_CHARS", 300)
+    parts = labeller.label([text, "", "½"])
+    assert "".join(langid.stretches(text)) == text and len(list(langid.stretches(text))) > 10
+    assert whole[1:] == parts[1:] == [("und", 0.0, [])] * 2
+    assert whole[0][0] == parts[0][0] and abs(whole[0][1] - parts[0][1]) < 1e-9 and whole[0][2] == parts[0][2]
+    assert "".join(langid.stretches("word " * 200)) == "word " * 200 and "".join(langid.stretches("x" * 1000)) == "x" * 1000
+
+
+def test_odd_quotes_leave_no_markup():
+    keep = "A sentence of the article that is long enough to stay."
+    for tag in ("<p class=\"x>", "<p class='x>", "<p title=\"a > b\">", "<p =a b==c 'd>", "<p data-x='<b>'>", "<p><a href=/it's>it</a> ", '<p x="a"b>'):
+        text = html_mincut.main_text(f"<article>{tag}{keep}</p><p class=\"y\">{keep}</p></article>")
+        assert text.count(keep) == 2 and not set("<>") & set(text), (tag, text)
+
+
+def test_deep_and_large_pages_take_linear_time():
+    import time
+
+    rng = random.Random(3)
+    begin = time.time()
+    html_mincut.main_text("<div>" * 100_000 + "</section>" * 100_000 + "text " * 10)
+    html_mincut.main_text("<ul><li>" + "<div>" * 30_000 + "<li>x" * 30_000)
+    n = 20_000
+    gain, near = [rng.uniform(-2, 2) for _ in range(n)], [{} for _ in range(n)]
+    for i in range(n - 2):
+        near[i][i + 1] = near[i + 1][i] = 1.0
+        near[i][i + 2] = near[i + 2][i] = 0.8
+    html_mincut.minimum_cut(gain, near)
+    assert time.time() - begin < 30

@@ -225,13 +225,14 @@ def test_clean_documents(spark):
 def test_encoder_gives_the_ids_of_the_whole_text(name):
     spec = open(public_tokenizers.path(name), encoding="utf-8").read()
     tokenizer = Tokenizer.from_str(spec)
-    tokenizer.encode_special_tokens = True
     rng = random.Random(4)
     alphabet = " \n\t  aAbZé'sßÄ9１  ́ \x1c\x85İſK漢字🙂.,!'tll "
-    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + [LONG, "", "<|endoftext|> a", "x" * 5000]
-    encoder = Encoder(spec, cache_size=500)
-    for t, ids in zip(texts, encoder.encode(texts), strict=True):
-        assert list(memoryview(ids).cast("I")) == tokenizer.encode(t, add_special_tokens=False).ids, t
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + [LONG, "", "<|endoftext|> a", "x" * 5000, "hello <|endoftext|> world", "a<|endoftext|>b\n<|startoftext|> <|ENDOFTEXT|>", "<|endoftext|>" * 3]
+    for literal in (False, True):
+        tokenizer.encode_special_tokens = literal
+        encoder = Encoder(spec, cache_size=500, literal=literal)
+        for t, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert list(memoryview(ids).cast("I")) == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
 def test_encoder_cuts_long_texts(monkeypatch):
