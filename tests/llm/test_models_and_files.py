@@ -162,12 +162,14 @@ def test_pairs_are_counted_by_kind(spark, monkeypatch):
     assert got == {(u, v): tuple(want[u, v, k] for k in range(4)) for u, v, _ in want}
 
 
-def test_toxicity_query_against_brute_force(spark, small_discounts):
+def test_toxicity_query_against_brute_force(spark, small_discounts, monkeypatch):
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice(["oak", "elm", "ash", "fir", *["vilk"] * (i % 4 == 0)]) for _ in range(rng.randint(0, 9))), i % 4 == 0) for i in range(60)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(i, int(y)) for i, _, y in rows if i % 5], "doc_id long, toxic int")
     got = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels).collect()}
+    monkeypatch.setattr(toxicity, "LABEL_ROWS", 0)
+    shuffled = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels).collect()}
     fold = {i: zlib.crc32(str(i).encode()) % 5 for i, _, _ in rows}
     known = [(i, t, y) for i, t, y in rows if i % 5 and fold[i]]
     both, without = [(t, y) for _, t, y in known], [(t, y) for i, t, y in known if fold[i] != 1]
@@ -176,7 +178,7 @@ def test_toxicity_query_against_brute_force(spark, small_discounts):
     for i, t, _ in rows:
         signals = brute_signals(both, t)
         score = 1 / (1 + np.exp(-(np.dot(slopes, signals) + offset)))
-        assert abs(got[i].score - score) < 1e-3 and got[i].predicted == (got[i].score >= 0.5) and got[i].held_out == (fold[i] == 0)
+        assert got[i] == shuffled[i] and abs(got[i].score - score) < 1e-3 and got[i].predicted == (got[i].score >= 0.5) and got[i].held_out == (fold[i] == 0)
 
 
 def test_toxicity_model_is_whole_in_any_number_of_passes(spark, small_discounts):
