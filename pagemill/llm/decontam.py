@@ -8,7 +8,8 @@ a suffix bucket, the first block of the window selects strings inside it, and co
 
 The tables go to the tasks as a broadcast of proven size: the benchmark's bytes are summed first, and a
 benchmark larger than ``chunk_bytes`` is searched in several passes, each with a part of the items and
-the hits so far written in between. The documents stay where they are; nothing is shuffled.
+the hits so far written in between. Tables take about 150 bytes of memory for each byte of text, so the default of 2 MB
+is about 300 MB in the driver and in each Python worker. The documents stay where they are; nothing is shuffled.
 
 Cases: a NULL text or one without words has no hits; items without words are no strings; an item id may
 repeat (one item); a NULL item id marks words but names no item; very long texts are searched whole;
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import map_arrow, stored, whole_text
 
-WINDOW, CHUNK_BYTES = 10, 32 << 20
+WINDOW, CHUNK_BYTES = 10, 2 << 20
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -83,9 +84,9 @@ def find_overlaps(
     docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None,
     window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
-    """``doc`` (struct of ``keep``, or of all columns), ``n_words``, ``spans`` (hit words, end exclusive), ``item_ids`` (sorted), ``longest``.
+    """``doc`` (struct of ``keep``, or of all columns), ``n_words``, ``spans`` (hit words, end exclusive), ``item_ids`` (sorted), ``longest``, ``alone``.
 
-    ``longest`` is the number of words of the longest string that occurs, 0 if none does.
+    ``longest`` is the number of words of the longest string that occurs, 0 if none does; ``alone`` whether some string is all the words of a line.
     """
     spark = docs.sparkSession
     wanted = items.select(F.col(f"`{item_id}`").cast("string").alias("item"), whole_text(F.col(f"`{item_text}`")).alias("text")).distinct()
@@ -96,7 +97,7 @@ def find_overlaps(
     none = "array<struct<start: int, end: int>>"
     df = docs.select(
         doc, whole_text(F.col(f"`{text}`")).cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"),
-        F.array().cast(none).alias("spans"), F.array().cast("array<string>").alias("item_ids"), F.lit(0).alias("longest"),
+        F.array().cast(none).alias("spans"), F.array().cast("array<string>").alias("item_ids"), F.lit(0).alias("longest"), F.lit(False).alias("alone"),
     )
     schema = df.schema
     for chunk in range(chunks):
@@ -114,18 +115,29 @@ def find_overlaps(
     return df.drop("text")
 
 
+def _lines_of(text: bytes) -> set[tuple[int, int]]:
+    """First word and end of each line that has words."""
+    out, at = set(), 0
+    for line in text.split(b"\n"):
+        n = len(words_of(line))
+        if n:
+            out.add((at, at + n))
+        at += n
+    return out
+
+
 def _searched(batch: pa.RecordBatch, tables: list[ShiftTable]) -> pa.RecordBatch:
-    counts, spans, items, longest = [], [], [], []
-    for text, old, names, most in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4, 5)), strict=True):
+    counts, spans, items, longest, lone = [], [], [], [], []
+    for text, old, names, most, alone in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4, 5, 6)), strict=True):
         words, names = words_of(text), set(names)
-        found = [(s["start"], s["end"]) for s in old]
+        new = []
         for table in tables:
             for first, which in table.search(words):
-                found.append((first, first + table.m))
+                new.append((first, first + table.m))
                 names.update(which)
                 most = max(most, table.m)
         merged: list[dict] = []
-        for start, end in sorted(found):
+        for start, end in sorted([*((s["start"], s["end"]) for s in old), *new]):
             if merged and start <= merged[-1]["end"]:
                 merged[-1]["end"] = max(end, merged[-1]["end"])
             else:
@@ -134,14 +146,15 @@ def _searched(batch: pa.RecordBatch, tables: list[ShiftTable]) -> pa.RecordBatch
         spans.append(merged)
         items.append(sorted(x for x in names if x is not None))
         longest.append(most)
-    made = [pa.array(c, batch.schema.field(i).type) for i, c in ((2, counts), (3, spans), (4, items), (5, longest))]
+        lone.append(alone or bool(new and not _lines_of(text).isdisjoint(new)))
+    made = [pa.array(c, batch.schema.field(i).type) for i, c in ((2, counts), (3, spans), (4, items), (5, longest), (6, lone))]
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], schema=batch.schema)
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text", least_words: int = 5, **options) -> DataFrame:
     """Documents without benchmark text, with their own columns.
 
-    A document goes if a string of ``least_words`` or more occurs in it. Shorter items are left to
-    ``find_overlaps``: a few common words in a row are no evidence that an item was leaked.
+    A document goes if a string of ``least_words`` or more occurs in it, or a shorter item is all the words of one of its
+    lines. Elsewhere a few common words in a row are no evidence that an item was leaked; ``find_overlaps`` names them.
     """
-    return find_overlaps(docs, items, text, **options).where(F.col("longest") < least_words).select("doc.*")
+    return find_overlaps(docs, items, text, **options).where((F.col("longest") < least_words) & ~F.col("alone")).select("doc.*")

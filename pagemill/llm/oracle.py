@@ -143,7 +143,7 @@ def secrets_sql() -> str:
     parts = []
     for rank, rule in enumerate(secrets.RULES):
         # The other engine knows neither possessive repeats nor a case switch that keeps to ASCII.
-        pattern = rule.pattern.replace("}+", "}").replace("'", "''")
+        pattern = rule.pattern.replace("}+", "}").replace("]++", "]+").replace("'", "''")
         for word in ("password", "passwd", "secret", "token", "key", "api"):
             pattern = re.sub(rf"(?<![a-z]){word}(?![a-z])", "".join(f"[{c.upper()}{c}]" for c in word), pattern) if rule.kind == "assign" else pattern
         pattern = pattern.replace("(?i:", "(?:")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import let
-from pagemill.llm.common import packed, whole_text
+from pagemill.llm.common import packed, stored, whole_text
 
 
 @dataclass(frozen=True)
@@ -50,8 +50,9 @@ RULES = [
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     Rule("bearer", r"[Bb]earer [A-Za-z0-9._~+/-]{20,}=*"),
-    Rule("url_password", r"[a-z][a-z0-9+.-]{1,15}://[^\s:@/]{1,64}:[^\s:@/]{1,64}@"),
+    Rule("url_password", r"[a-z][a-z0-9+.-]{1,15}://[^\s:@/]++:[^\s:@/]++@"),
 ]
+CANDIDATES = 500_000  # documents that texts meet where they lie
 _MOST = 64  # strings held at once while a query is derived
 
 
@@ -192,7 +193,9 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
 
 def scan(docs: DataFrame, rules: list[Rule] = RULES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc`` (struct of all columns) and ``spans``, ordered by start and then by the order of the rules."""
-    found = candidates(postings(docs, rules, f"`{text}`", f"`{doc_id}`"), rules)
+    found = stored(candidates(postings(docs, rules, f"`{text}`", f"`{doc_id}`"), rules), "candidates")
+    # Few candidates go to the texts; many, by their count, meet them in a shuffle.
+    found = F.broadcast(found) if found.count() <= CANDIDATES else found
     whole = packed(docs).withColumn("text", whole_text(F.col(f"doc.`{text}`")))
     left = whole.select("doc", "text", *_keys(F.col("text"), F.col(f"doc.`{doc_id}`"))).alias("l")
     right = found.alias("r")

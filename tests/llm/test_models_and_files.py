@@ -421,3 +421,14 @@ def test_deep_and_large_pages_take_linear_time():
         near[i][i + 2] = near[i + 2][i] = 0.8
     html_mincut.minimum_cut(gain, near)
     assert time.time() - begin < 30
+
+
+def test_long_passwords_in_urls(spark):
+    secret = "ghx" + "a1B" * 50
+    docs = spark.createDataFrame([(1, f"see https://{'u' * 90}:{secret}@host/x and ftp://a:b@c, http://no:pass/word@x")], "doc_id long, text string")
+    text = docs.first().text
+    for bound in (500_000, 0):
+        secrets.CANDIDATES, usual = bound, secrets.CANDIDATES
+        found = [(s.start, s.end) for s in secrets.scan(docs).first().spans if s.kind == "url_password"]
+        secrets.CANDIDATES = usual
+        assert [text[a:b] for a, b in found] == [f"https://{'u' * 90}:{secret}@", "ftp://a:b@"]

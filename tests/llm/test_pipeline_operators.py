@@ -216,7 +216,12 @@ def test_decontamination(spark, chunk_bytes):
 def test_clean_documents(spark):
     bench = spark.createDataFrame([(1, LONG[:200]), (2, "and another")], "item_id long, text string")
     out = decontam.clean_documents(odd_rows(spark), bench)
-    assert out.columns == odd_rows(spark).columns and out.count() == 8 and out.where("doc_id = 5").count() == 0
+    # Item 2 has two words: it costs a document only where it is a whole line.
+    assert out.columns == odd_rows(spark).columns and sorted(str(r.doc_id) for r in out.collect()) == ["1", "2", "3", "None"]
+    inside = odd_rows(spark).withColumn("text", F.regexp_replace("text", "(?i)\nand", " and"))
+    assert decontam.clean_documents(inside, bench).count() == 8
+    both = bench.union(bench.selectExpr("item_id + 10", "'x ' || text"))
+    assert decontam.clean_documents(odd_rows(spark), both, chunk_bytes=50).count() == 4
     assert decontam.clean_documents(odd_rows(spark), bench.limit(0)).count() == 9
     assert decontam.clean_documents(odd_rows(spark).limit(0), bench).count() == 0
 
