@@ -150,6 +150,25 @@ def sitemap_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def sitemap_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(url, http_status, content_type, content): the sitemap files as they come; the length of the name decides how.
+
+    By its remainder by five: plain, packed and told so, packed but not told, plain but told to be packed, an error.
+    """
+    import gzip
+
+    files = sitemap_files(spark, sf_dir).withColumn("kind", F.length("url") % 5)
+
+    def packed(bodies):
+        return bodies.map(lambda b: b if b is None else gzip.compress(bytes(b)))
+
+    body = F.col("body").cast("binary")
+    content = F.when(F.col("kind").isin(1, 2), F.pandas_udf(packed, "binary")(F.when(F.col("kind").isin(1, 2), body))).otherwise(body)
+    return files.select(
+        "url", F.when(F.col("kind") == 4, 500).otherwise(200).alias("http_status"),
+        F.when(F.col("kind").isin(1, 3), "application/x-gzip").when(F.col("kind") == 0, "text/xml").alias("content_type"), content.alias("content"))
+
+
 def index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(url, http_status, content_type, html): the same tree as HTML pages. Each page links
     back to the page above it, to another site, and to a mail address."""

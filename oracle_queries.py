@@ -162,6 +162,15 @@ run AS (
   JOIN long USING (page_id) JOIN (SELECT page_id, {_words('structured_content')} AS words FROM article) a USING (page_id))"""
 
 
+_NODES = f"""
+WITH {_TREE}, nodes AS (
+  SELECT site, base || '/maps/0-' || n0 || '.xml' AS url, count(*) AS pages, 0 AS children FROM tree GROUP BY site, base, n0
+  UNION ALL SELECT site, base || '/maps/1-' || n1 || '.xml', 0, count(DISTINCT n0) FROM tree GROUP BY site, base, n1
+  UNION ALL SELECT site, base || '/maps/2-' || n2 || '.xml', 0, count(DISTINCT n1) FROM tree GROUP BY site, base, n2
+  UNION ALL SELECT site, base || '/sitemap.xml', 0, count(DISTINCT n2) + 2 FROM tree GROUP BY site, base
+  UNION ALL SELECT site, 'https://' || site || '/sitemap_index.xml', 0, 0 FROM (SELECT 'c' || c_custkey || '.example.com' AS site FROM customer) c)"""
+
+
 ORACLE = {
     "article_url_counts": f"""
 SELECT {_domain('url')} AS domain, count(*) AS article_urls FROM (
@@ -239,14 +248,11 @@ k AS (
   UNION ALL SELECT 'index', ['','/blog','/blog/','/articles','/articles/','/resources','/resources/','/news','/news/','/insights','/insights/','/guides','/guides/','/case-studies','/case-studies/','/press','/updates']),
 e AS (SELECT kind, unnest(paths) AS path, generate_subscripts(paths, 1) - 1 AS seq FROM k)
 SELECT site, kind, CAST(seq AS BIGINT) AS seq, 'https://' || site || path AS url FROM s CROSS JOIN e""",
-    "sitemap_entries": f"""
-WITH {_TREE}, nodes AS (
-  SELECT site, base || '/maps/0-' || n0 || '.xml' AS url, count(*) AS pages, 0 AS children FROM tree GROUP BY site, base, n0
-  UNION ALL SELECT site, base || '/maps/1-' || n1 || '.xml', 0, count(DISTINCT n0) FROM tree GROUP BY site, base, n1
-  UNION ALL SELECT site, base || '/maps/2-' || n2 || '.xml', 0, count(DISTINCT n1) FROM tree GROUP BY site, base, n2
-  UNION ALL SELECT site, base || '/sitemap.xml', 0, count(DISTINCT n2) + 2 FROM tree GROUP BY site, base
-  UNION ALL SELECT site, 'https://' || site || '/sitemap_index.xml', 0, 0 FROM (SELECT 'c' || c_custkey || '.example.com' AS site FROM customer) c)
+    "sitemap_entries": f"""{_NODES}
 SELECT url, CAST(pages AS BIGINT) AS pages, CAST(children AS BIGINT) AS children FROM nodes""",
+    # A packed file that is not told so is no valid text and has no row.
+    "sitemap_bodies": f"""{_NODES}
+SELECT url, CAST(pages AS BIGINT) AS pages FROM nodes WHERE length(url) % 5 NOT IN (2, 4)""",
     "sitemap_expand": f"WITH {_TREE} SELECT site, url, lastmod, level FROM ({_FOUND_MAPS}) f",
     "sitemap_capped": f"WITH {_TREE} SELECT site, url, lastmod, level FROM ({_FOUND_MAPS}) f QUALIFY row_number() OVER (PARTITION BY site ORDER BY key) <= 3",
     "bfs_links": f"WITH {_CRAWL} SELECT site, url, level FROM crawl",

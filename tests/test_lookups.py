@@ -1,5 +1,6 @@
-"""Range joins, robots rules by prefix, exports by job, pages of stored rows."""
+"""Range joins, robots rules by prefix, exports by job, pages of stored rows, packed sitemap files."""
 
+import gzip
 import ipaddress
 import random
 
@@ -9,6 +10,7 @@ from pagemill.operators import ranges
 from pagemill.operators.ordering import stored_page, write_numbered
 from pagemill.operators.robots import robots_gate, robots_rules
 from pagemill.plans import export
+from pagemill.sources import sitemaps
 
 
 def bits(ip):
@@ -112,3 +114,13 @@ def test_stored_pages_equal_offset_pages(spark, tmp_path):
         assert [(r.k, r.v) for r in page.collect()] == want[offset : offset + limit]
     one = stored_page(spark, path, 10, 30, rows_per_part=10)
     assert len(one.inputFiles()) >= 1 and "PartitionFilters: [isnotnull(part" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packed_sitemap_responses(spark):
+    body = b"<urlset>\xc3\xa9</urlset>"
+    rows = [("a.xml", 200, "text/xml", body), ("b.xml.gz", 200, None, gzip.compress(body)), ("c.xml", 200, "application/x-gzip", gzip.compress(body)), ("d.xml.gz", 200, "text/xml", body),
+            ("e.xml.gz", 200, None, gzip.compress(body)[:-9]), ("f.xml", 200, None, gzip.compress(body)), ("g.xml", 404, "text/xml", body), ("h.xml", 200, "gzip", None), ("i.xml", 200, "x", b"")]
+    responses = spark.createDataFrame(rows, "url string, http_status int, content_type string, content binary")
+    got = {r.url: r.body for r in sitemaps.response_bodies(responses).collect()}
+    assert got == {u: body.decode() for u in ("a.xml", "b.xml.gz", "c.xml", "d.xml.gz")} | {"i.xml": ""}
+    assert sitemaps.response_bodies(responses.limit(0)).count() == 0
