@@ -18,13 +18,12 @@ labelled whole; an empty table gives an empty result; other columns are carried
 
 from __future__ import annotations
 
-import re
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,9 +33,7 @@ FEATURES = 1 << 18
 SAMPLE_DOCS, SAMPLE_SEGMENTS, SEGMENT, LINES_FROM_DOC = 400, 1200, 25, 8
 STEPS, RATE, DECAY = 40, 0.15, 1e-4
 UNKNOWN = "und"
-# Word characters that are no letters: digits and number signs.
-_NUMBERS = "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-_WORD = re.compile(rf"[^\W_{_NUMBERS}]+(?:['’][^\W_{_NUMBERS}]+)*")
+_WORD = regex.compile(r"\p{L}+(?:['’]\p{L}+)*")
 SLICE_CHARS = 1 << 20  # characters labelled together
 
 
