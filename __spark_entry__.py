@@ -197,6 +197,15 @@ def sitemap_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("url", F.greatest(F.coalesce(F.size(sitemaps.page_entries(F.col("body"))), F.lit(0)), F.lit(0)).cast("bigint").alias("pages"))
 
 
+def sitemap_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Large urlset files read entry by entry, in splits; those that break off give nothing."""
+    apply_defaults(spark)
+    path = _scratch(spark, "urlsets")
+    inputs.write_nation_urlsets(spark, sf_dir, path)
+    found = sitemaps.read_large_urlsets(spark, path + "/*/*.txt")
+    return found.select(F.regexp_extract("file", r"nation=(\d+)", 1).cast("bigint").alias("nation"), "loc", "lastmod")
+
+
 def _sitemap_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.sites(spark, sf_dir).select(
         "site", F.concat(F.lit("User-agent: *\r\nSITEMAP: "), "base", F.lit("/sitemap.xml \nSitemap: "), "base", F.lit("/none.xml")).alias("body")
@@ -621,7 +630,7 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES: list[Query] = [
     article_url_counts, url_normalize, url_parts, url_dedup_first, path_filter, same_site, add_scheme, link_extract,
     link_domain_counts, tag_counts, title_h1, visible_words, structured_content, body_fallback, classify_confidence,
-    article_metadata, article_content, article_score, site_seeds, sitemap_entries, sitemap_bodies, sitemap_expand, sitemap_capped, bfs_links,
+    article_metadata, article_content, article_score, site_seeds, sitemap_entries, sitemap_bodies, sitemap_large, sitemap_expand, sitemap_capped, bfs_links,
     bfs_links_depth, feed_links, discover_union, discover_sparse, new_urls, crawl_run, crawl_run_counts, crawl_run_stored,
     urls_appended, crawl_run_resumed, crawl_run_totals, bfs_links_resumed, sitemap_resumed, bfs_links_capped,
     robots_gate, robots_delay, url_safety, fetch_results, final_attempts,

@@ -169,6 +169,19 @@ def sitemap_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("kind").isin(1, 3), "application/x-gzip").when(F.col("kind") == 0, "text/xml").alias("content_type"), content.alias("content"))
 
 
+def write_nation_urlsets(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """One urlset file of all orders for each nation, written in the order of its lines. Every fifth one breaks off."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    owned = orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
+    entry = F.concat(F.lit("<url>\n <loc> https://n.example.com/blog/order-"), "o_orderkey", F.lit("?a=1&amp;b=2 </loc><lastmod>"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("</lastmod></url>"))
+    lines = owned.select(F.col("c_nationkey").alias("nation"), F.col("o_orderkey").alias("seq"), entry.alias("value"))
+    nations = customer.select(F.col("c_nationkey").alias("nation")).distinct()
+    head = nations.select("nation", F.lit(-1).cast("bigint").alias("seq"), F.lit(f'<?xml version="1.0"?><urlset xmlns="{XMLNS}">').alias("value"))
+    tail = nations.where("nation % 5 <> 4").select("nation", F.lit(2**62).alias("seq"), F.lit("<url><loc/></url></urlset>").alias("value"))
+    every = lines.unionByName(head).unionByName(tail)
+    every.repartition("nation").sortWithinPartitions("nation", "seq").select("nation", "value").write.partitionBy("nation").text(path)
+
+
 def index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(url, http_status, content_type, html): the same tree as HTML pages. Each page links
     back to the page above it, to another site, and to a mail address."""

@@ -250,6 +250,9 @@ e AS (SELECT kind, unnest(paths) AS path, generate_subscripts(paths, 1) - 1 AS s
 SELECT site, kind, CAST(seq AS BIGINT) AS seq, 'https://' || site || path AS url FROM s CROSS JOIN e""",
     "sitemap_entries": f"""{_NODES}
 SELECT url, CAST(pages AS BIGINT) AS pages, CAST(children AS BIGINT) AS children FROM nodes""",
+    "sitemap_large": """
+SELECT CAST(c_nationkey AS BIGINT) AS nation, 'https://n.example.com/blog/order-' || o_orderkey || '?a=1&b=2' AS loc, strftime(o_orderdate, '%Y-%m-%d') AS lastmod
+FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 5 <> 4""",
     # A packed file that is not told so is no valid text and has no row.
     "sitemap_bodies": f"""{_NODES}
 SELECT url, CAST(pages AS BIGINT) AS pages FROM nodes WHERE length(url) % 5 NOT IN (2, 4)""",

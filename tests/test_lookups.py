@@ -124,3 +124,25 @@ def test_packed_sitemap_responses(spark):
     got = {r.url: r.body for r in sitemaps.response_bodies(responses).collect()}
     assert got == {u: body.decode() for u in ("a.xml", "b.xml.gz", "c.xml", "d.xml.gz")} | {"i.xml": ""}
     assert sitemaps.response_bodies(responses.limit(0)).count() == 0
+
+
+def test_large_urlsets_in_splits(spark, tmp_path):
+    ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    entry = lambda i: f"<url>\n<loc> https://e.com/{i} </loc><!-- x --><changefreq>daily</changefreq><lastmod>2026-01-0{i % 9 + 1}</lastmod></url>"
+    body = "".join(map(entry, range(3000)))
+    files = {
+        "good": f'<?xml version="1.0"?><urlset {ns}>{body}<url><loc></loc></url></urlset>', "broken": f"<urlset {ns}>{body}", "other": f"<urlset>{body}</urlset>",
+        "index": f"<sitemapindex {ns}><sitemap><loc>x</loc></sitemap></sitemapindex>", "open": f"<urlset {ns}><url><loc>a</loc></urlset>", "text": "no xml < at all", "empty": "",
+    }
+    for name, text in files.items():
+        (tmp_path / f"{name}.xml").write_text(text)
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        found = sitemaps.read_large_urlsets(spark, f"{tmp_path}/good.xml")
+        assert found.rdd.getNumPartitions() > 3
+        rows = [(r.loc, r.lastmod) for r in found.collect()]
+        assert sorted(rows) == sorted((f"https://e.com/{i}", f"2026-01-0{i % 9 + 1}") for i in range(3000))
+        assert {r.file.rsplit("/", 1)[1] for r in sitemaps.read_large_urlsets(spark, str(tmp_path)).collect()} == {"good.xml"}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
