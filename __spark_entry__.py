@@ -297,6 +297,17 @@ def new_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.new_urls(found, stored).select("job_id", "raw_url", "normalized_url", "is_candidate", "status")
 
 
+def new_urls_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as new_urls, with the stored keys in an index that the new rows then join."""
+    apply_defaults(spark)
+    found = inputs.found_urls(spark, sf_dir)
+    index = KeyIndex(_store(spark, "known"), "urls", ["job_id", "normalized_url"], buckets=8)
+    mobile = discovery.new_urls(found.where(F.contains("url", F.lit("://m."))), index=index)
+    index.append("mobile", mobile)
+    index.append("rest", discovery.new_urls(found, index=index))
+    return index.read().select("job_id", "raw_url", "normalized_url", "is_candidate", "status")
+
+
 def robots_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     apply_defaults(spark)
     rules = robots.robots_rules(inputs.robots_files(spark, sf_dir))
@@ -631,7 +642,7 @@ _QUERIES: list[Query] = [
     article_url_counts, url_normalize, url_parts, url_dedup_first, path_filter, same_site, add_scheme, link_extract,
     link_domain_counts, tag_counts, title_h1, visible_words, structured_content, body_fallback, classify_confidence,
     article_metadata, article_content, article_score, site_seeds, sitemap_entries, sitemap_bodies, sitemap_large, sitemap_expand, sitemap_capped, bfs_links,
-    bfs_links_depth, feed_links, discover_union, discover_sparse, new_urls, crawl_run, crawl_run_counts, crawl_run_stored,
+    bfs_links_depth, feed_links, discover_union, discover_sparse, new_urls, new_urls_indexed, crawl_run, crawl_run_counts, crawl_run_stored,
     urls_appended, crawl_run_resumed, crawl_run_totals, bfs_links_resumed, sitemap_resumed, bfs_links_capped,
     robots_gate, robots_delay, url_safety, fetch_results, final_attempts,
     fetch_choice, job_progress, url_states, job_states, fetch_outcomes, results_page, batches, batches_per_job, config_snapshot,

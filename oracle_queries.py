@@ -288,6 +288,11 @@ WITH f AS (SELECT page_id, url, regexp_extract(url, '//[^/]*/([a-z]*)', 1) AS jo
 once AS (SELECT job_id, normalized_url, arg_min(url, page_id) AS raw_url FROM f GROUP BY 1, 2)
 SELECT job_id, raw_url, normalized_url, NOT {_non_article('raw_url')} AS is_candidate, CASE WHEN {_non_article('raw_url')} THEN 'skipped' ELSE 'queued' END AS status
 FROM once WHERE (job_id, normalized_url) NOT IN (SELECT (job_id, normalized_url) FROM f WHERE contains(url, '://m.'))""",
+    "new_urls_indexed": f"""
+WITH f AS (SELECT page_id, url, regexp_extract(url, '//[^/]*/([a-z]*)', 1) AS job_id, {_normalized('url')} AS normalized_url FROM pages),
+once AS (SELECT job_id, normalized_url, arg_min(url, (NOT contains(url, '://m.'), page_id)) AS raw_url FROM f GROUP BY 1, 2)
+SELECT job_id, raw_url, normalized_url, NOT {_non_article('raw_url')} AS is_candidate, CASE WHEN {_non_article('raw_url')} THEN 'skipped' ELSE 'queued' END AS status
+FROM once""",
     "robots_gate": """
 SELECT o_orderkey AS order_key, CASE c_mktsegment
   WHEN 'BUILDING' THEN NOT starts_with(o_orderkey::VARCHAR, '1')
