@@ -82,7 +82,7 @@ def class_key(words: list[bytes]) -> bytes:
 
 
 def sketch(items: np.ndarray) -> np.ndarray:
-    """125 coordinates of 32 bits; all filled unless the set is empty."""
+    """The coordinates, 32 bits each; all filled unless the set is empty."""
     t, n = COORDINATES, len(items)
     best = np.full(t, _FULL)
     if not n:
