@@ -201,6 +201,14 @@ def test_toxicity_learns_from_the_calibrating_fold_too(spark):
     assert toxicity.score_toxicity(docs, labels).where("doc_id = -1").first().passage > 0
 
 
+def test_filter_of_labelled_documents(spark):
+    docs = spark.range(20_000).withColumnRenamed("id", "doc_id").withColumn("text", F.lit("t")).union(spark.createDataFrame([(None, "n")], "doc_id long, text string"))
+    known = docs.where("doc_id % 7 = 3").select("doc_id")
+    got = {r.doc_id for r in toxicity.may_be_in(docs, known).collect()}
+    assert set(range(3, 20_000, 7)) <= got and len(got) < 3100
+    assert toxicity.may_be_in(docs, known.limit(0)).count() == 0
+
+
 def test_texts_are_taken_together_by_length():
     assert [(s.start, s.stop) for s in toxicity.slices([5, 1 << 20, 3, 4, 2 << 20])] == [(0, 1), (1, 2), (2, 4), (4, 5)]
     assert list(toxicity.slices([])) == []
