@@ -340,7 +340,7 @@ def ip_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     narrow = F.concat(v4, F.lit("/"), 17 + key % 8)
     v6 = F.concat(F.lower(F.hex(octet(key) * 256)), F.lit("::/"), 16 + cust % 100)
     network = F.when(key % 3 == 0, wide).when(key % 3 == 1, narrow).otherwise(v6)
-    return table(spark, sf_dir, "orders").select(network.alias("network"), F.concat(F.lit("k"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("kind"))
+    return dealt(table(spark, sf_dir, "orders")).select(network.alias("network"), F.concat(F.lit("k"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("kind"))
 
 
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:

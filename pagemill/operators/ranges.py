@@ -10,41 +10,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import let
 from pagemill.operators.joins import lookup
 from pagemill.operators.safety import ip_hex, url_host
+from pagemill.session import cut_lineage
+
+BLOCKS = 500_000  # blocks up to which addresses meet them where they lie, which is counted; with more, the same join is shuffled
 
 
 def ip_bits(ip: Column) -> Column:
     """The bits of an address literal; NULL for anything else."""
-    digits = F.split(ip_hex(ip), "(?!$)")
-    return F.array_join(F.transform(digits, lambda d: F.lpad(F.conv(d, 16, 2), 4, "0")), "")
+    word = lambda h, i: F.lpad(F.conv(F.substring(h, i * 8 + 1, F.lit(8)), 16, 2), 32, "0")
+    return let(ip_hex(ip), lambda h: F.array_join(F.transform(F.sequence(F.lit(0), F.when(F.length(h) == 8, 0).otherwise(3)), lambda i: word(h, i)), ""))
 
 
 def network_ends(network: Column) -> tuple[Column, Column]:
     """Bits of the first and the last address of ``address/length``; a lone address is its own network."""
-    parts = F.split(network, "/")
-    bits = ip_bits(F.get(parts, 0))
-    length = F.coalesce(F.get(parts, 1).try_cast("int"), F.length(bits))
-    fits = length.between(0, F.length(bits)) & (F.size(parts) <= 2)
-    begin = F.substring(bits, F.lit(1), length)
-    return tuple(F.when(fits, F.rpad(begin, F.length(bits), c)) for c in "01")
+    def ends(net: Column, fill: str) -> Column:
+        fits = net["length"].between(0, F.length(net["bits"])) & (net["parts"] <= 2)
+        return F.when(fits, F.rpad(F.substring(net["bits"], F.lit(1), net["length"]), F.length(net["bits"]), fill))
+
+    def read(parts: Column) -> Column:
+        return let(ip_bits(F.get(parts, 0)), lambda bits: F.struct(
+            bits.alias("bits"), F.coalesce(F.get(parts, 1).try_cast("int"), F.length(bits)).alias("length"), F.size(parts).alias("parts")))
+
+    filled = lambda fill: let(let(F.split(network, "/"), read), lambda net: ends(net, fill))
+    return filled("0"), filled("1")
 
 
 def covering_prefixes(lo: Column, hi: Column) -> Column:
     """array<string>: the fewest prefixes whose blocks are the range from ``lo`` to ``hi`` (bits of one length); NULL where ``lo > hi``."""
-    size = F.length(lo)
-    # Bits that both ends share; then lo goes on with 0 and hi with 1.
-    shared = F.length(F.regexp_extract(F.concat(lo, F.lit("|"), hi), r"^([01]*)[01]*\|\1", 1))
-    inner = lambda x, fill: F.greatest(shared + 1, F.length(F.rtrim(x, F.lit(fill))))
-    low, high = F.substring(lo, F.lit(1), inner(lo, "0")), F.substring(hi, F.lit(1), inner(hi, "1"))
+    # Bits that both ends share, by halves; then lo goes on with 0 and hi with 1.
+    longer = lambda n, step: F.when((n + step <= F.length(lo)) & F.startswith(hi, F.substring(lo, F.lit(1), n + step)), n + step).otherwise(n)
+    shared_bits = F.aggregate(F.expr("array(64, 32, 16, 8, 4, 2, 1, 1)"), F.lit(0), longer)
+
     # Right of lo: wherever it has a 0 below the shared part, the block with a 1 there. Left of hi the other way round.
-    def beside(x: Column, has: str, other: str) -> Column:
+    def beside(x: Column, shared: Column, has: str, other: str) -> Column:
         places = F.filter(F.sequence(shared + 2, F.greatest(F.length(x), shared + 2)), lambda i: (i <= F.length(x)) & (F.substring(x, i, F.lit(1)) == has))
         return F.transform(places, lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.lit(other)))
 
-    blocks = F.concat(F.array(low), beside(low, "0", "1"), F.array(high), beside(high, "1", "0"))
-    whole = (F.substring(lo, shared + 1, size) == F.repeat(F.lit("0"), size - shared)) & (F.substring(hi, shared + 1, size) == F.repeat(F.lit("1"), size - shared))
-    return F.when((lo <= hi) & (F.length(lo) == F.length(hi)), F.when(whole, F.array(F.substring(lo, F.lit(1), shared))).otherwise(blocks))
+    def blocks(shared: Column) -> Column:
+        inner = lambda x, fill: F.substring(x, F.lit(1), F.greatest(shared + 1, F.length(F.rtrim(x, F.lit(fill)))))
+        rest = F.length(lo) - shared
+        whole = F.endswith(lo, F.repeat(F.lit("0"), rest)) & F.endswith(hi, F.repeat(F.lit("1"), rest))
+        both = let(F.struct(inner(lo, "0").alias("low"), inner(hi, "1").alias("high")), lambda x: F.concat(
+            F.array(x["low"]), beside(x["low"], shared, "0", "1"), F.array(x["high"]), beside(x["high"], shared, "1", "0")))
+        return F.when(whole, F.array(F.substring(lo, F.lit(1), shared))).otherwise(both)
+
+    return F.when((lo <= hi) & (F.length(lo) == F.length(hi)), let(shared_bits, blocks))
 
 
 def range_blocks(ranges: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
@@ -59,17 +72,23 @@ def innermost_range(addresses: DataFrame, ranges: DataFrame, ip: str = "ip", val
     ``ranges``: lo, hi (bits, as ``ip_bits`` gives them) and ``value``. Of ranges that cross, the one that begins last counts, then the one
     that ends first, then the smallest value. Each address is looked up once, however many rows have it.
     """
-    blocks = range_blocks(ranges.select("lo", "hi", value))
-    lengths = {r["_bits"]: sorted(r["lengths"]) for r in blocks.groupBy("_bits").agg(F.collect_set(F.length("_prefix")).alias("lengths")).collect()}
-    asked = addresses.select(F.col(ip).alias("_ip")).distinct().withColumn("_bits_of", ip_bits(F.col("_ip"))).where("_bits_of IS NOT NULL")
-    prefixes = F.array().cast("array<string>")
-    for bits, some in lengths.items():
-        prefixes = F.when(F.length("_bits_of") == bits, F.transform(F.array(*[F.lit(n) for n in some]), lambda n: F.substring(F.col("_bits_of"), F.lit(1), n))).otherwise(prefixes)
-    keyed = asked.select("_ip", F.length("_bits_of").alias("_bits"), F.explode(prefixes).alias("_prefix"))
-    met = keyed.join(blocks, ["_bits", "_prefix"])
-    # The innermost range begins last: turn the bits of its begin, so that the smallest comes first.
+    # Of equal ranges the smallest value counts, and of all ranges that share a block the innermost, so an address meets one row for each length
+    # at most, however many ranges nest or come twice. The innermost range begins last: turn the bits of its begin, so that the smallest comes first.
+    once = ranges.groupBy("lo", "hi").agg(F.min(F.struct(value)).alias("_v")).select("lo", "hi", F.col(f"_v.{value}").alias(value))
     first = F.min(F.struct(F.translate("lo", "01", "10").alias("from"), "hi", value))
-    best = met.groupBy("_ip").agg(first.alias("_best")).select("_ip", F.col(f"_best.{value}").alias(value))
+    blocks = cut_lineage(range_blocks(once).groupBy("_bits", "_prefix").agg(first.alias("_first")))
+    found = blocks.groupBy("_bits").agg(F.collect_set(F.length("_prefix")).alias("lengths"), F.count(F.lit(1)).alias("n")).collect()
+    lengths = {r["_bits"]: sorted(r["lengths"]) for r in found}
+    def prefixes(own: Column) -> Column:
+        found = F.array().cast("array<string>")
+        for bits, some in lengths.items():
+            found = F.when(F.length(own) == bits, F.transform(F.array(*[F.lit(n) for n in some]), lambda n: F.substring(own, F.lit(1), n))).otherwise(found)
+        return F.transform(found, lambda p: F.struct(F.length(own).alias("_bits"), p.alias("_prefix")))
+
+    asked = addresses.select(F.col(ip).alias("_ip")).distinct()
+    keyed = asked.select("_ip", F.explode(let(ip_bits(F.col("_ip")), prefixes)).alias("_p")).select("_ip", "_p._bits", "_p._prefix")
+    met = keyed.join(F.broadcast(blocks) if sum(r["n"] for r in found) <= BLOCKS else blocks, ["_bits", "_prefix"])
+    best = met.groupBy("_ip").agg(F.min("_first").alias("_best")).select("_ip", F.col(f"_best.{value}").alias(value))
     return addresses.join(best, F.col(ip) == F.col("_ip"), "left").drop("_ip")
 
 

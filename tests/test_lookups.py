@@ -3,6 +3,7 @@
 import gzip
 import ipaddress
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -146,3 +147,31 @@ def test_large_urlsets_in_splits(spark, tmp_path):
         assert {r.file.rsplit("/", 1)[1] for r in sitemaps.read_large_urlsets(spark, str(tmp_path)).collect()} == {"good.xml"}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+
+
+def test_an_address_meets_equal_and_nested_ranges_once(spark):
+    ends = [("9.0.0.0", "9.255.255.255", f"w{i:04}") for i in range(2000)] + [("9.1.0.0", "9.1.255.255", f"n{i:04}") for i in range(2000)]
+    rows = spark.createDataFrame([(bits(a), bits(b), k) for a, b, k in ends], "lo string, hi string, kind string")
+    found = ranges.innermost_range(spark.createDataFrame([("9.1.2.3",), ("9.2.2.3",)], "ip string"), rows)
+    assert {r.ip: r.kind for r in found.collect()} == {"9.1.2.3": "n0000", "9.2.2.3": "w0000"}
+    plan = found._jdf.queryExecution().executedPlan()
+    joins = [n for n in re.findall(r"(\w*Join)", plan.toString())]
+    assert joins and _rows_of_joins(plan) <= 4
+
+
+def _rows_of_joins(plan) -> int:
+    """Most rows that an inner join of an executed plan gave."""
+    most, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in name:
+            todo.append(node.plan())
+            continue
+        if "Join" in name and "Inner" in node.simpleString(1000) and node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return most
