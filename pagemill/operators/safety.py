@@ -76,34 +76,44 @@ def ip_hex(ip: Column) -> Column:
     return F.when(F.rlike(ip, F.lit(_V4_RE)), _v4_hex(ip)).otherwise(_v6_hex(ip))
 
 
+def _unsafe_hex(h: Column) -> Column:
+    # An IPv4 address written inside IPv6 is judged as IPv4 for its scope.
+    inside = lambda nets: F.exists(_ranges(nets), lambda r: (F.length(r["lo"]) == F.length(h)) & h.between(r["lo"], r["hi"]))
+    return F.when(h.isNotNull(), inside(BLOCKED_NETWORKS) & ~inside(GLOBAL_EXCEPTIONS))
+
+
 def is_unsafe_ip(ip: Column) -> Column:
     """True for an address inside a blocked block; NULL when the text is no address."""
-    def test(h: Column) -> Column:
-        # An IPv4 address written inside IPv6 is judged as IPv4 for its scope.
-        inside = lambda nets: F.exists(_ranges(nets), lambda r: (F.length(r["lo"]) == F.length(h)) & h.between(r["lo"], r["hi"]))
-        return F.when(h.isNotNull(), inside(BLOCKED_NETWORKS) & ~inside(GLOBAL_EXCEPTIONS))
-
-    return let(ip_hex(ip), test)
+    return let(ip_hex(ip), _unsafe_hex)
 
 
 def url_host(url: Column) -> Column:
     """Lower-case host name of a URL without user, port or brackets."""
-    netloc = F.regexp_replace(url_netloc(url), "^.*@", "")
-    bracketed = F.regexp_extract(netloc, r"^\[([^\]]*)\]", 1)
-    return F.lower(F.when(F.startswith(netloc, F.lit("[")), bracketed).otherwise(F.substring_index(netloc, ":", 1)))
+    def host(netloc: Column) -> Column:
+        bracketed = F.regexp_extract(netloc, r"^\[([^\]]*)\]", 1)
+        return F.lower(F.when(F.startswith(netloc, F.lit("[")), bracketed).otherwise(F.substring_index(netloc, ":", 1)))
 
+    return let(F.regexp_replace(url_netloc(url), "^.*@", ""), host)
 
-def url_reject_reason(url: Column) -> Column:
-    """Reason known from the URL alone; NULL when the host has to be looked up or is fine."""
+
+def _told_by_url(url: Column) -> Column:
+    """struct<host, literal, own>: the host, whether it is an address, and the reason known from the URL alone; each is found once."""
     def reason(u: Column) -> Column:
         return (
             F.when(~u["scheme"].isin("http", "https"), F.concat(F.lit("Unsupported scheme: "), u["scheme"]))
             .when(u["host"] == "", "URL has no hostname")
             .when(any_of(u["host"], BLOCKED_HOSTS), F.concat(F.lit("Blocked host: "), u["host"]))
-            .when(is_unsafe_ip(u["host"]), F.concat(F.lit("Blocked internal/private IP: "), u["host"]))
+            .when(_unsafe_hex(u["hex"]), F.concat(F.lit("Blocked internal/private IP: "), u["host"]))
         )
 
-    return let(F.struct(url_scheme(url).alias("scheme"), url_host(url).alias("host")), reason)
+    parts = F.struct(url_scheme(url).alias("scheme"), url_host(url).alias("host"))
+    read = let(parts, lambda p: F.struct(p["scheme"].alias("scheme"), p["host"].alias("host"), ip_hex(p["host"]).alias("hex")))
+    return let(read, lambda u: F.struct(u["host"].alias("host"), u["hex"].isNotNull().alias("literal"), reason(u).alias("own")))
+
+
+def url_reject_reason(url: Column) -> Column:
+    """Reason known from the URL alone; NULL when the host has to be looked up or is fine."""
+    return _told_by_url(url)["own"]
 
 
 def with_reject_reason(urls: DataFrame, dns: DataFrame, url: str = "url") -> DataFrame:
@@ -114,10 +124,11 @@ def with_reject_reason(urls: DataFrame, dns: DataFrame, url: str = "url") -> Dat
     hosts = dns.groupBy(F.lower("host").alias("_host")).agg(
         F.min(F.when(F.coalesce(is_unsafe_ip(F.col("ip")), F.lit(True)), F.col("ip"))).alias("_bad"), F.lit(True).alias("_known")
     )
-    own, host = url_reject_reason(F.col(url)), url_host(F.col(url))
-    # Rejected URLs and address literals have no host to look up: their NULL key meets no row.
-    told = urls.withColumn("_own", own).withColumn("_literal", ip_hex(host).isNotNull())
-    asked = told.withColumn("_host", F.when(F.col("_own").isNull() & ~F.col("_literal"), host))
+    # Rejected URLs and address literals have no host to look up: their NULL key meets no row. A row is told once: exploded, so that
+    # its parts are not put in place of the columns that are made of them.
+    told = urls.select("*", F.explode(F.array(_told_by_url(F.col(url)))).alias("_told")).select(
+        *urls.columns, F.col("_told.own").alias("_own"), F.col("_told.literal").alias("_literal"), F.col("_told.host").alias("_all_hosts"))
+    asked = told.withColumn("_host", F.when(F.col("_own").isNull() & ~F.col("_literal"), F.col("_all_hosts"))).drop("_all_hosts")
     joined = lookup(asked, hosts, "_host")
     return joined.withColumn(
         "reject_reason",

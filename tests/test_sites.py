@@ -289,3 +289,14 @@ def test_links_of_a_page_read_it_once(spark):
     assert got == [(0, "x#t", "https://e.com/d/x#t"), (1, "", "https://e.com/d/f?q"), (2, "y?b=1&c", "https://e.com/d/y?b=1&c"), (3, "/..//z", "https://e.com//z")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == 1
+
+
+def test_a_url_is_taken_apart_once_for_its_verdict(spark):
+    urls = spark.createDataFrame([("https://1.2.3.4/",), ("http://10.0.0.1:8/",), ("http://u@A.org/",), ("https://[::1]/",), ("https://b.org",), (None,), ("ftp://x",)], "url string")
+    dns = spark.createDataFrame([("a.org", "10.0.0.1"), ("B.org", "8.8.8.8")], "host string, ip string")
+    checked = safety.with_reject_reason(urls, dns)
+    assert {r.url: r.reject_reason for r in checked.collect()} == {
+        "https://1.2.3.4/": None, "http://10.0.0.1:8/": "Blocked internal/private IP: 10.0.0.1", "http://u@A.org/": "Blocked internal/private IP: 10.0.0.1",
+        "https://[::1]/": "Blocked host: ::1", "https://b.org": None, None: None, "ftp://x": "Unsupported scheme: ftp"}
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(URL_RE + ", 3") <= 1
