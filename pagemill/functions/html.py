@@ -26,6 +26,8 @@ TOKEN_RE = (
     r"((?:[^<]++|<(?![a-z/!?]))*+)"
 )
 
+_NAME_RE = r"(?i)^<(/?[a-z][^\s/>]*+)"
+
 # Elements without content.
 VOID_TAGS = [
     "area", "base", "basefont", "br", "col", "embed", "frame", "hr", "img", "input", "isindex",
@@ -138,12 +140,13 @@ def tokenize(html: Column) -> Column:
             strip(decode_entities(text)).alias("text"),
         )
 
+    # Two passes over the page: a token's name begins its mark, and what follows the mark is its text.
     part = lambda i: F.regexp_extract_all(page, F.lit(TOKEN_RE), F.lit(i))
-    joined = F.struct(part(2).alias("names"), part(3).alias("texts"))
-    return let(
-        joined,
-        lambda p: F.transform(part(1), lambda m, i: token(m, F.get(p["names"], i), F.get(p["texts"], i))),
-    )
+
+    def split(mark: Column, whole: Column) -> Column:
+        return token(mark, F.regexp_extract(mark, _NAME_RE, 1), F.substring(whole, F.length(mark) + 1, F.length(whole)))
+
+    return let(part(0), lambda wholes: F.transform(part(1), lambda m, i: split(m, F.get(wholes, i))))
 
 
 def _tag_facts() -> Column:
