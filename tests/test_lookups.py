@@ -159,6 +159,11 @@ def test_an_address_meets_equal_and_nested_ranges_once(spark):
     assert joins and _rows_of_joins(plan) <= 4
 
 
+def test_more_blocks_than_the_bound_are_joined_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "BLOCKS", 0)
+    test_innermost_range_against_every_range(spark)
+
+
 def _rows_of_joins(plan) -> int:
     """Most rows that an inner join of an executed plan gave."""
     most, todo = 0, [plan]
