@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterator
 from datetime import datetime
+from itertools import groupby
+from operator import itemgetter
+from urllib.parse import urlparse
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import get_domain
 from pagemill.operators.joins import lookup
 from pagemill.operators.ordering import number_rows
+from pagemill.session import cut_lineage
 
 # Columns and labels of the article export and of the failure export.
 EXPORT_COLUMNS = {
@@ -119,9 +129,65 @@ def write_job_failures(failures: DataFrame, folder: str) -> None:
     _write_folders(rows, ["export", "timestamp", "url"], FAILURE_COLUMNS, folder)
 
 
+def _file_system(folder: str) -> tuple[fs.FileSystem, str]:
+    if folder.startswith("file:") or ":" not in folder:
+        return fs.LocalFileSystem(), urlparse(folder).path if folder.startswith("file:") else folder
+    return fs.FileSystem.from_uri(folder)
+
+
 def _write_folders(rows: DataFrame, order: list[str], labels: dict[str, str], folder: str) -> None:
+    """Write ``rows`` by ``order``, which begins with ``export``, and put them in place of the folders ``export=<name>`` they are of.
+
+    There is a small file for each job, so tasks make the files, and tasks put them in place: Hadoop's local file system starts a process or
+    more for each file it makes, and Spark's commit moves one folder after the other in the driver. Rows become lines in Spark. The files of a task's
+    attempt lie in a staging folder; only those of attempts that counted are put in place, after all are written. Doing that again does no harm.
+    """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    named = sorted_rows.select("export", *[F.col(c).alias(label) for c, label in labels.items()])
-    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("export").csv(
-        folder, header=True, escape='"', emptyValue="", encoding="UTF-8", lineSep="\n")
+    system, root = _file_system(folder.rstrip("/"))
+    run, special = uuid.uuid4().hex, re.compile(r"[\x01-\x1f\"#%'*/:=?\\\x7f{\[\]^]")
+    staging, header = f"{root}/.staging-{run}", (",".join(labels.values()) + "\n").encode()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, part = f"{staging}/{uuid.uuid4().hex}", f"part-{TaskContext.get().partitionId():05d}-{run}.csv"
+        system.create_dir(place, recursive=True)
+        name, out, made = None, None, 0
+        for batch in batches:
+            closed = []
+            # Names as Spark and Hive write them into paths.
+            names = ["export=" + (special.sub(lambda c: f"%{ord(c[0]):02X}", x) if x else "__HIVE_DEFAULT_PARTITION__") for x in batch.column(0).to_pylist()]
+            for here, lines in groupby(zip(names, batch.column(1).to_pylist(), strict=True), itemgetter(0)):
+                if here != name:
+                    if out is not None:
+                        out.close()
+                        closed.append((name, f"{place}/{made}", part))
+                    name, made = here, made + 1
+                    out = system.open_output_stream(f"{place}/{made}")
+                    out.write(header)
+                out.write("".join(line + "\n" for _, line in lines).encode())
+            yield pa.RecordBatch.from_pylist([{"name": a, "file": b, "part": c} for a, b, c in closed], files)
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_pylist([{"name": name, "file": f"{place}/{made}", "part": part}], files)
+
+    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                target, parts = f"{root}/{row['name']}", {f["part"] for f in row["files"]}
+                system.create_dir(target, recursive=True)
+                for old in system.get_file_info(fs.FileSelector(target)):
+                    if old.base_name not in parts:
+                        system.delete_dir(old.path) if old.type == fs.FileType.Directory else system.delete_file(old.path)
+                for f in row["files"]:
+                    if system.get_file_info(f["file"]).type != fs.FileType.NotFound:  # else an attempt before this one moved it
+                        system.move(f["file"], f"{target}/{f['part']}")
+            yield batch.select(["name"])
+
+    files = pa.schema([("name", pa.string()), ("file", pa.string()), ("part", pa.string())])
+    line = F.to_csv(F.struct(*[F.col(c).alias(label) for c, label in labels.items()]), {"escape": '"', "emptyValue": "", "lineSep": "\n"})
+    lines = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("export", line.alias("line"))
+    system.create_dir(root, recursive=True)
+    written = cut_lineage(lines.mapInArrow(write, "name string, file string, part string"))
+    of_jobs = written.repartition(n, "name").groupBy("name").agg(F.collect_list(F.struct("file", "part")).alias("files"))
+    of_jobs.mapInArrow(replace, "name string").write.format("noop").mode("overwrite").save()
+    if system.get_file_info(staging).type != fs.FileType.NotFound:
+        system.delete_dir(staging)

@@ -105,6 +105,28 @@ def test_exports_of_other_jobs_stay(spark, tmp_path):
         ("j1_failed_urls", "u2", "e\nf", "2026-01-01T00:00:01"), ("j2_failed_urls", "u3", 'say "x", y', "2026-01-01T00:00:00.500000")]
 
 
+def test_job_folders_hold_what_spark_writes_and_are_put_in_place_by_tasks(spark, tmp_path):
+    odd = ["", None, " a ", 'say "x", y', "line\nbreak", "cr\r\nlf", "back\\slash", "#", "\u00fc\u2028", ","]
+    jobs = ["j1", "a/b=c:d", "50% [x] {y}^", "", None, "\u00e9 \u00e8"]
+    rows = [(j, u, e, 500 if i else None) for j in jobs for i, (u, e) in enumerate(zip(odd, odd[::-1]))]
+    table = spark.createDataFrame(rows, "export string, url string, error string, http_status int")
+    labels = {"url": "URL", "error": "Error", "http_status": "HTTP Status"}
+    named = table.repartitionByRange(1, "export", "url").sortWithinPartitions("export", "url").select("export", *[F.col(c).alias(label) for c, label in labels.items()])
+    named.write.partitionBy("export").csv(str(tmp_path / "spark"), header=True, escape='"', emptyValue="", encoding="UTF-8", lineSep="\n")
+    calls = []
+    kind, original = type(table), type(table).mapInArrow
+    kind.mapInArrow = lambda self, run, *more, **options: calls.append(run.__name__) or original(self, run, *more, **options)
+    try:
+        for _ in range(2):
+            export._write_folders(table, ["export", "url"], labels, str(tmp_path / "tasks"))
+    finally:
+        kind.mapInArrow = original
+    content = lambda folder: {p.name: "".join(sorted(x.read_text(encoding="utf-8", newline="").removeprefix("URL,Error,HTTP Status\n") for x in p.glob("part-*"))) for p in folder.glob("export=*")}
+    lines = lambda folder: {k: sorted(v.split("\n")) for k, v in content(folder).items()}
+    assert lines(tmp_path / "tasks") == lines(tmp_path / "spark") and len(content(tmp_path / "tasks")) == 5
+    assert calls == ["write", "replace"] * 2 and not list((tmp_path / "tasks").glob(".*"))
+
+
 def test_stored_pages_equal_offset_pages(spark, tmp_path):
     rows = spark.createDataFrame([(i * 37 % 101, f"v{i}") for i in range(101)], "k int, v string").repartition(4)
     path = str(tmp_path / "p")
