@@ -240,6 +240,14 @@ def test_encoder_gives_the_ids_of_the_whole_text(name):
             assert list(memoryview(ids).cast("I")) == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_encoder_cache_stays_bounded_within_one_text():
+    spec = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    encoder, text = Encoder(spec, cache_size=10), " ".join(f"word{i},x{i}" for i in range(200))
+    (ids,) = encoder.encode([text])
+    assert list(memoryview(ids).cast("I")) == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(encoder.pieces) <= 10 and len(encoder.pieces.old) <= 10
+
+
 def test_encoder_cuts_long_texts(monkeypatch):
     from pagemill.llm import tokens
 
