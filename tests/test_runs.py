@@ -1,8 +1,11 @@
 import pytest
+from pyspark.sql import functions as F
 
+from pagemill.operators import ordering
 from pagemill.operators.robots import robots_rules
 from pagemill.plans import batch_run
 from pagemill.plans.commits import KeyIndex, Store
+from pagemill.session import cut_lineage
 from pagemill.streaming import incremental
 
 WORDS = "words of a river story told in the evening " * 8
@@ -130,3 +133,30 @@ def test_stream_of_attempts(spark, tmp_path):
         incremental.run_new_attempts(stream, urls, rules, store, str(tmp_path / "c")).awaitTermination()
     assert sorted(r.raw_url[-1] for r in store.read("articles").collect()) == ["a", "d"]
     assert sorted((r.raw_url[-1], r.status) for r in store.read("states").collect()) == [("a", "success"), ("c", "permanently_failed"), ("d", "partial")]
+
+
+def test_numbering_and_index_of_few_rows_use_few_partitions(spark, tmp_path, monkeypatch):
+    """Small steps of a walk are merged whatever the number of shuffle partitions; a key is told apart before it is dealt."""
+    placed = []
+    monkeypatch.setattr(ordering, "cut_lineage", lambda df: placed.append(cut_lineage(df)) or placed[-1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        rows = spark.createDataFrame([("a" if i % 3 else None, f"u{i % 7}", i) for i in range(40)], "site string, url string, ord long")
+        index = KeyIndex(Store(spark, str(tmp_path / "few")), "seen", ["site", "url"], buckets=4)
+        index.add("one", spark.createDataFrame([(None, "u0"), ("a", "u1")], "site string, url string"))
+        first = index.first_unseen(rows, [F.col("ord")])
+        got = sorted(((r.site, r.url, r.ord, r.n) for r in ordering.number_rows(first, ["ord"], "n", ["site"]).collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = {}
+    for i in range(40):
+        key = ("a" if i % 3 else None, f"u{i % 7}")
+        if key not in ((None, "u0"), ("a", "u1")):
+            want.setdefault(key, i)
+    n, numbered = {}, []
+    for (site, url), i in sorted(want.items(), key=lambda x: x[1]):
+        n[site] = n.get(site, 0) + 1
+        numbered.append((site, url, i, n[site]))
+    assert got == sorted(numbered, key=repr)
+    assert placed[0].rdd.getNumPartitions() < 60
