@@ -83,9 +83,10 @@ _STRENGTH = {"div": 150, "td": 160, "th": 160, "tr": 170, **{t: 180 for t in _RO
 NOISE, MUTED, SHELL, WRAPS, CONTENT, AUTHOR, VOID = 1, 2, 4, 8, 16, 32, 64
 _INHERITED = NOISE | MUTED | SHELL | WRAPS
 
-_ELEMENT = "struct<open:int,close:int,n:int,kids:int,up:int,tag:string,own:int,inside:int>"
-_ENTRY = "struct<i:int,d:int,n:int,up:int,tag:string,strength:int,own:int,inside:int>"
-_CHUNK = 64
+# While elements are matched, tags are numbers: a fold copies what it carries at every step, and texts are the dear part.
+_MATCHED = "struct<open:int,close:int,n:int,kids:int,up:int,own:int,inside:int>"
+_ENTRY = "struct<i:int,n:int,up:int,id:int,bit:bigint,strength:int,own:int,inside:int>"
+_OTHER = 1000  # numbers from here on are tags without a place in the tables above
 
 
 @dataclass
@@ -119,7 +120,7 @@ def attribute(mark: Column, name: str) -> Column:
             F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value), in_attribute=True
         )
 
-    present = F.rlike(mark, F.lit("(?i)" + name))
+    present = F.contains(mark, F.lit("=")) & F.rlike(mark, F.lit("(?i)" + name))
     return F.when(present, let(F.regexp_extract(mark, walk, 1), unquote)).otherwise("")
 
 
@@ -137,30 +138,32 @@ def tokenize(html: Column) -> Column:
             mark.alias("mark"),
             F.ltrim(F.lower(name), F.lit("/")).alias("tag"),
             F.startswith(name, F.lit("/")).alias("closing"),
-            strip(decode_entities(text)).alias("text"),
+            F.when(text == "", text).otherwise(strip(decode_entities(text))).alias("text"),
         )
 
     # Two passes over the page: a token's name begins its mark, and what follows the mark is its text.
     part = lambda i: F.regexp_extract_all(page, F.lit(TOKEN_RE), F.lit(i))
 
     def split(mark: Column, whole: Column) -> Column:
-        return token(mark, F.regexp_extract(mark, _NAME_RE, 1), F.substring(whole, F.length(mark) + 1, F.length(whole)))
+        name, text = F.regexp_extract(mark, _NAME_RE, 1), F.substring(whole, F.length(mark) + 1, F.length(whole))
+        return let(F.struct(name.alias("name"), text.alias("text")), lambda p: token(mark, p["name"], p["text"]))
 
     return let(part(0), lambda wholes: F.transform(part(1), lambda m, i: split(m, F.get(wholes, i))))
 
 
 def _tag_facts() -> Column:
-    """Literal map: tag -> bits, strength and the open elements its start tag ends."""
+    """Literal map: tag -> number, bit, strength and bits, and as one mask the bits of the open elements its start tag ends."""
     facts = []
-    for tag in dict.fromkeys([*BLOCK_TAGS, *VOID_TAGS, "script", "style"]):
+    tags = list(dict.fromkeys([*BLOCK_TAGS, *VOID_TAGS, "script", "style"]))
+    bit_of = {tag: 1 << i for i, tag in enumerate(BLOCK_TAGS)}  # fewer than 64; no other tag is ended by a start tag
+    for i, tag in enumerate(tags):
         bits = (
             NOISE * (tag in NOISE_TAGS) | MUTED * (tag in MUTED_TAGS) | SHELL * (tag in SHELL_TAGS)
             | WRAPS * (tag in WRAPPING_BLOCKS) | VOID * (tag in VOID_TAGS or tag in ("script", "style"))
         )
-        ends = (["p"] if tag in _ENDS_PARAGRAPH else []) + ALSO_ENDED_BY.get(tag, [])
-        listed = ", ".join(f"'{t}'" for t in ends)
-        facts.append(f"'{tag}', named_struct('bits', {bits}, 'strength', {_STRENGTH.get(tag, 100)}, "
-                     f"'ends', cast(array({listed}) AS array<string>))")
+        ends = sum(bit_of[t] for t in {*(["p"] if tag in _ENDS_PARAGRAPH else []), *ALSO_ENDED_BY.get(tag, [])})
+        facts.append(f"'{tag}', named_struct('id', {i}, 'bit', {bit_of.get(tag, 0)}L, 'bits', {bits}, "
+                     f"'strength', {_STRENGTH.get(tag, 100)}, 'ends', {ends}L)")
     return F.expr(f"map({', '.join(facts)})")
 
 
@@ -194,7 +197,8 @@ def _class_bits(mark: Column) -> Column:
             bit(F.rlike(c, F.lit(NOISE_ID_RE)), NOISE).bitwiseOR(bit(F.rlike(c, F.lit(CONTENT_ID_RE)), CONTENT))
         ),
     )
-    return F.when(F.rlike(mark, F.lit(r"(?i)(?:class|id)\s*=")), by_class.bitwiseOR(by_id)).otherwise(0)
+    named = F.contains(mark, F.lit("=")) & F.rlike(mark, F.lit(r"(?i)(?:class|id)\s*="))
+    return F.when(named, by_class.bitwiseOR(by_id)).otherwise(0)
 
 
 def _structure_marks(tokens: Column) -> Column:
@@ -213,9 +217,10 @@ def _structure_marks(tokens: Column) -> Column:
                 usable,
                 F.struct(
                     i.cast("int").alias("i"), tok["tag"].alias("tag"), opening.alias("opening"),
+                    F.coalesce(f["id"], F.lit(_OTHER)).alias("id"), F.coalesce(f["bit"], F.lit(0).cast("bigint")).alias("bit"),
                     F.when(opening, own.bitwiseOR(_class_bits(tok["mark"]))).otherwise(0).alias("own"),
                     F.coalesce(f["strength"], F.lit(100)).alias("strength"),
-                    F.coalesce(f["ends"], F.array().cast("array<string>")).alias("ends"),
+                    F.coalesce(f["ends"], F.lit(0).cast("bigint")).alias("ends"),
                     f.isNotNull().alias("block"),
                 ),
             )
@@ -226,16 +231,21 @@ def _structure_marks(tokens: Column) -> Column:
         special = F.array_distinct(
             F.transform(F.filter(marks, lambda m: ~m["block"] & (m["own"] != 0)), lambda m: m["tag"])
         )
-        return let(special, lambda s: F.filter(marks, lambda m: m["block"] | F.array_contains(s, m["tag"])))
+        blocks = lambda s: F.filter(marks, lambda m: m["block"] | F.array_contains(s, m["tag"]))
+        numbered = lambda s: F.transform(
+            blocks(s),
+            lambda m: m.withField("id", F.when(m["block"], m["id"]).otherwise((F.array_position(s, m["tag"]) + _OTHER).cast("int"))),
+        )
+        return let(special, lambda s: F.when(F.size(s) == 0, F.filter(marks, lambda m: m["block"])).otherwise(numbered(s)))
 
     return let(F.filter(F.transform(tokens, facts), lambda m: m.isNotNull()), keep)
 
 
-def build_elements(marks: Column, token_count: Column) -> Column:
+def build_elements(marks: Column, tokens: Column) -> Column:
     """Match start and end tags with a stack; array of elements in document order.
 
-    Finished elements are appended to a short buffer that is moved to the result 64 at a
-    time, which keeps the fold close to linear in the number of tags.
+    A fold copies what it carries at every step, so the marks are taken in pieces of about the square root of their number:
+    within a piece the fold carries the elements that end there, and those of the pieces before are copied once a piece.
     """
 
     def closed(entries: Column, at: Column, seen: Column) -> Column:
@@ -243,65 +253,93 @@ def build_elements(marks: Column, token_count: Column) -> Column:
             entries,
             lambda e: F.struct(
                 e["i"].alias("open"), at.alias("close"), e["n"].alias("n"), (seen - e["n"] - 1).alias("kids"),
-                e["up"].alias("up"), e["tag"].alias("tag"), e["own"].alias("own"), e["inside"].alias("inside"),
+                e["up"].alias("up"), e["own"].alias("own"), e["inside"].alias("inside"),
             ),
         )
 
-    def kept_depth(stack: Column, m: Column) -> Column:
-        match = F.try_element_at(
-            F.filter(stack, lambda e: (e["tag"] == m["tag"]) | (e["strength"] > m["strength"])), F.lit(-1)
+    def kept_depth(stack: Column, top: Column, depth: Column, m: Column) -> Column:
+        """Open elements that stay open; mostly the innermost one decides."""
+        ended = lambda e: e["bit"].bitwiseAND(m["ends"]) != 0
+        # Of the open elements that a tag does not pass, the last one tells.
+        by_start_tag = F.array_max(F.transform(stack, lambda e, i: F.when(ended(e), 0).otherwise(i + 1)))
+        by_end_tag = F.array_max(F.transform(
+            stack,
+            lambda e, i: F.when(e["id"] == m["id"], F.struct(i.alias("at"), i.alias("kept")))
+            .when(e["strength"] > m["strength"], F.struct(i.alias("at"), depth.alias("kept"))),
+        ))["kept"]
+        return (
+            F.when(depth == 0, 0)
+            .when(m["opening"], F.when(ended(top), by_start_tag).otherwise(depth))
+            .when(top["id"] == m["id"], depth - 1).when(top["strength"] > m["strength"], depth)
+            .otherwise(F.coalesce(by_end_tag, depth))
         )
-        by_end_tag = let(match, lambda e: F.when(e["tag"] == m["tag"], e["d"] - 1).otherwise(F.size(stack)))
-        blocker = F.try_element_at(F.filter(stack, lambda e: ~F.array_contains(m["ends"], e["tag"])), F.lit(-1))
-        by_start_tag = F.when(F.size(m["ends"]) == 0, F.size(stack)).otherwise(F.coalesce(blocker["d"], F.lit(0)))
-        return F.when(m["opening"], by_start_tag).otherwise(by_end_tag)
 
-    def entry(m: Column, depth: Column, top: Column, seen: Column) -> Column:
+    def entry(m: Column, top: Column, seen: Column) -> Column:
         inside = F.coalesce(top["own"].bitwiseOR(top["inside"]).bitwiseAND(F.lit(_INHERITED)), F.lit(0))
         return F.struct(
-            m["i"].alias("i"), (depth + 1).alias("d"), seen.alias("n"), F.coalesce(top["i"], F.lit(-1)).alias("up"),
-            m["tag"].alias("tag"), m["strength"].alias("strength"), m["own"].alias("own"), inside.alias("inside"),
+            m["i"].alias("i"), seen.alias("n"), F.coalesce(top["i"], F.lit(-1)).alias("up"), m["id"].alias("id"),
+            m["bit"].alias("bit"), m["strength"].alias("strength"), m["own"].alias("own"), inside.alias("inside"),
         )
 
     empty = lambda t: F.array().cast(t)
-    start = F.struct(
-        empty(f"array<{_ENTRY}>").alias("stack"), F.lit(0).alias("seen"),
-        empty(f"array<{_ELEMENT}>").alias("buffer"), empty(f"array<array<{_ELEMENT}>>").alias("done"),
-    )
 
     def step(acc: Column, m: Column) -> Column:
-        def advance(k: Column) -> Column:
-            nothing_ends = k == F.size(acc["stack"])
-            base = F.when(nothing_ends, acc["stack"]).otherwise(F.slice(acc["stack"], F.lit(1), k))
-            ended = closed(F.slice(acc["stack"], k + 1, F.size(acc["stack"]) - k), m["i"], acc["seen"])
-            full = F.size(acc["buffer"]) >= _CHUNK
-            top = F.when(k > 0, F.get(acc["stack"], k - 1))
-            stack = F.when(
-                m["opening"], F.concat(base, F.array(let(top, lambda t: entry(m, k, t, acc["seen"]))))
-            ).otherwise(base)
+        stack, seen = acc["stack"], acc["seen"]
+
+        def advance(depth: Column, k: Column) -> Column:
+            nothing_ends = k == depth
+            base = F.when(nothing_ends, stack).otherwise(F.slice(stack, F.lit(1), k))
+            ended = closed(F.slice(stack, k + 1, depth - k), m["i"], seen)
+            top = F.when(k > 0, F.get(stack, k - 1))
             return F.struct(
-                stack.alias("stack"),
-                F.when(m["opening"], acc["seen"] + 1).otherwise(acc["seen"]).alias("seen"),
-                F.when(nothing_ends, acc["buffer"]).when(full, ended)
-                .otherwise(F.concat(acc["buffer"], ended)).alias("buffer"),
-                F.when(full & ~nothing_ends, F.concat(acc["done"], F.array(acc["buffer"])))
-                .otherwise(acc["done"]).alias("done"),
+                F.when(m["opening"], F.concat(base, F.array(entry(m, top, seen)))).otherwise(base).alias("stack"),
+                F.when(m["opening"], seen + 1).otherwise(seen).alias("seen"),
+                F.when(nothing_ends, acc["ended"]).otherwise(F.concat(acc["ended"], ended)).alias("ended"),
             )
 
-        return let(kept_depth(acc["stack"], m), advance)
+        depth = F.size(stack)
+        return let(kept_depth(stack, F.try_element_at(stack, F.lit(-1)), depth, m), lambda k: advance(depth, k))
+
+    def piece_step(acc: Column, piece: Column) -> Column:
+        start = F.struct(
+            acc["stack"].alias("stack"), acc["seen"].alias("seen"), empty(f"array<{_MATCHED}>").alias("ended"))
+        done = lambda after: F.struct(
+            after["stack"].alias("stack"), after["seen"].alias("seen"),
+            F.concat(acc["done"], F.array(after["ended"])).alias("done"),
+        )
+        return F.aggregate(piece, start, step, done)
 
     def finish(acc: Column) -> Column:
-        rest = closed(acc["stack"], token_count.cast("int"), acc["seen"])
-        return F.sort_array(F.concat(F.flatten(acc["done"]), acc["buffer"], rest))
+        rest = closed(acc["stack"], F.size(tokens), acc["seen"])
+        return F.transform(
+            F.sort_array(F.concat(F.flatten(acc["done"]), rest)),
+            lambda e: F.struct(
+                e["open"].alias("open"), e["close"].alias("close"), e["n"].alias("n"), e["kids"].alias("kids"),
+                e["up"].alias("up"), F.get(tokens, e["open"])["tag"].alias("tag"), e["own"].alias("own"),
+                e["inside"].alias("inside"),
+            ),
+        )
+
+    def fold(all_marks: Column) -> Column:
+        length = F.ceil(F.sqrt(F.size(all_marks) + 1)).cast("int")
+        pieces = F.transform(
+            F.sequence(F.lit(0), F.floor(F.size(all_marks) / length).cast("int")),
+            lambda i: F.slice(all_marks, i * length + 1, length),
+        )
+        start = F.struct(
+            empty(f"array<{_ENTRY}>").alias("stack"), F.lit(0).alias("seen"),
+            empty(f"array<array<{_MATCHED}>>").alias("done"),
+        )
+        return F.aggregate(pieces, start, piece_step, finish)
 
-    return F.aggregate(marks, start, step, finish)
+    return let(marks, fold)
 
 
 def with_page(html: Column, body) -> Column:
     """Parse once and hand the page to ``body``; the result is one column expression."""
 
     def bind(tokens: Column) -> Column:
-        elements = build_elements(_structure_marks(tokens), F.size(tokens))
+        elements = build_elements(_structure_marks(tokens), tokens)
         return let(elements, lambda e: body(Page(tokens, e)))
 
     return let(tokenize(html), bind)
@@ -335,9 +373,9 @@ def blank(texts: Column, spans: Column) -> Column:
     return let(texts, bound)
 
 
-def live_texts(page: Page) -> Column:
-    """Texts by token, with muted and noise elements blanked."""
-    return _blank_if_any(own_texts(page), F.filter(page.elements, lambda e: outermost(e, NOISE)))
+def live_texts(page: Page, texts: Column) -> Column:
+    """``texts`` (of ``own_texts``) with noise elements blanked."""
+    return _blank_if_any(texts, F.filter(page.elements, lambda e: outermost(e, NOISE)))
 
 
 def shown_texts(page: Page) -> Column:

@@ -22,7 +22,7 @@ ARTICLE_URL_RE = "/blog|/article|/post"
 def _named_like_date(page: Page) -> Column:
     return F.exists(
         page.tokens,
-        lambda t: ~t["closing"] & F.rlike(t["mark"], F.lit("(?is)^<.*(date|publish)"))
+        lambda t: ~t["closing"] & F.contains(t["mark"], F.lit("=")) & F.rlike(t["mark"], F.lit("(?is)^<.*(date|publish)"))
         & (
             F.rlike(attribute(t["mark"], "name"), F.lit(DATE_NAME_RE))
             | (attribute(t["mark"], "property") == "article:published_time")

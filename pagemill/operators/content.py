@@ -27,17 +27,15 @@ LOW_QUALITY_WARNING = "Extracted word count below quality threshold (possible ex
 def main_container(page: Page, texts: Column) -> Column:
     """Element that holds the article; NULL stands for the whole page."""
     live = lambda test: F.filter(page.elements, lambda e: test(e) & ~noisy(e))
-    first = lambda tag: F.get(live(lambda e: e["tag"] == tag), 0)
-    long_enough = lambda e: F.when(text_length(e, texts) > MIN_CONTAINER_CHARS, e)
+    first = lambda tag: F.slice(live(lambda e: e["tag"] == tag), 1, 1)
+    long_enough = lambda one: F.get(F.filter(one, lambda e: text_length(e, texts) > MIN_CONTAINER_CHARS), 0)
 
     measured = F.transform(
         live(lambda e: has(e["own"], CONTENT)),
         lambda e: F.struct(text_length(e, texts).alias("length"), (-e["open"]).alias("order"), e.alias("element")),
     )
-    densest = let(
-        F.array_max(F.filter(measured, lambda m: m["length"] > MIN_CONTAINER_CHARS)), lambda m: m["element"]
-    )
-    return F.coalesce(let(first("article"), long_enough), let(first("main"), long_enough), densest, first("body"))
+    densest = F.array_max(F.filter(measured, lambda m: m["length"] > MIN_CONTAINER_CHARS))["element"]
+    return F.coalesce(long_enough(first("article")), long_enough(first("main")), densest, F.get(first("body"), 0))
 
 
 def _list_text(element: Column, elements: Column, texts: Column) -> Column:
@@ -68,7 +66,7 @@ def block_lines(page: Page, container: Column, texts: Column) -> Column:
     inside = F.when(container.isNull(), page.elements).otherwise(descendants(container, page.elements))
     blocks = F.filter(
         inside,
-        lambda e: any_of(e["tag"], BLOCKS) & ~noisy(e) & (any_of(e["tag"], WRAPPING_BLOCKS) | ~has(e["inside"], WRAPS)),
+        lambda e: any_of(e["tag"], BLOCKS) & ~noisy(e) & (has(e["own"], WRAPS) | ~has(e["inside"], WRAPS)),
     )
     mark = F.create_map(*[F.lit(x) for pair in HEADING_MARKS.items() for x in pair])
 
@@ -123,19 +121,14 @@ def faq_text(lines: Column) -> Column:
 
 
 def split_sections(structured: Column) -> Column:
-    """struct<introduction, body, conclusion> of a structured text."""
+    """struct<introduction, body> of a structured text."""
 
     def split(at: Column) -> Column:
-        parts = F.struct(
+        return F.struct(
             F.when(at > 1, strip(F.substring(structured, F.lit(1), at - 1)))
             .otherwise(strip(F.substring_index(structured, "\n\n", 1))).alias("introduction"),
             F.when(at > 1, strip(F.substring(structured, at, F.length(structured)))).otherwise(structured).alias("body"),
         )
-        return let(
-            parts,
-            lambda p: F.struct(p["introduction"].alias("introduction"), p["body"].alias("body"),
-                               _conclusion(p["body"]).alias("conclusion")),
-        )
 
     return let(F.locate("[H2]", structured), split)
 
@@ -148,8 +141,8 @@ def _conclusion(body: Column) -> Column:
     return F.coalesce(F.try_element_at(closing, F.lit(-1)), F.lit(""))
 
 
-def page_content(page: Page) -> Column:
-    """Struct of article content, read from the page after noise is removed."""
+def page_content(page: Page, own: Column) -> Column:
+    """Struct of article content, read from the page after noise is removed; ``own``: its ``own_texts``."""
 
     def with_texts(texts: Column) -> Column:
         return let(main_container(page, texts), lambda c: let(block_lines(page, c, texts), lambda lines: from_lines(lines, texts)))
@@ -171,7 +164,7 @@ def page_content(page: Page) -> Column:
 
         return let(word_count(parts["body"]), compare)
 
-    return let(live_texts(page), with_texts)
+    return let(live_texts(page, own), with_texts)
 
 
 def _whole_text(page: Page, texts: Column) -> Column:
@@ -199,7 +192,7 @@ def _finish(lines: Column, structured: Column, parts: Column, fallback: Column,
             text.alias("structured_content"),
             parts["introduction"].alias("introduction"),
             F.when(fell_back, fallback).otherwise(parts["body"]).alias("main_content"),
-            parts["conclusion"].alias("conclusion"),
+            _conclusion(parts["body"]).alias("conclusion"),
             faq_text(lines).alias("faq_content"),
             words.alias("word_count"),
             (words >= MIN_ARTICLE_WORDS).alias("quality_ok"),
@@ -207,4 +200,4 @@ def _finish(lines: Column, structured: Column, parts: Column, fallback: Column,
         )
 
     full = F.when(fell_back & (structured == ""), fallback).otherwise(structured)
-    return let(full, lambda text: let(word_count(text), lambda words: build(text, words)))
+    return let(word_count(full), lambda words: build(full, words))

@@ -27,7 +27,7 @@ def analyze(html: Column, url: Column, views: tuple[str, ...] = VIEWS) -> Column
             made = {
                 "metadata": lambda: page_metadata(page, url, s["docs"], s["metas"], s["texts"]),
                 "score": lambda: page_score(page, url, s["docs"], s["metas"], s["texts"]),
-                "content": lambda: page_content(page),
+                "content": lambda: page_content(page, s["texts"]),
                 "visible_words": lambda: visible_word_count(page),
             }
             return F.struct(*[made[v]().alias(v) for v in views])
