@@ -13,7 +13,8 @@ no pair.
 
 Join. Words meet by equal signatures in an equi-join, whose condition verifies each pair by its edit distance,
 so only true pairs leave the join. Words are counted before, so none holds many rows, however often it is used. More
-``PARTS`` mean more rows and fewer pairs to verify, never another result.
+``PARTS`` mean more rows and fewer pairs to verify, never another result. Spark takes a table of words for as small as its file, which says
+nothing of the 24 rows that a word becomes, so joins are told to merge: else it may broadcast all signatures through the driver.
 
 Forms. A word's form is its most frequent near word, if that is used ``ratio`` times as often. Uses grow along forms, so chains
 are short; their ends are found by doubling: each round joins the ends found so far with themselves.
@@ -162,7 +163,7 @@ def near_words(words: DataFrame, parts: int = PARTS) -> DataFrame:
     other = signed.select("signature", "longer", F.col("word").alias("other"), F.col("n").alias("other_n"))
     once = F.col("longer") | (F.col("word") < F.col("other"))
     near = once & (F.levenshtein("word", "other", 1) == 1)
-    found = shorter.alias("a").join(other.alias("b"), (F.col("a.signature") == F.col("b.signature")) & near).select("word", "n", "other", "other_n")
+    found = shorter.alias("a").join(other.alias("b").hint("merge"), (F.col("a.signature") == F.col("b.signature")) & near).select("word", "n", "other", "other_n")
     pairs = stored(found.dropDuplicates(["word", "other"]), "near-words")
     return pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")))
 
@@ -172,7 +173,7 @@ def ends_of_chains(links: DataFrame) -> DataFrame:
     ends = stored(links.select("word", F.col("form").alias("root")), "chains")
     while True:
         jump = ends.select(F.col("word").alias("root"), F.col("root").alias("far"))
-        new = stored(ends.join(jump, "root", "left").select("word", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")), "chains")
+        new = stored(ends.join(jump.hint("merge"), "root", "left").select("word", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")), "chains")
         ends = new.drop("moved")
         if new.where("moved").isEmpty():
             return ends
@@ -184,9 +185,9 @@ def group_spellings(words: DataFrame, ratio: int = RATIO, parts: int = PARTS) ->
     best = F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("form"))).alias("best")
     near = near_words(words, parts).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best)
     is_form = -F.col("best.less") >= ratio * F.col("n")
-    judged = stored(words.join(near, "word", "left").select(
+    judged = stored(words.join(near.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(is_form, F.col("best.form")).alias("form"), F.when(is_form, -F.col("best.less")).alias("form_n"),
     ), "forms")
     roots = ends_of_chains(judged.where("form IS NOT NULL").select("word", "form"))
-    return judged.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return judged.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

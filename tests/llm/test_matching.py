@@ -49,6 +49,22 @@ def test_spellings_against_all_pairs(spark):
     assert spelling.group_spellings(table.limit(0)).collect() == []
 
 
+def test_signatures_are_not_broadcast(spark, monkeypatch):
+    """A small file of words becomes 24 rows a word, which Spark does not foresee; the driver holds none of them."""
+    plans, write = [], spelling.stored
+
+    def planned(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(spelling, "stored", planned)
+    table = spark.createDataFrame([("hello", 9), ("hallo", 3), ("jello", 4), ("world", 5)], "word string, n long")
+    out = spelling.group_spellings(table)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+    assert {(r.word, r.form, r.n_near) for r in out.collect()} == {("hello", None, 2), ("hallo", "hello", 1), ("jello", "hello", 1), ("world", None, 0)}
+
+
 def test_words_are_counted_with_their_slips(spark):
     rows = [(1, "Hello HELLO hello-World, Straße"), (2, None), (3, ""), (None, "hello WORLD world"), (4, "ÀHello àhello"), (4, "ÀHello àhello"), (4, "ÀHello")]
     rows += [(i, "wonderful plain words here") for i in range(10, 400)]
