@@ -5,10 +5,11 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from pagemill.functions.urls import URL_RE, resolve_link
+from pagemill.functions.urls import ARTICLE_HINT_RE, URL_RE, has_article_hint, is_pagination, resolve_link, url_path
 from pagemill.operators import accounting, robots, safety
 from pagemill.operators.ordering import first_per_key, number_rows
 from pagemill.plans import discovery, export
+from pagemill.plans.commits import KeyIndex, Store
 from pagemill.sources import feeds, fetches, seeds, sitemaps
 from pagemill.sources.links import page_links
 
@@ -300,3 +301,39 @@ def test_a_url_is_taken_apart_once_for_its_verdict(spark):
         "https://[::1]/": "Blocked host: ::1", "https://b.org": None, None: None, "ftp://x": "Unsupported scheme: ftp"}
     plan = checked._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(URL_RE + ", 3") <= 1
+
+
+def test_crawl_looks_up_and_keeps_only_pages_that_can_be_met_again(spark, tmp_path, monkeypatch):
+    """Seeds and articles fill neither the runs of seen pages nor the look-up; sites given twice count once."""
+    a, asked, look_up = "https://a.org", [], KeyIndex.looked_up
+    monkeypatch.setattr(KeyIndex, "looked_up", lambda self, rows: asked.extend(r.url for r in rows.collect()) or look_up(self, rows))
+    pages = [(f"{a}/blog", [f"/blog/{i}" for i in range(5)] + ["/blog/page/2", "/contact"]), (f"{a}/blog/page/2", ["/blog/7", "/blog/page/2#x", "/blog"])]
+    rows = [(u, 200, "text/html", "".join(f"<a href='{x}'>x</a>" for x in links)) for u, links in pages]
+    sites = spark.createDataFrame([("a.org", a, "a.org")] * 2, "site string, base string, root string")
+    store = Store(spark, str(tmp_path / "crawl"))
+    found = discovery.crawl_links(sites, spark.createDataFrame(rows, "url string, http_status int, content_type string, html string"), store=store)
+    assert [(r.url.removeprefix(a), r.level, r.ord, r.pos) for r in found.orderBy("level", "ord", "pos").collect()] == [
+        *[(f"/blog/{i}", 0, 2, i) for i in range(5)], ("/blog/7", 1, 1, 0), ("/blog/page/2", 1, 1, 1)]
+    assert asked == [f"{a}/blog/page/2"] * 2
+    assert sum(store.open_part(p).count() for p in store.parts("links.seen.keys")) == 1
+    assert store.read("links.seen").where("level = 0").count() == 17
+
+
+def test_links_tested_before_they_are_rows(spark):
+    """Plain links take a short way; every link gives what it gives on the long one, and tests say the same as on rows."""
+    hrefs = [
+        "/a", "/", "//x.org/b", "/.", "/./a", "/a/../b", "/a/.b", "/a//b", "/a?", "/a?q#", "/a#", "/a?b#c", "?x", "#f", "", " /s ", "b/c", "../d", "/t\tu", "/a\nb", "https://x.org", "HTTPS://X.org/a",
+        "https://x.org/./a", "http://x.org//blog/", "https://x.org?blog", "https://blog/", "https:/blog/x", "https:blog/news/1", "/blog/x#/page/2", "x?/blog/", "http:///blog/a", "ftp://x/blog/", "/BLOG/é", "/blog/&amp;a",
+        "https://x.org/a?page=2#t", "/q?paged=3", "news:/blog/a", "/a/..", "/a/.", "http://x.org/a/..", "https://x.org?", "https://x.org#", "https://x.org/ ",
+    ]
+    bases = ["https://e.com/p/q?r#s", "HTTP://E.com", "e.com/x", ""]
+    anchors = "".join(f'<a href="{h}">' for h in hrefs) + "<a class=c href=/blog/plain><A HREF='/blog/big'><a href><a href=''><a hreflang='/blog/no'>"
+    pages = spark.createDataFrame([(b, anchors) for b in bases], "url string, html string")
+    plain = page_links(pages)
+    every = plain.select("url", "pos", "href", "link", resolve_link(F.col("url"), F.col("href")).alias("long")).collect()
+    assert len(every) > 100 and [(r.url, r.href, r.link) for r in every] == [(r.url, r.href, r.long) for r in every]
+    hint = lambda u: F.rlike(url_path(u), F.lit(ARTICLE_HINT_RE))
+    rows = plain.withColumn("link", F.substring_index("link", "#", 1)).withColumn("paging", is_pagination(F.col("link"))).withColumn("hinted", hint(F.col("link")))
+    got = page_links(pages, tests={"paging": is_pagination, "hinted": has_article_hint})
+    key = lambda r: (r["url"], r["pos"])
+    assert sorted(got.collect(), key=key) == sorted(rows.where("paging OR hinted").collect(), key=key)
