@@ -584,8 +584,7 @@ def export_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     failures, folder = inputs.crawl_tables(spark, sf_dir)["failures"], _scratch(spark, "exports")
     export.write_job_failures(failures, folder)
     export.write_job_failures(failures.where("job_id like '%7' and retry_count = 1"), folder)
-    schema = ", ".join(f"`{c}` string" for c in export.FAILURE_COLUMNS.values())
-    back = spark.read.schema(schema + ", export string").csv(folder, header=True, escape='"', multiLine=True)
+    back = export.read_job_exports(spark, folder, export.FAILURE_COLUMNS)
     return back.select("export", F.col("URL").alias("url"), F.col("`Retry Count`").cast("bigint").alias("retry_count"), F.col("Timestamp").alias("at"))
 
 
@@ -597,8 +596,7 @@ def export_articles_by_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _scratch(spark, "exports")
     names = articles.select("job_id").distinct().withColumn("name", export.export_name(F.concat(F.lit("https://"), "job_id", F.lit(".example.com")), datetime(2026, 1, 5)))
     export.write_job_exports(articles, names, folder)
-    schema = ", ".join(f"`{c}` string" for c in export.EXPORT_COLUMNS.values())
-    back = spark.read.schema(schema + ", export string").csv(folder, header=True, escape='"', multiLine=True)
+    back = export.read_job_exports(spark, folder, export.EXPORT_COLUMNS)
     return back.select("export", F.col("ID").cast("bigint").alias("id"), F.col("`Blog URL`").alias("blog_url"), F.col("`Main Content`").alias("main_content"))
 
 

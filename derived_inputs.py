@@ -291,12 +291,13 @@ def crawl_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     customer, orders, items = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
     job = lambda c: F.concat(F.lit("job-"), c)
     status = F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "queued").otherwise("failed")
-    urls = order_urls(spark, sf_dir).join(orders.select(F.col("o_orderkey").alias("order_key"), "o_orderpriority", "o_orderstatus"), "order_key")
+    # Spark takes orders for as small as their packed file and may broadcast them through the driver.
+    urls = order_urls(spark, sf_dir).join(orders.select(F.col("o_orderkey").alias("order_key"), "o_orderpriority", "o_orderstatus").hint("merge"), "order_key")
     urls = urls.select(
         "job_id", F.col("url").alias("raw_url"), "order_key", (F.col("o_orderpriority") != "5-LOW").alias("is_candidate"),
         status.alias("status"), F.lit(0).alias("retry_count"),
     )
-    owned = items.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    owned = items.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").hint("merge"), "l_orderkey")
     url = F.concat(F.lit("https://"), site_of(F.col("o_custkey")), F.lit("/blog/order-"), "l_orderkey")
     return {
         "jobs": customer.select(job(F.col("c_custkey")).alias("job_id"),

@@ -13,7 +13,7 @@ from urllib.parse import urlparse
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import get_domain
@@ -35,6 +35,8 @@ EXPORT_COLUMNS = {
 FAILURE_COLUMNS = {
     "url": "URL", "error": "Error", "http_status": "HTTP Status", "retry_count": "Retry Count", "timestamp": "Timestamp",
 }
+# Read from a file at a time, and held of a table by a task: bytes, rows.
+PIECE, ROWS = 1 << 22, 10_000
 SUMMARY_COLUMNS = ["id", "blog_url", "blog_title", "author", "publication_date", "word_count", "extraction_status"]
 
 
@@ -135,6 +137,68 @@ def _file_system(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder)
 
 
+def _records(stream: Iterator[bytes]) -> Iterator[str]:
+    """Records of a CSV file as ``_write_folders`` writes it, read piece by piece: lines, and those that a quoted value runs over together."""
+    held, tail, quotes = [], b"", 0
+    for piece in stream:
+        *lines, tail = (tail + piece).split(b"\n")
+        for line in lines:
+            held.append(line)
+            quotes += line.count(b'"')
+            if quotes % 2 == 0:
+                yield b"\n".join(held).decode()
+                held = []
+    if tail or held:
+        yield b"\n".join([*held, tail]).decode()
+
+
+def read_job_exports(spark: SparkSession, folder: str, labels: dict[str, str]) -> DataFrame:
+    """The rows of all folders ``export=<name>``: a string column for each of ``labels``, and ``export``.
+
+    There is a folder for each job, and Spark's own reader lists all files of all folders in the driver. Here tasks list the folders and their files,
+    deal them out and cut files into records, piece by piece; Spark parses these.
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    system, root = _file_system(folder.rstrip("/"))
+
+    def folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                names = [x.base_name for x in system.get_file_info(fs.FileSelector(root)) if x.type == fs.FileType.Directory and x.base_name.startswith("export=")]
+                for at in range(0, len(names), ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(names[at : at + ROWS], pa.string())], ["name"])
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                found = [x.base_name for x in system.get_file_info(fs.FileSelector(f"{root}/{name}")) if x.type == fs.FileType.File and x.base_name[0] not in "._"]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found, pa.string())], ["name", "file"])
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        exports, lines, held = [], [], 0
+        packed = lambda: pa.RecordBatch.from_arrays([pa.array(exports, pa.string()), pa.array(lines, pa.string())], ["export", "line"])
+        for batch in batches:
+            for name, file in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                value = name.removeprefix("export=")
+                export = None if value == "__HIVE_DEFAULT_PARTITION__" else re.sub(r"%([0-9A-Fa-f]{2})", lambda c: chr(int(c[1], 16)), value)
+                with system.open_input_stream(f"{root}/{name}/{file}") as stream:
+                    rows = (x for x in _records(iter(lambda: stream.read(PIECE), b"")) if x)  # as a CSV reader, without empty lines
+                    next(rows, None)  # the header
+                    for line in rows:
+                        exports.append(export)
+                        lines.append(line)
+                        held += len(line)
+                        if held >= PIECE or len(lines) >= ROWS:
+                            yield packed()
+                            exports, lines, held = [], [], 0
+        yield packed()
+
+    names = spark.range(0, 1, 1, 1).mapInArrow(folders, "name string").repartition(n)
+    lines = names.mapInArrow(files, "name string, file string").repartition(n).mapInArrow(records, "export string, line string")
+    schema = ", ".join(f"`{label}` string" for label in labels.values())
+    return lines.select(F.from_csv("line", schema, {"escape": '"', "lineSep": "\n"}).alias("_r"), "export").select("_r.*", "export")
+
+
 def _write_folders(rows: DataFrame, order: list[str], labels: dict[str, str], folder: str) -> None:
     """Write ``rows`` by ``order``, which begins with ``export``, and put them in place of the folders ``export=<name>`` they are of.
 

@@ -127,6 +127,23 @@ def test_job_folders_hold_what_spark_writes_and_are_put_in_place_by_tasks(spark,
     assert calls == ["write", "replace"] * 2 and not list((tmp_path / "tasks").glob(".*"))
 
 
+def test_job_folders_are_read_back_by_tasks(spark, tmp_path, monkeypatch):
+    """What Spark's reader gives, without a list of files in the driver; files are read in pieces."""
+    odd = ["", None, " a ", 'say "x", y', "line\nbreak", '"\n\n"', "cr\r\nlf", "cr\rlf", "back\\slash", "#", "\u00fc\u2028", ",", "'"]
+    rows = [(j, u, e, 500 if i else None) for j in ["j1", "a/b=c:d", "50% [x] {y}^", "", None, "\u00e9 \u00e8"] for i, (u, e) in enumerate(zip(odd, odd[::-1]))]
+    table = spark.createDataFrame(rows, "export string, url string, error string, http_status int")
+    labels, folder = {"url": "URL", "error": "Error", "http_status": "HTTP Status"}, str(tmp_path / "out")
+    export._write_folders(table, ["export", "url"], labels, folder)
+    (tmp_path / "out" / ".staging-lost").mkdir()
+    schema = ", ".join(f"`{c}` string" for c in [*labels.values(), "export"])
+    want = spark.read.schema(schema).csv(folder, header=True, escape='"', multiLine=True)
+    monkeypatch.setattr(export, "PIECE", 7)
+    monkeypatch.setattr(export, "ROWS", 3)
+    got = export.read_job_exports(spark, folder, labels)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == len(rows)
+    assert not got.inputFiles() and "InMemoryFileIndex" not in got._jdf.queryExecution().toString()
+
+
 def test_stored_pages_equal_offset_pages(spark, tmp_path):
     rows = spark.createDataFrame([(i * 37 % 101, f"v{i}") for i in range(101)], "k int, v string").repartition(4)
     path = str(tmp_path / "p")
