@@ -181,6 +181,23 @@ def test_toxicity_query_against_brute_force(spark, small_discounts, monkeypatch)
         assert got[i] == shuffled[i] and abs(got[i].score - score) < 1e-3 and got[i].predicted == (got[i].score >= 0.5) and got[i].held_out == (fold[i] == 0)
 
 
+def test_pairs_that_are_not_stored_have_no_part(spark, monkeypatch):
+    """A model of all pairs, none left out by its uses, gives the same scores; most pairs are at or below the discount here."""
+    rng = random.Random(11)
+    rows = [(" ".join(rng.choice(["oak", "elm", "ash", "fir", "yew", *["vilk"] * y]) for _ in range(12)), y) for y in (0, 1) for _ in range(30)]
+    pairs = toxicity.count_pairs(spark.createDataFrame(rows, "text string, kind int"))
+    docs = spark.createDataFrame([(i, True, t) for i, (t, _) in enumerate(rows)], "i int, own boolean, text string")
+    monkeypatch.setattr(toxicity, "PAIR_DISCOUNT", 12)
+    counts = toxicity.model_counts(pairs)
+    stored = counts.where("u IS NOT NULL")
+    monkeypatch.setattr(toxicity, "PAIR_DISCOUNT", 0)
+    every = toxicity.model_counts(pairs)
+    monkeypatch.setattr(toxicity, "PAIR_DISCOUNT", 12)
+    assert 0 < stored.count() < every.where("u IS NOT NULL").count() / 2
+    some, whole = ({r.i: r[1:] for r in toxicity.evidence(docs, toxicity.build_model(c)).collect()} for c in (counts, every))
+    assert all(np.allclose(some[i], whole[i], atol=1e-6) for i in range(len(rows))) and len({x[2] for x in some.values()}) > 10
+
+
 def test_toxicity_model_is_whole_in_any_number_of_passes(spark, small_discounts):
     rng = random.Random(5)
     rows = [(" ".join(f"{rng.choice('ab')}{rng.choice('xyz')}" for _ in range(12)) + " vilk" * y, y) for y in (0, 1) for _ in range(40)]
